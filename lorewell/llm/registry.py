@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lorewell.llm import chat, fingerprints, language, near_dedup, packing, token_output
+from lorewell.llm import chat, fingerprints, language, near_dedup, packing, repeats, token_output
 
-QUERIES = {"op2_token_output": token_output.query, "op4_fingerprints": fingerprints.query, "op6_language": language.query, "op7_near_dedup": near_dedup.query, "op9_packing": packing.query, "op10_chat_format": chat.query}
+QUERIES = {"op2_token_output": token_output.query, "op3_repeats": repeats.query, "op4_fingerprints": fingerprints.query, "op6_language": language.query, "op7_near_dedup": near_dedup.query, "op9_packing": packing.query, "op10_chat_format": chat.query}
 SQL = {"op10_chat_format": chat.SQL}
