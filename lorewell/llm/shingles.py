@@ -13,13 +13,13 @@ IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(texts: list[bytes], space: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, document, start and end (bytes in the joined texts, one more between two of them) of every word."""
     data = np.frombuffer(b"\n".join([*texts, b""]).lower(), np.uint8)
     if not len(data):
         z = np.zeros(0, np.int64)
         return z.astype(np.uint64), z, z, z
-    space = IS_SPACE[data]
+    space = space[data]
     flip = np.diff(np.concatenate(([True], space, [True])).astype(np.int8))
     start, end = np.flatnonzero(flip == -1), np.flatnonzero(flip == 1)
     doc = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, "right")
