@@ -1,6 +1,6 @@
 """Benchmark decontamination: rare word n-grams of test items seed candidates, Smith-Waterman alignment scores them.
 
-An item's seeds are its SEED-word n-grams that few documents hold (at most RARE of all, counted over the whole corpus)
+An item's seeds are its SEED-word n-grams that few documents hold (at most RARE of all or FEW, counted over the whole corpus)
 and its LEAST rarest ones whatever their count, so that an item that leaked everywhere is still found. Seed hits of one
 item that lie on near diagonals, MIN_HITS of them at least (or all seeds of a shorter item), make a passage; item and
 passage are aligned locally by words (match 1, mismatch and gap -1), which tolerates edits. score is the alignment's
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from lorewell.llm import common
 from lorewell.llm.shingles import IS_SPACE, STEP, words
 
-SEED, RARE, LEAST, MIN_HITS, THRESHOLD = 3, 0.0005, 12, 2, 0.4
+SEED, RARE, FEW, LEAST, MIN_HITS, THRESHOLD = 3, 0.0005, 10, 12, 2, 0.4
 BLOCK_ITEMS = 20_000
 #: Words are runs of bytes other than ASCII control characters, space and punctuation.
 BREAKS = IS_SPACE.copy()
@@ -82,7 +82,7 @@ class Items:
         item = self.item[order]
         rank = np.arange(len(order)) - np.searchsorted(item, item)
         keep = np.zeros(len(order), bool)
-        keep[order] = (rank < LEAST) | (n[order] <= RARE * documents)
+        keep[order] = (rank < LEAST) | (n[order] <= max(FEW, RARE * documents))
         self.gram, self.item, self.place = self.gram[keep], self.item[keep], self.place[keep]
         self.need = np.minimum(MIN_HITS, np.bincount(self.item, minlength=len(self.ids)))
         return self

@@ -1,6 +1,6 @@
 """Quality classifier: hierarchical empirical Bayes over hosts and paths, with document evidence from a classifier.
 
-Evidence: two logistic models over hashed word presence and a few shape numbers (quality, toxic), fitted on a bounded
+Evidence: two logistic models (quality, toxic) over shape numbers and the log-odds of hashed words, fitted on a bounded
 sample of at most about SAMPLE labelled documents, give each document a probability. Sites: the sum of evidence over a
 host's documents is shrunk toward the corpus mean, that over a path's documents toward its host's posterior, with prior
 strengths (pseudo-counts) estimated from the spread between sites by moments; sparse sites so keep the mean of their
@@ -24,7 +24,11 @@ from lorewell.llm import common
 from lorewell.llm.decontamination import BREAKS
 from lorewell.llm.shingles import words
 
-SAMPLE = 8000
+SAMPLE = 12_000
+#: Documents of the sample that a word must be in to count.
+LEAST_DOCS = 5
+#: Standard errors by which log-odds are drawn to 0.
+SURE = 2.5
 BUCKETS = 1 << 16
 SHAPES = 9
 
@@ -56,37 +60,59 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return pair % BUCKETS, pair // BUCKETS, shape
 
 
-class Logistic:
-    """Two linear models (columns) over word buckets and shapes, fitted by full-batch AdaGrad."""
+class Evidence:
+    """P(quality) and P(toxic) of texts. One half of the sample tells each word bucket's log-odds under both targets, the
+    other half fits a logistic model on the shape numbers and on a text's most telling words."""
 
-    def __init__(self, bucket: np.ndarray, doc: np.ndarray, shape: np.ndarray, target: np.ndarray, steps: int = 60, rate: float = 0.5):
-        n = len(shape)
-        scale = 1 / np.sqrt(np.maximum(1, np.bincount(doc, minlength=n)))[:, None]
-        self.w, self.v = np.zeros((BUCKETS, 2)), np.zeros((SHAPES, 2))
-        gw, gv = np.full((BUCKETS, 2), 1e-6), np.full((SHAPES, 2), 1e-6)
-        positive = np.clip(target.mean(0), 1e-3, 1 - 1e-3)
-        weight = np.where(target > 0, 0.5 / positive, 0.5 / (1 - positive)) / n
+    def __init__(self, texts: list[bytes], target: np.ndarray, steps: int = 400, rate: float = 0.3):
+        half = np.arange(len(texts)) % 2 == 0
+        bucket, doc, shape = features(texts)
+        own = half[doc]
+        n = np.bincount(bucket[own], minlength=BUCKETS)
+        self.odds = np.zeros((BUCKETS, 2))
+        for j in range(2):
+            yes = np.bincount(bucket[own], weights=target[doc[own], j], minlength=BUCKETS)
+            rate_yes, rate_no = (yes + 0.5) / (target[half, j].sum() + 1), (n - yes + 0.5) / ((1 - target[half, j]).sum() + 1)
+            odds, error = np.log(rate_yes / rate_no), np.sqrt(1 / (yes + 0.5) + 1 / (n - yes + 0.5))
+            self.odds[:, j] = np.where(n >= LEAST_DOCS, np.sign(odds) * np.maximum(0, np.abs(odds) - SURE * error), 0.0)
+        x, y = self._rows(bucket, doc, shape)[~half], target[~half]
+        self.mean, self.scale = x.mean(0), x.std(0) + 1e-3
+        self.mean[-1], self.scale[-1] = 0, 1
+        x = (x - self.mean) / self.scale
+        self.w, g2 = np.zeros((x.shape[1], 2)), np.full((x.shape[1], 2), 1e-6)
+        positive = np.clip(y.mean(0), 1e-3, 1 - 1e-3)
+        weight = np.where(y > 0, 0.5 / positive, 0.5 / (1 - positive)) / max(1, len(y))
         for _ in range(steps):
-            p = 1 / (1 + np.exp(-np.clip(self.sums(bucket, doc, n) * scale + shape @ self.v, -30, 30)))
-            g = (p - target) * weight
-            each = (g * scale)[doc]
-            dw = np.stack([np.bincount(bucket, weights=each[:, j], minlength=BUCKETS) for j in range(2)], 1) + 1e-7 * self.w
-            dv = shape.T @ g
-            gw += dw * dw
-            gv += dv * dv
-            self.w -= rate * dw / np.sqrt(gw)
-            self.v -= rate * dv / np.sqrt(gv)
-
-    def sums(self, bucket: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-        return np.stack([np.bincount(doc, weights=self.w[bucket, j], minlength=n) for j in range(2)], 1)
+            g = x.T @ ((self._link(x) - y) * weight) + 1e-4 * self.w
+            g2 += g * g
+            self.w -= rate * g / np.sqrt(g2)
+
+    def _rows(self, bucket: np.ndarray, doc: np.ndarray, shape: np.ndarray) -> np.ndarray:
+        """Shapes, and for each target the mean, the three largest and the least log-odds of a text's words; 1 comes last."""
+        n, out = len(shape), [shape[:, :-1]]
+        first = np.searchsorted(doc, np.arange(n))
+        size = np.bincount(doc, minlength=n)
+        for j in range(2):
+            o = self.odds[bucket, j]
+            o = o[np.lexsort((-o, doc))]
+            top = np.zeros((n, 5))
+            top[:, 0] = np.bincount(doc, weights=o, minlength=n) / np.maximum(1, size)
+            for k in range(3):
+                has = size > k
+                top[has, 1 + k] = o[(first + k)[has]]
+            has = size > 0
+            top[has, 4] = o[(first + size - 1)[has]]
+            out.append(top)
+        return np.concatenate([*out, shape[:, -1:]], 1)
+
+    def _link(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(x @ self.w, -30, 30)))
 
     def __call__(self, texts: list[bytes]) -> np.ndarray:
-        bucket, doc, shape = features(texts)
-        scale = 1 / np.sqrt(np.maximum(1, np.bincount(doc, minlength=len(texts))))[:, None]
-        return 1 / (1 + np.exp(-np.clip(self.sums(bucket, doc, len(texts)) * scale + shape @ self.v, -30, 30)))
+        return self._link((self._rows(*features(texts)) - self.mean) / self.scale)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Logistic | None:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Evidence | None:
     """The evidence model from about `sample` labelled documents, chosen by a hash of their id."""
     told = labels.select(F.col(id_col).alias("_id"), "quality", "toxic").dropna().dropDuplicates(["_id"])
     n = told.count()
@@ -96,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not rows:
         return None
     target = np.array([(float(r["quality"] > 0), float(r["toxic"] > 0)) for r in rows])
-    return Logistic(*features([r["t"].encode() for r in rows]), target)
+    return Evidence([r["t"].encode() for r in rows], target)
 
 
 def strength(n: Column, mean: Column, parent: Column) -> Column:
@@ -129,7 +155,7 @@ def log_odds(p: Column) -> Column:
 ROWS = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("p", pa.float64()), ("toxic", pa.float64())])
 
 
-def classify(docs: DataFrame, model: Logistic | None, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classify(docs: DataFrame, model: Evidence | None, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, evidence, toxic, host_posterior, path_posterior, score, kept."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
