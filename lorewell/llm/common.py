@@ -109,3 +109,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+#: Bits of the bitmaps that tell a scan which ids a small table may hold; their size does not follow the data.
+SLOTS = 1 << 20
+
+
+def slots_of(ids: DataFrame, col: str) -> np.ndarray:
+    """A bitmap of SLOTS bits with those of all ids set; at most SLOTS numbers come to the driver."""
+    out = np.zeros(SLOTS, bool)
+    out[[r["s"] for r in ids.filter(F.col(col).isNotNull()).select(F.pmod(F.col(col), F.lit(SLOTS)).cast("int").alias("s")).distinct().collect()]] = True
+    return out
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs but for the ids in gone (one column, id_col). Only rows whose slot gone has are exchanged for the anti join."""
+    slots, at = slots_of(gone, id_col), docs.columns.index(id_col)
+
+    def side(which: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                hit = slots[b.column(at).fill_null(0).to_numpy(zero_copy_only=False) % SLOTS]
+                yield b.filter(pa.array(hit == which))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    return side(False).union(side(True).join(gone, id_col, "left_anti").select(docs.columns))

@@ -8,8 +8,8 @@ no common band with probability 5e-8.
 Equal sets are one class from the start. In each bucket of a band, members are linked to the smallest and the largest
 member; those pairs are screened by their sketches (5 standard deviations) and confirmed on full sets. Buckets that
 still hold several components then compare all members of different components: small buckets by a join, large ones in
-blocks of BLOCK x BLOCK sketches that emit only likely pairs. So no link that shares a bucket is lost and no group's
-pairs are written out. Null or empty texts have empty sets, are linked with nothing and kept; null ids sort first and
+blocks of BLOCK x BLOCK members that put out no more links than join components. So no link that shares a bucket is lost
+and no group's pairs are written out. Null or empty texts have empty sets, are linked with nothing and kept; null ids sort first and
 come back as null; rows that share an id share its verdict; an empty table gives an empty result.
 """
 
@@ -32,7 +32,6 @@ COORDS, BANDS, ROWS = 128, 32, 4
 BLOCK = 500
 #: Buckets up to this size are joined with themselves, larger ones compared in blocks.
 SMALL_BUCKET = 64
-SLOTS = 1 << 20
 EMPTY = np.uint64(2**64 - 1)
 
 
@@ -105,15 +104,14 @@ def likely(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFram
 
 
 def involved_sets(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """_id and set (sorted hashes) of all documents in pairs. A bitmap of SLOTS bits tells the scan which may be needed."""
+    """_id and set (sorted hashes) of all documents in pairs. A bitmap of common.SLOTS bits tells the scan which may be needed."""
     ids = pairs.select(F.col("a").alias("_id")).union(pairs.select(F.col("b").alias("_id"))).distinct()
-    slots = np.zeros(SLOTS, bool)
-    slots[[r["s"] for r in ids.select(F.pmod("_id", F.lit(SLOTS)).cast("int").alias("s")).distinct().collect()]] = True
+    slots = common.slots_of(ids, "_id")
     schema = pa.schema([("_id", pa.int64()), ("set", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.filter(pa.array(slots[b.column(0).to_numpy() % SLOTS]))
+            b = b.filter(pa.array(slots[b.column(0).to_numpy() % common.SLOTS]))
             texts = common.utf8(b.column(1))
             for at, to in common.slices(texts):
                 h, doc = shingle_sets(texts[at:to], k)
@@ -142,31 +140,77 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
-def cross_pairs(members: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """Likely pairs of different components that share a bucket. members: key, size, _id, component."""
+def small_cross_pairs(members: DataFrame) -> DataFrame:
+    """Pairs of different components that share a small bucket. members: key, size, _id, component."""
     x = members.filter(F.col("size") <= SMALL_BUCKET)
     y = x.select("key", F.col("_id").alias("b"), F.col("component").alias("other"))
-    small = x.withColumnRenamed("_id", "a").join(y, "key").filter("a < b AND component != other").select("a", "b").distinct()
-    small = likely(small, sketches, similarity)
-    least = least_equal(similarity)
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    large = members.filter(F.col("size") > SMALL_BUCKET).withColumn("n", blocks).withColumn("block", F.pmod(F.xxhash64("_id"), F.col("n")).cast("int"))
-    dealt = large.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    dealt = dealt.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "_id", "component").join(sketches, "_id")
+    return x.withColumnRenamed("_id", "a").join(y, "key").filter("a < b AND component != other").select("a", "b").distinct()
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of the sets on the left with those on the right, by products of 0/1 matrices."""
+    x, y = np.concatenate(left), np.concatenate(right)
+    words = np.intersect1d(x, y)
+    rows, cols = np.repeat(np.arange(len(left)), [len(s) for s in left]), np.repeat(np.arange(len(right)), [len(s) for s in right])
+    i, j = np.searchsorted(words, x), np.searchsorted(words, y)
+    ok_x, ok_y = np.isin(x, words, kind="sort"), np.isin(y, words, kind="sort")
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, len(words), 4096):
+        a, b = np.zeros((len(left), 4096), np.float32), np.zeros((len(right), 4096), np.float32)
+        for m, r, k, ok in ((a, rows, i, ok_x), (b, cols, j, ok_y)):
+            ok = ok & (k >= at) & (k < at + 4096)
+            m[r[ok], k[ok] - at] = 1
+        out += a @ b.T
+    return out.astype(np.int64)
+
+
+def block_links(members: DataFrame, sketches: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Confirmed links between different components among members of large buckets. members: key, size, _id, component.
+
+    Large buckets that overlap form a family, whose members are dealt into blocks; each pair of blocks is compared in one
+    task, by sketches, then, if any pair is likely, on full sets. Only links that still join two components are put out."""
+    large = members.filter(F.col("size") > SMALL_BUCKET)
+    stars = large.join(large.groupBy("key").agg(F.min("_id").alias("hub")), "key").filter("_id != hub").select(F.col("hub").alias("a"), F.col("_id").alias("b"))
+    families = components(stars).withColumnRenamed("component", "family")
+    placed, _ = common.materialize(large.select("_id", "component").distinct().join(families, "_id"), "families")
+    sizes = placed.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"), F.countDistinct("component").alias("kinds")).filter("kinds > 1")
+    sets = involved_sets(docs, placed.select(F.col("_id").alias("a"), F.col("_id").alias("b")), k).dropDuplicates(["_id"])
+    full, _ = common.materialize(placed.join(sizes, "family").join(sketches, "_id").join(sets, "_id"), "family-sets")
+    dealt = full.withColumn("block", F.pmod(F.xxhash64("_id"), F.col("n")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    dealt = dealt.select("family", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "_id", "component", "sketch", "set")
+    least = least_equal(percent / 100)
 
     def compare(p: pd.DataFrame) -> pd.DataFrame:
         i, j = p["i"].iloc[0], p["j"].iloc[0]
         left, right = p[p["block"] == i], p[p["block"] == j]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
         u, v = (np.frombuffer(b"".join(q["sketch"]), np.uint8).reshape(-1, COORDS) for q in (left, right))
-        la, lc, ra, rc = left["_id"].to_numpy(), left["component"].to_numpy(), right["_id"].to_numpy(), right["component"].to_numpy()
+        lc, rc = left["component"].to_numpy(), right["component"].to_numpy()
+        likely_pairs = np.stack([(v == row).sum(1) >= least for row in u]) & (lc[:, None] != rc[None, :])
+        if not likely_pairs.any():
+            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+        x, y = np.flatnonzero(likely_pairs.any(1)), np.flatnonzero(likely_pairs.any(0))
+        a, b = ([np.frombuffer(s, np.uint64) for s in q["set"].iloc[z]] for q, z in ((left, x), (right, y)))
+        n = shared_counts(a, b)
+        union = np.array([len(s) for s in a])[:, None] + np.array([len(s) for s in b])[None, :] - n
+        hit = np.argwhere(likely_pairs[np.ix_(x, y)] & (100 * n >= percent * union))
+        top: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while top.get(c, c) != c:
+                c = top[c]
+            return c
+
         out = []
-        for s in range(len(u)):
-            hit = np.flatnonzero((rc != lc[s]) & ((v == u[s]).sum(1) >= least))
-            out.append(np.stack((np.minimum(la[s], ra[hit]), np.maximum(la[s], ra[hit])), 1))
-        both = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame(both, columns=["a", "b"]).drop_duplicates()
+        for s, t in hit.tolist():
+            c, d = find(int(lc[x[s]])), find(int(rc[y[t]]))
+            if c != d:
+                top[max(c, d)] = min(c, d)
+                out.append((int(left["_id"].iloc[x[s]]), int(right["_id"].iloc[y[t]])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
-    return small.union(dealt.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")).distinct()
+    return dealt.groupBy("family", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,14 +235,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     placed = members.select("key", "size", "_id").join(labels, "_id", "left").withColumn("component", F.coalesce("component", "_id"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
     still, still_path = common.materialize(placed.join(mixed, "key", "left_semi"), "still")
-    second, second_path = common.materialize(cross_pairs(still, sketches, similarity), "pairs")
-    if not second.isEmpty():
-        more, _ = common.materialize(involved_sets(d, second, k), "sets")
-        added, _ = common.materialize(confirmed(second, more, percent), "links")
-        if not added.isEmpty():
-            labels = components(links.union(added))
+    second, second_path = common.materialize(likely(small_cross_pairs(still), sketches, similarity), "pairs")
+    more, more_path = common.materialize(involved_sets(d, second, k), "sets")
+    added = confirmed(second, more, percent)
+    if not still.filter(F.col("size") > SMALL_BUCKET).isEmpty():
+        added = added.union(block_links(still, sketches, d, k, percent))
+    added, added_path = common.materialize(added, "links")
+    if not added.isEmpty():
+        labels = components(links.union(added))
     out, _ = common.materialize(classes.join(labels, classes["rep"] == labels["_id"], "left").select("set_hash", F.coalesce("component", "rep").alias("component")), "components")
-    common.discard(spark, sketch_path, bucket_path, member_path, first_path, set_path, link_path, still_path, second_path)
+    common.discard(spark, sketch_path, bucket_path, member_path, first_path, set_path, link_path, still_path, second_path, more_path, added_path)
     return sig.select("_id", "n", "set_hash").join(out, "set_hash", "left").select("_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("_id")).alias("component"))
 
 
