@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lorewell.operators import links, notes_overview
+from lorewell.operators import duplicates, links, notes_overview, search
 
-MODULES = (links, notes_overview)
+MODULES = (search, links, notes_overview, duplicates)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
