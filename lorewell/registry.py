@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lorewell.operators import duplicates, links, notes_overview, search, sessions
+from lorewell.operators import calibration, duplicates, events, links, notes_overview, search, sessions, star
 
-MODULES = (search, links, notes_overview, duplicates, sessions)
+MODULES = (search, links, notes_overview, duplicates, sessions, calibration, events, star)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
