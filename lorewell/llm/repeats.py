@@ -34,12 +34,13 @@ MIN_LENGTH = 100
 #: Bytes of an anchor; a power of two.
 K = 32
 #: Bytes of text whose anchors are found at once; positions take PLACE_BITS bits.
-SLICE, PLACE_BITS = 4 << 20, 23
+SLICE, PLACE_BITS = 2 << 20, 22
 #: Bytes of text a task's share of the anchors stands for.
 BUCKET_BYTES = 16 << 20
+#: Bytes of contexts whose suffixes are sorted at once, whole anchors.
+SORTED_BYTES = 1 << 20
 #: Different contexts from which an anchor is dealt window by window.
-FREQUENT = 2000
-SLOTS = 1 << 20
+FREQUENT = 20_000
 LENGTH_BITS = 16  # of a span; spans of contexts are shorter than 2 * MIN_LENGTH
 KEEP, REPEAT, REQUEST, REQUEST_FREQUENT = range(4)
 
@@ -182,48 +183,58 @@ def judged(rows: DataFrame, buckets: int, frequent: int) -> DataFrame:
 
 
 def needed(docs: DataFrame, by_doc: DataFrame) -> DataFrame:
-    """docs joined with by_doc (_id, mark, ...); a bitmap of SLOTS bits over the ids spares other texts the exchange."""
-    slots = np.zeros(SLOTS, bool)
-    slots[[r["s"] for r in by_doc.select(F.pmod("_id", F.lit(SLOTS)).cast("int").alias("s")).distinct().collect()]] = True
+    """docs joined with by_doc (_id, mark, ...); a bitmap of common.SLOTS bits over the ids spares other texts the exchange."""
+    slots = common.slots_of(by_doc, "_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(slots[b.column(0).to_numpy() % SLOTS]))
+            yield b.filter(pa.array(slots[b.column(0).to_numpy() % common.SLOTS]))
 
     return docs.mapInArrow(run, docs.schema).join(by_doc, ["_id", "mark"])
 
 
-C_SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("_id", pa.int64()), ("mark", pa.int64()), ("span", pa.int64()), ("text", pa.binary())])
-C_DDL = "bucket int, kind int, _id long, mark long, span long, text binary"
+C_SCHEMA = pa.schema([("anchor", pa.int64()), ("kind", pa.int32()), ("_id", pa.int64()), ("mark", pa.int64()), ("span", pa.int64()), ("text", pa.binary())])
+C_DDL = "anchor long, kind int, _id long, mark long, span long, text binary"
 
 
-def context_texts(docs: DataFrame, requests: DataFrame, buckets: int, length: int) -> DataFrame:
-    """The requested contexts' bytes, dealt by anchor; those of frequent anchors window by window, dealt by the window and
-    each window of a batch once (its further occurrences as finished spans)."""
+def context_texts(docs: DataFrame, requests: DataFrame, length: int) -> DataFrame:
+    """The requested contexts' bytes and anchor; those of frequent anchors window by window, with a hash of the window for
+    an anchor and each window once a slice (its further occurrences as finished spans)."""
     spans = requests.groupBy("_id", "mark").agg(F.collect_list(F.when(F.col("kind") == REQUEST, F.col("span"))).alias("asked"), F.collect_list(F.when(F.col("kind") == REQUEST_FREQUENT, F.col("span"))).alias("often"))
     mask = (1 << LENGTH_BITS) - 1
 
+    def sent(whole: list[tuple], windows: dict[bytes, list[tuple[int, int, int]]]) -> pa.RecordBatch:
+        out: list[tuple] = []
+        if whole:
+            anchor = contexts([x[3] for x in whole], length)[2].view(np.int64)
+            out += [(a, KEEP, *x) for a, x in zip(anchor.tolist(), whole, strict=True)]
+        for part, places in windows.items():
+            places.sort()
+            hashed = int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "big", signed=True)
+            out.append((hashed, KEEP, *places[0][:2], span(places[0][2], length), part))
+            out += [(hashed, REPEAT, k, m, span(at, length), None) for k, m, at in places[1:] if (k, m, at) != places[0]]
+        return common.batch(C_SCHEMA, *(zip(*out, strict=True) if out else [[]] * len(C_SCHEMA)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole: list[tuple] = []
+        windows: dict[bytes, list[tuple[int, int, int]]] = {}
+        held = 0
         for b in batches:
-            out: list[tuple] = []
-            windows: dict[bytes, list[tuple[int, int, int]]] = {}
             for key, mark, text, asked, often in zip(*(b.column(c).to_pylist() for c in ("_id", "mark", "text", "asked", "often")), strict=True):
                 data = (text or "").encode()
                 for s in asked:
-                    at, n = s >> LENGTH_BITS, s & mask
-                    part = data[at : at + n]
-                    _, _, anchor, _, _, _ = contexts([part], length)
-                    out.append((int(anchor[0]) % buckets, KEEP, key, mark, s, part))
+                    part = data[s >> LENGTH_BITS : (s >> LENGTH_BITS) + (s & mask)]
+                    whole.append((key, mark, s, part))
+                    held += len(part)
                 for s in often:
-                    at, n = s >> LENGTH_BITS, s & mask
-                    for k in range(at, at + n - length + 1):
+                    at = s >> LENGTH_BITS
+                    for k in range(at, at + (s & mask) - length + 1):
                         windows.setdefault(data[k : k + length], []).append((key, mark, k))
-            for part, places in windows.items():
-                places.sort()
-                hashed = int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "big") % buckets
-                out.append((hashed, KEEP, *places[0][:2], span(places[0][2], length), part))
-                out += [(hashed, REPEAT, k, m, span(at, length), None) for k, m, at in places[1:] if (k, m, at) != places[0]]
-            yield common.batch(C_SCHEMA, *(zip(*out, strict=True) if out else [[]] * len(C_SCHEMA)))
+                        held += length
+                if held >= SLICE // 2:
+                    yield sent(whole, windows)
+                    whole, windows, held = [], {}, 0
+        yield sent(whole, windows)
 
     return needed(docs, spans).mapInArrow(run, C_DDL)
 
@@ -241,14 +252,14 @@ def suffix_ranks(symbols: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]
         sorted_key = key[order]
         new = np.zeros(n, np.int64)
         new[1:] = sorted_key[1:] != sorted_key[:-1]
-        rank = np.empty(n, np.int64)
+        rank = np.empty(n, np.int32)
         rank[order] = np.cumsum(new)
         levels.append((at, rank))
         if at >= depth:
             return levels
         after = np.zeros(n, np.int64)
         after[: max(0, n - at)] = rank[at:] + 1
-        key, at = rank * (n + 1) + after, 2 * at
+        key, at = rank.astype(np.int64) * (n + 1) + after, 2 * at
 
 
 def maximal_repeats(symbols: np.ndarray, room: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -335,21 +346,10 @@ def repeat_groups(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray,
 def later_occurrences(rows: DataFrame, buckets: int, length: int) -> DataFrame:
     """Spans of all occurrences of maximal repeats but the earliest."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute as pc
-
-        held = []
-        for b in batches:
-            done = b.filter(pc.equal(b.column(1), REPEAT))
-            if done.num_rows:
-                yield pa.RecordBatch.from_arrays([done.column(2), done.column(3), done.column(1), done.column(4)], schema=V_SCHEMA)
-            held.append(b.filter(pc.equal(b.column(1), KEEP)))
-        if not sum(b.num_rows for b in held):
-            return
-        t = pa.Table.from_batches(held)
-        ids, marks, spans = (t.column(k).to_numpy() for k in (2, 3, 4))
+    def found(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        ids, marks, spans = (np.array(x, np.int64) for x in zip(*(r[:3] for r in held), strict=True))
         start = spans >> LENGTH_BITS
-        for group, text, offset, n in repeat_groups(t.column(5).to_pylist(), length):
+        for group, text, offset, n in repeat_groups([r[3] for r in held], length):
             place = start[text] + offset
             order = np.lexsort((place, marks[text], ids[text], group))
             g, text, place, n = group[order], text[order], place[order], n[order]
@@ -363,11 +363,29 @@ def later_occurrences(rows: DataFrame, buckets: int, length: int) -> DataFrame:
             one = np.ones(len(k), bool)
             one[1:] = (text[k][1:] != text[k][:-1]) | (place[k][1:] != place[k][:-1])
             k = k[one]
-            for at in range(0, len(k), 100_000):
-                j = k[at : at + 100_000]
-                yield common.batch(V_SCHEMA, ids[text[j]], marks[text[j]], np.full(len(j), REPEAT, np.int32), span(place[j], n[j]))
+            yield common.batch(V_SCHEMA, ids[text[k]], marks[text[k]], np.full(len(k), REPEAT, np.int32), span(place[k], n[k]))
 
-    return rows.repartitionById(buckets, F.col("bucket")).mapInArrow(run, V_DDL)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+
+        held: list[tuple] = []
+        size, before = 0, None
+        for b in batches:
+            done = b.filter(pc.equal(b.column(1), REPEAT))
+            if done.num_rows:
+                yield pa.RecordBatch.from_arrays([done.column(2), done.column(3), done.column(1), done.column(4)], schema=V_SCHEMA)
+            b = b.filter(pc.equal(b.column(1), KEEP))
+            for anchor, *row in zip(*(b.column(k).to_pylist() for k in (0, 2, 3, 4, 5)), strict=True):
+                if size >= SORTED_BYTES and anchor != before:
+                    yield from found(held)
+                    held, size = [], 0
+                held.append(tuple(row))
+                size, before = size + len(row[3]), anchor
+        if held:
+            yield from found(held)
+
+    dealt = rows.repartitionById(buckets, F.pmod("anchor", F.lit(buckets)).cast("int")).sortWithinPartitions("anchor")
+    return dealt.mapInArrow(run, V_DDL)
 
 
 def united(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -383,29 +401,34 @@ def united(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[first], reach[np.append(first[1:], len(start)) - 1]
 
 
-def repeated_spans(docs: DataFrame, length: int = MIN_LENGTH, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, length: int = MIN_LENGTH, frequent: int = FREQUENT, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """docs with mark, and the spans (_id, mark, span) that repeat something earlier. docs: _id, text."""
     spark = docs.sparkSession
     told = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     buckets = max(common.width(spark) if told > BUCKET_BYTES else 1, int(told // BUCKET_BYTES))
     repeated_ids = not docs.groupBy("_id").count().filter("count > 1").isEmpty()
-    docs = docs.select("_id", (F.xxhash64("text") if repeated_ids else F.lit(0).cast("long")).alias("mark"), "text")
+    carried = docs.select("_id", (F.xxhash64("text") if repeated_ids else F.lit(0).cast("long")).alias("mark"), "text", *carry)
+    docs = carried.select("_id", "mark", "text")
     verdicts, _ = common.materialize(judged(anchor_rows(docs, buckets, length), buckets, frequent), "anchors")
     requests = verdicts.filter(F.col("kind") != REPEAT)
-    later, _ = common.materialize(later_occurrences(context_texts(docs, requests, buckets, length), buckets, length), "later")
-    return docs, verdicts.filter(F.col("kind") == REPEAT).union(later).select("_id", "mark", "span")
-
-
-def without_repeats(docs: DataFrame, length: int = MIN_LENGTH, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, digest: bool = False) -> DataFrame:
-    """_id, mark, n_bytes, n_removed, n_spans, kept (the remaining bytes; digest: kept_sha256 instead), spans (start, end)."""
-    d = common.keyed(docs, id_col, text_col).withColumnRenamed(text_col, "text")
-    d, spans = repeated_spans(d, length, frequent)
+    later, _ = common.materialize(later_occurrences(context_texts(docs, requests, length), buckets, length), "later")
+    return carried, verdicts.filter(F.col("kind") == REPEAT).union(later).select("_id", "mark", "span")
+
+
+def without_repeats(docs: DataFrame, length: int = MIN_LENGTH, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, digest: bool = False, as_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """_id, mark, n_bytes, n_removed, n_spans, kept (the remaining bytes; as_text: the text that they are,
+    without characters that a cut went through; digest: kept_sha256 instead), spans (start, end),
+    and the columns of docs named in carry, each as carried_<name>."""
+    common.bounded_batches(docs.sparkSession)
+    names = tuple(f"carried_{c}" for c in carry)
+    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(common.NULL_ID)).alias("_id"), F.col(text_col).alias("text"), *[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)])
+    d, spans = repeated_spans(d, length, frequent, names)
     by_doc, _ = common.materialize(spans.groupBy("_id", "mark").agg(F.collect_list("span").alias("cuts")), "cuts")
-    slots = np.zeros(SLOTS, bool)
-    slots[[r["s"] for r in by_doc.select(F.pmod("_id", F.lit(SLOTS)).cast("int").alias("s")).distinct().collect()]] = True
+    slots = common.slots_of(by_doc, "_id")
     pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    schema = pa.schema([("_id", pa.int64()), ("mark", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()) if digest else ("kept", pa.binary()), ("spans", pair)])
-    ddl = f"_id long, mark long, n_bytes long, n_removed long, n_spans long, {'kept_sha256 string' if digest else 'kept binary'}, spans array<struct<start: long, end: long>>"
+    schema = pa.schema([("_id", pa.int64()), ("mark", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()) if digest else ("kept", pa.string() if as_text else pa.binary()), ("spans", pair)])
+    fields = [f for f in d.schema.fields if f.name in names]
+    ddl = f"_id long, mark long, n_bytes long, n_removed long, n_spans long, {'kept_sha256 string' if digest else 'kept string' if as_text else 'kept binary'}, spans array<struct<start: long, end: long>>" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in fields)
 
     def cut(key: int, mark: int, data: bytes, cuts: list[int] | None) -> tuple:
         start, end = united(np.array(cuts or [], np.int64))
@@ -414,26 +437,27 @@ def without_repeats(docs: DataFrame, length: int = MIN_LENGTH, id_col: str = "do
             kept.append(data[at:i])
             at = j
         rest = b"".join([*kept, data[at:]]) if cuts else data
-        return key, mark, len(data), len(data) - len(rest), len(start), hashlib.sha256(rest).hexdigest() if digest else rest, [{"start": i, "end": j} for i, j in zip(start.tolist(), end.tolist(), strict=True)]
+        return key, mark, len(data), len(data) - len(rest), len(start), hashlib.sha256(rest).hexdigest() if digest else rest.decode(errors="ignore") if as_text else rest, [{"start": i, "end": j} for i, j in zip(start.tolist(), end.tolist(), strict=True)]
 
-    def rows(out: list[tuple]) -> pa.RecordBatch:
-        return common.batch(schema, *(zip(*out, strict=True) if out else [[]] * len(schema)))
+    def rows(out: list[tuple], b: pa.RecordBatch) -> pa.RecordBatch:
+        done = common.batch(schema, *(zip(*out, strict=True) if out else [[]] * len(schema)))
+        return pa.RecordBatch.from_arrays([*done.columns, *[b.column(n) for n in names]], [*schema.names, *names])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.filter(pa.array(~slots[b.column(0).to_numpy() % SLOTS]))
-            yield rows([cut(k, m, t, None) for k, m, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), common.utf8(b.column(2)), strict=True)])
+            b = b.filter(pa.array(~slots[b.column(0).to_numpy() % common.SLOTS]))
+            yield rows([cut(k, m, t, None) for k, m, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), common.utf8(b.column(2)), strict=True)], b)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield rows([cut(k, m, t, c) for k, m, t, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), common.utf8(b.column(2)), b.column(3).to_pylist(), strict=True)])
+            yield rows([cut(k, m, t, c) for k, m, t, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), common.utf8(b.column(2)), b.column("cuts").to_pylist(), strict=True)], b)
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(slots[b.column(0).to_numpy() % SLOTS]))
+            yield b.filter(pa.array(slots[b.column(0).to_numpy() % common.SLOTS]))
 
     untouched = d.mapInArrow(whole, ddl)
-    touched = d.mapInArrow(some, d.schema).join(by_doc, ["_id", "mark"], "left").select("_id", "mark", "text", "cuts").mapInArrow(joined, ddl)
+    touched = d.mapInArrow(some, d.schema).join(by_doc, ["_id", "mark"], "left").select("_id", "mark", "text", "cuts", *names).mapInArrow(joined, ddl)
     return untouched.union(touched)
 
 
