@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -88,8 +89,6 @@ def osa_distance(a: str, b: str) -> int:
 
 def osa_similarity():
     """Pandas UDF: 1 - distance / longer length, 1 for two empty texts."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([1.0 if not (x or y) else 1 - osa_distance(x or "", y or "") / max(len(x or ""), len(y or "")) for x, y in zip(a, b, strict=True)])

@@ -11,8 +11,8 @@ GAP = 1800
 
 
 def ledger(e: DataFrame) -> DataFrame:
-    """Events a day and type with how many users, and the mean value."""
-    return e.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.round(F.avg("value"), 4).alias("mean"))
+    """Events a day and type with how many users, and the total value."""
+    return e.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.round(F.sum("value"), 2).alias("total"))
 
 
 def last_writes(e: DataFrame) -> DataFrame:
@@ -81,7 +81,7 @@ QUERIES = {
 }
 FB = "WITH f AS (SELECT CAST(props->>'$.k' AS BIGINT) AS item, CAST(props->>'$.k' AS BIGINT) % 7 AS category, ['accepted', 'rejected', 'snoozed'][event_id % 3 + 1] AS outcome, ts, event_id FROM events)"
 SQL = {
-    "action_ledger": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(avg(value), 4) AS mean FROM events GROUP BY 1, 2",
+    "action_ledger": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
     "last_write_wins": "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",
     "feedback_summary": FB + " SELECT category, count(*) FILTER (outcome = 'accepted') AS accepted, count(*) FILTER (outcome = 'rejected') AS rejected, count(*) FILTER (outcome = 'snoozed') AS snoozed FROM f GROUP BY 1",
     "feedback_learning": FB + ", l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item, category ORDER BY ts DESC, event_id DESC) AS r FROM f) WHERE r = 1), g AS (SELECT category, count(*) FILTER (outcome = 'accepted') AS acc, count(*) FILTER (outcome = 'rejected') AS rej FROM l GROUP BY 1) SELECT category, round(CASE WHEN acc + rej = 0 THEN 1 ELSE acc / (acc + rej) END, 6) AS usefulness, rej >= 2 AND rej > acc AS strict, rej >= 3 AND acc = 0 AS blocked FROM g",

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from lorewell.operators import calibration, duplicates, events, links, notes_overview, search, sessions, star
+from lorewell.operators import calibration, duplicates, events, links, notes_overview, search, sessions, star, surfaces
+from lorewell.plans import mutations
 
-MODULES = (search, links, notes_overview, duplicates, sessions, calibration, events, star)
+MODULES = (search, links, notes_overview, duplicates, sessions, calibration, events, star, surfaces, mutations)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
