@@ -45,7 +45,8 @@ def decide(started: float, commands: int, checkpoints: int, last_at: float | Non
 
 
 def checkpoints(e: DataFrame) -> DataFrame:
-    """user_id, at, commands of the checkpoints that each user's events call for; state a user, kept for a day."""
+    """user_id, at, commands of the checkpoints that each user's events call for; state a user, which goes when the
+    watermark is a day past the user's last event."""
     import pandas as pd
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -53,20 +54,20 @@ def checkpoints(e: DataFrame) -> DataFrame:
             state.remove()
             return
         started, commands, done, last_at, last_commands = state.get if state.exists else (None, 0, 0, None, 0)
-        out = []
+        out, latest = [], 0.0
         for t in sorted(x.timestamp() for f in frames for x in f["ts"]):
             started = t if started is None else started
-            commands += 1
+            commands, latest = commands + 1, t
             if decide(started, commands, done, last_at, last_commands, t):
                 done, last_at, last_commands = done + 1, t, commands
                 out.append((key[0], pd.Timestamp(round(t * 1e6), unit="us"), commands))
         state.update((started, commands, done, last_at, last_commands))
-        state.setTimeoutDuration(86_400_000)
+        state.setTimeoutTimestamp(max(int(latest * 1000), state.getCurrentWatermarkMs()) + 86_400_000)
         yield pd.DataFrame(out, columns=["user_id", "at", "commands"])
 
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    return e.groupBy("user_id").applyInPandasWithState(run, "user_id long, at timestamp, commands long", "started double, commands long, done long, last_at double, last_commands long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return e.withWatermark("ts", "1 hour").groupBy("user_id").applyInPandasWithState(run, "user_id long, at timestamp, commands long", "started double, commands long, done long, last_at double, last_commands long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def upsert_latest(e: DataFrame, root: str, checkpoint: str):
