@@ -49,12 +49,47 @@ def discard(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+#: Rows and bytes of the Arrow batches that tasks exchange with Python; bounds memory whatever the texts' length.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's bounds on Arrow batches to BATCH where they are higher or unset."""
+    for key, most in BATCH.items():
+        now = spark.conf.get(key).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+def lean(run):
+    """A mapInArrow function that allocates from the system and returns freed memory to it when a task ends, as Python
+    workers live on and their allocators would keep what the largest task needed."""
+
+    def lean_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ctypes
+
+        pa.set_memory_pool(pa.system_memory_pool())
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        done = 0
+        for out in run(batches):
+            yield out
+            done += 1
+            if trim and done % 16 == 0:
+                trim(0)
+        del batches
+        if trim:
+            trim(0)
+
+    return lean_run
+
+
 def width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def keyed(docs: DataFrame, id_col: str, *cols: str) -> DataFrame:
     """Only the named columns, with the id as _id (null: NULL_ID); other columns, clashing or not, go."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_id"), *[F.col(c).alias(c) for c in cols])
 
 
@@ -71,12 +106,16 @@ def edges(df: DataFrame, parts: int, col: str = "_id") -> list[float]:
 
 
 def range_of(bounds: list[float], col: str = "_id") -> Column:
-    """The number of the range that col falls in, found by binary search over the bounds inside the JVM."""
+    """The number of the range that col falls in, inside the JVM: first the chunk of bounds, then the bound in it, so that
+    a row is compared with about twice the root of their number."""
     if not bounds:
         return F.lit(0)
-    # array_position needs no loop: each bound is compared in one vectorised literal array
-    lit = F.array(*[F.lit(float(b)) for b in bounds])
-    return F.size(F.filter(lit, lambda b: b <= F.col(col).cast("double")))
+    x, step = F.col(col).cast("double"), max(1, round(len(bounds) ** 0.5))
+    chunks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    below = lambda bs: F.size(F.filter(bs, lambda b: b <= x))
+    listed = lambda bs: F.array(*[F.lit(float(b)) for b in bs])
+    chunk = below(listed([c[0] for c in chunks[1:]])) if len(chunks) > 1 else F.lit(0)
+    return chunk * step + below(F.get(F.array(*[listed(c) for c in chunks]), chunk))
 
 
 def slices(texts: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
@@ -124,6 +163,7 @@ def slots_of(ids: DataFrame, col: str) -> np.ndarray:
 
 def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs but for the ids in gone (one column, id_col). Only rows whose slot gone has are exchanged for the anti join."""
+    bounded_batches(docs.sparkSession)
     slots, at = slots_of(gone, id_col), docs.columns.index(id_col)
 
     def side(which: bool):
@@ -132,6 +172,6 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFra
                 hit = slots[b.column(at).fill_null(0).to_numpy(zero_copy_only=False) % SLOTS]
                 yield b.filter(pa.array(hit == which))
 
-        return docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(lean(run), docs.schema)
 
     return side(False).union(side(True).join(gone, id_col, "left_anti").select(docs.columns))

@@ -164,7 +164,7 @@ def block_leaks(docs: DataFrame, items: Items, n_docs: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["seed", "n"])
 
     counts = np.zeros(len(items.distinct), np.int64)  # a number a seed of the block
-    for r in docs.mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect():
+    for r in docs.mapInArrow(common.lean(count), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect():
         counts[r["seed"]] = r["n"]
     shared = sc.broadcast(items.seeded(counts, n_docs))
 
@@ -178,7 +178,7 @@ def block_leaks(docs: DataFrame, items: Items, n_docs: int) -> DataFrame:
                     t, i, *rest = zip(*got, strict=True)
                     yield common.batch(OUT, ids[at + np.array(t)], block.ids[list(i)], *rest)
 
-    return docs.mapInArrow(run, "_id long, item long, score double, seeds long, first_word long, end_word long")
+    return docs.mapInArrow(common.lean(run), "_id long, item long, score double, seeds long, first_word long, end_word long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,7 +67,7 @@ def has_collision(docs: DataFrame, prints: DataFrame, wide: bool) -> bool:
                     rows[key + (hashlib.sha256(data).hexdigest() if wide else ""), pack.compress(data)] = None
             yield common.batch(schema, [k for k, _ in rows], [v for _, v in rows])
 
-    texts = docs.select("text").mapInArrow(shown, "fingerprint string, canon binary")
+    texts = docs.select("text").mapInArrow(common.lean(shown), "fingerprint string, canon binary")
     distinct = texts.groupBy("fingerprint", "canon").agg(F.count("*").alias("n"))
     return not distinct.groupBy("fingerprint").agg(F.count("*").alias("texts")).filter("texts > 1").isEmpty()
 
@@ -99,7 +99,7 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
                 if more:
                     yield common.batch(SENT, [tail_of[int(ids[i])] for i in more], np.ones(len(more), bool), ids[more], [packed[i - at] for i in more])
 
-    dealt = docs.select("_id", "text").mapInArrow(deal, "range int, tail boolean, _id long, packed binary")
+    dealt = docs.select("_id", "text").mapInArrow(common.lean(deal), "range int, tail boolean, _id long, packed binary")
     return dealt.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("range", "tail", "_id", "packed")
 
 
@@ -127,7 +127,7 @@ def edited_prints(docs: DataFrame, wide: bool = False) -> DataFrame:
                 before, done = (part, key, text, mine), tail
             yield common.batch(ROWS, *(zip(*out, strict=True) if out else [[]] * len(ROWS)))
 
-    return with_neighbours(docs).mapInArrow(run, ROWS_DDL)
+    return with_neighbours(docs).mapInArrow(common.lean(run), ROWS_DDL)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -25,7 +25,7 @@ from lorewell.llm import common
 
 ORDER = 3
 #: Documents a language that training takes, about.
-SAMPLE_DOCS = 1500
+SAMPLE_DOCS = 600
 #: Contexts kept, the most frequent ones; bounds the broadcast table.
 MAX_CONTEXTS = 24_000
 #: Code lengths are kept in units of 1/UNIT bits.
@@ -148,6 +148,7 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score; all its other columns must not have these names."""
+    common.bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
     at = docs.columns.index(text_col)
@@ -158,7 +159,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
             langs, scores = shared.value.predict(texts) if shared.value else (["und"] * len(texts), [0.0] * len(texts))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(common.lean(run), schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

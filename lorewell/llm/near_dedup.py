@@ -76,7 +76,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 hashes = [xxhash.xxh3_128_hexdigest(h[c : c + m].tobytes()) for c, m in zip(cut.tolist(), size.tolist(), strict=True)]
                 yield common.batch(SIG, b.column(0)[at:to], size.astype(np.int64), hashes, bands, [x.tobytes() for x in byte])
 
-    return docs.select("_id", "text").mapInArrow(run, SIG_DDL)
+    return docs.select("_id", "text").mapInArrow(common.lean(run), SIG_DDL)
 
 
 def least_equal(similarity: float) -> int:
@@ -100,7 +100,7 @@ def likely(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFram
             u, v = (np.frombuffer(b"".join(r.column(c).to_pylist()), np.uint8).reshape(-1, COORDS) for c in (2, 3))
             yield r.select([0, 1]).filter(pa.array((u == v).sum(1) >= least))
 
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(common.lean(run), "a long, b long")
 
 
 def involved_sets(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
@@ -118,7 +118,7 @@ def involved_sets(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
                 cut = np.searchsorted(doc, np.arange(to - at + 1))
                 yield common.batch(schema, b.column(0)[at:to], [h[i:j].tobytes() for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)])
 
-    return docs.select("_id", "text").mapInArrow(run, "_id long, set binary")
+    return docs.select("_id", "text").mapInArrow(common.lean(run), "_id long, set binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -137,7 +137,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common_size >= percent * (len(both) - common_size))
             yield r.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(common.lean(run), "a long, b long").distinct()
 
 
 def small_cross_pairs(members: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = WINDOW
             cuts = [ids[d][4 * a : 4 * z] for d, a, z in zip(doc.tolist(), start.tolist(), (start + length).tolist(), strict=True)]
             yield common.batch(schema, b.column(0).to_numpy()[doc], start, length, n[doc], sequence, begin - sequence * window, [zlib.crc32(x) for x in cuts] if digest else cuts)
 
-    out = table.mapInArrow(cut, f"{COLUMNS}, " + ("ids_crc32 long" if digest else "ids binary"))
+    out = table.mapInArrow(common.lean(cut), f"{COLUMNS}, " + ("ids_crc32 long" if digest else "ids binary"))
     return out.select(common.restored(F.col("_id")).alias("doc_id"), *out.columns[1:])
 
 

@@ -157,6 +157,7 @@ ROWS = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), ("path", pa.str
 
 def classify(docs: DataFrame, model: Evidence | None, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, evidence, toxic, host_posterior, path_posterior, score, kept."""
+    common.bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +169,7 @@ def classify(docs: DataFrame, model: Evidence | None, host: Column, path: Column
                 yield common.batch(ROWS, cut.column(0), cut.column(1), cut.column(2), p[:, 0], p[:, 1])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.col(text_col).alias("text"))
-    evidence, _ = common.materialize(rows.mapInArrow(run, "doc_id long, host string, path string, p double, toxic double"), "evidence")
+    evidence, _ = common.materialize(rows.mapInArrow(common.lean(run), "doc_id long, host string, path string, p double, toxic double"), "evidence")
     sites, mean = posteriors(evidence)
     sites = sites.withColumnsRenamed({"host": "h", "path": "q"})
     out = evidence.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q")))

@@ -140,7 +140,7 @@ def anchor_rows(docs: DataFrame, buckets: int, length: int) -> DataFrame:
                     [pa.array(used), pa.array(np.full(n, KEEP, np.int32)), *none, *[pa.array([x[g].tobytes() for g in groups], pa.binary()) for x in (ids[row], marks[row], anchor, whole, spans)]], schema=A_SCHEMA
                 )
 
-    return docs.select("_id", "mark", "text").mapInArrow(run, A_DDL)
+    return docs.select("_id", "mark", "text").mapInArrow(common.lean(run), A_DDL)
 
 
 def judged(rows: DataFrame, buckets: int, frequent: int) -> DataFrame:
@@ -179,7 +179,7 @@ def judged(rows: DataFrame, buckets: int, frequent: int) -> DataFrame:
             k = told[at : at + 100_000]
             yield common.batch(V_SCHEMA, ids[k], marks[k], kind[k].astype(np.int32), spans[k])
 
-    return rows.repartitionById(buckets, F.col("bucket")).mapInArrow(run, V_DDL)
+    return rows.repartitionById(buckets, F.col("bucket")).mapInArrow(common.lean(run), V_DDL)
 
 
 def needed(docs: DataFrame, by_doc: DataFrame) -> DataFrame:
@@ -190,7 +190,7 @@ def needed(docs: DataFrame, by_doc: DataFrame) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(slots[b.column(0).to_numpy() % common.SLOTS]))
 
-    return docs.mapInArrow(run, docs.schema).join(by_doc, ["_id", "mark"])
+    return docs.mapInArrow(common.lean(run), docs.schema).join(by_doc, ["_id", "mark"])
 
 
 C_SCHEMA = pa.schema([("anchor", pa.int64()), ("kind", pa.int32()), ("_id", pa.int64()), ("mark", pa.int64()), ("span", pa.int64()), ("text", pa.binary())])
@@ -236,7 +236,7 @@ def context_texts(docs: DataFrame, requests: DataFrame, length: int) -> DataFram
                     whole, windows, held = [], {}, 0
         yield sent(whole, windows)
 
-    return needed(docs, spans).mapInArrow(run, C_DDL)
+    return needed(docs, spans).mapInArrow(common.lean(run), C_DDL)
 
 
 def suffix_ranks(symbols: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
@@ -385,7 +385,7 @@ def later_occurrences(rows: DataFrame, buckets: int, length: int) -> DataFrame:
             yield from found(held)
 
     dealt = rows.repartitionById(buckets, F.pmod("anchor", F.lit(buckets)).cast("int")).sortWithinPartitions("anchor")
-    return dealt.mapInArrow(run, V_DDL)
+    return dealt.mapInArrow(common.lean(run), V_DDL)
 
 
 def united(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -456,8 +456,8 @@ def without_repeats(docs: DataFrame, length: int = MIN_LENGTH, id_col: str = "do
         for b in batches:
             yield b.filter(pa.array(slots[b.column(0).to_numpy() % common.SLOTS]))
 
-    untouched = d.mapInArrow(whole, ddl)
-    touched = d.mapInArrow(some, d.schema).join(by_doc, ["_id", "mark"], "left").select("_id", "mark", "text", "cuts", *names).mapInArrow(joined, ddl)
+    untouched = d.mapInArrow(common.lean(whole), ddl)
+    touched = d.mapInArrow(common.lean(some), d.schema).join(by_doc, ["_id", "mark"], "left").select("_id", "mark", "text", "cuts", *names).mapInArrow(common.lean(joined), ddl)
     return untouched.union(touched)
 
 

@@ -50,7 +50,7 @@ def token_table(docs: DataFrame, path: str, end_id: int, text_col: str = "text")
                 before += int(n.sum())
                 yield common.batch(IDS, b.column(0)[at : at + 2000], np.full(len(n), part), start, n, ids)
 
-    return docs.select("_id", text_col).mapInArrow(run, IDS_DDL)
+    return docs.select("_id", text_col).mapInArrow(common.lean(run), IDS_DDL)
 
 
 def limited_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -155,7 +155,7 @@ def write_store(docs: DataFrame, store: str, tokenizer_path: str, end_id: int, i
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
     counts = np.zeros(n_vocab, np.int64)  # at most as many rows as the vocabulary has ids
-    for r in table.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in table.select("ids").mapInArrow(common.lean(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r["id"]] = r["n"]
     lengths = limited_lengths(counts, max(MAX_BITS, int(np.ceil(np.log2(max(2, np.count_nonzero(counts)))))))
     codes = canonical_codes(lengths)
@@ -195,7 +195,7 @@ def write_store(docs: DataFrame, store: str, tokenizer_path: str, end_id: int, i
             yield block()
 
     ordered = ranged.select("range", "_id", "ids").repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("_id", "ids")
-    ordered.mapInArrow(encode, BLOCKS_DDL).write.option("compression", "none").parquet(f"{store}/blocks")
+    ordered.mapInArrow(common.lean(encode), BLOCKS_DDL).write.option("compression", "none").parquet(f"{store}/blocks")
     spark.createDataFrame([(lengths.tobytes(), end_id, MAX_BITS)], "lengths binary, end_id long, max_bits long").coalesce(1).write.parquet(f"{store}/header")
     common.discard(spark, scratch)
     return store
@@ -220,7 +220,7 @@ def read_store(spark: SparkSession, store: str, digest: bool = False) -> DataFra
                 yield common.batch(schema, np.frombuffer(r["doc_ids"], "<i8"), r["start"] + after - n, n, [zlib.crc32(x) for x in cut] if digest else cut)
 
     blocks = spark.read.schema(BLOCKS_DDL).parquet(f"{store}/blocks")
-    out = blocks.mapInArrow(decode, "_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids binary"))
+    out = blocks.mapInArrow(common.lean(decode), "_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids binary"))
     return out.select(common.restored(F.col("_id")).alias("doc_id"), *out.columns[1:])
 
 

@@ -15,7 +15,7 @@ from lorewell.llm.common import mix
 PLAIN = 0x250
 SPACE, LETTER, NUMBER, OTHER, EDGE = range(5)
 #: Code points handled at once.
-SLICE_CHARS = 3_000_000
+SLICE_CHARS = 1_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -82,7 +82,7 @@ class Encoder:
     model sees each distinct piece of a slice once, or never if the cache has it. Texts with characters beyond PLAIN or
     with special tokens, and all texts of other tokenizers, go to the library whole."""
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

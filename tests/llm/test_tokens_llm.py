@@ -113,3 +113,14 @@ def test_chat_folds_and_reads_back(spark):
         said = [r["formatted"][s["start"] : s["start"] + s["length"]] for s in r["loss_spans"]]
         assert said == [v[1] for k, v in sorted(got.items(), key=str) if k[0] == r["conv_id"] and v[0] == "assistant"]
     assert chat.format_conversations(chat.fold(events.limit(0), kind_col="kind")).count() == 0
+
+
+def test_range_of_is_a_binary_search(spark):
+    import bisect
+
+    from lorewell.llm import common
+
+    for n in (0, 1, 2, 7, 50):
+        bounds = sorted({float(k * k % 101) for k in range(n)})
+        rows = spark.range(-3, 105).select("id", common.range_of(bounds, "id").alias("r")).collect()
+        assert [r["r"] for r in rows] == [bisect.bisect_right(bounds, r["id"]) for r in rows]
