@@ -24,7 +24,7 @@ from lorewell.llm import common
 from lorewell.llm.decontamination import BREAKS
 from lorewell.llm.shingles import words
 
-SAMPLE = 12_000
+SAMPLE = 8_000
 #: Documents of the sample that a word must be in to count.
 LEAST_DOCS = 5
 #: Standard errors by which log-odds are drawn to 0.
@@ -60,13 +60,19 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return pair % BUCKETS, pair // BUCKETS, shape
 
 
+def features_by_slices(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """features() of many texts, a slice at a time, so that only their results stay."""
+    found = [(at, *features(texts[at:to])) for at, to in common.slices(texts, 1 << 20)]
+    return np.concatenate([b for _, b, _, _ in found]), np.concatenate([d + at for at, _, d, _ in found]), np.concatenate([x for _, _, _, x in found])
+
+
 class Evidence:
     """P(quality) and P(toxic) of texts. One half of the sample tells each word bucket's log-odds under both targets, the
     other half fits a logistic model on the shape numbers and on a text's most telling words."""
 
     def __init__(self, texts: list[bytes], target: np.ndarray, steps: int = 400, rate: float = 0.3):
         half = np.arange(len(texts)) % 2 == 0
-        bucket, doc, shape = features(texts)
+        bucket, doc, shape = features_by_slices(texts)
         own = half[doc]
         n = np.bincount(bucket[own], minlength=BUCKETS)
         self.odds = np.zeros((BUCKETS, 2))
