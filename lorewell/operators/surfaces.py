@@ -54,7 +54,7 @@ def knowledge_index(n: DataFrame) -> DataFrame:
     return notes_overview.tag_frequency(n).orderBy(F.desc("n"), "tag").limit(20)
 
 
-def brain_metrics(n: DataFrame, e: DataFrame) -> DataFrame:
+def knowledge_metrics(n: DataFrame, e: DataFrame) -> DataFrame:
     """Scalar counts over notes and edges in one row each."""
     a = n.agg(
         F.count("*").alias("notes"), F.count_if(notes_overview.is_active_path(F.col("rel_path"))).alias("active"), F.count_if(F.array_contains("tags", "claim")).alias("claims"), F.count_if(F.array_contains("tags", "decision")).alias("decisions"),
@@ -125,7 +125,7 @@ def queue(s, d):
 
 QUERIES = {
     "review_queue": queue, "review_severity": lambda s, d: severity_counts(queue(s, d)), "schedule_proposal": lambda s, d: schedule(notes(s, d)), "customer_dashboard": lambda s, d: customer_dashboard(notes(s, d)), "customer_timeline": lambda s, d: timeline(notes(s, d)),
-    "knowledge_index": lambda s, d: knowledge_index(notes(s, d)), "brain_metrics": lambda s, d: brain_metrics(n := notes(s, d), links.edges(n)), "client_fuzzy": sample_names, "secret_redaction": lambda s, d: redaction(table(s, d, "documents")), "page_profile": lambda s, d: page_profile(table(s, d, "pages")), "rule_quality": junk_quality,
+    "knowledge_index": lambda s, d: knowledge_index(notes(s, d)), "knowledge_metrics": lambda s, d: knowledge_metrics(n := notes(s, d), links.edges(n)), "client_fuzzy": sample_names, "secret_redaction": lambda s, d: redaction(table(s, d, "documents")), "page_profile": lambda s, d: page_profile(table(s, d, "pages")), "rule_quality": junk_quality,
 }
 LIFE = notes_overview.SQL["lifecycle_suggestions"]
 QUEUE_SQL = LIFE[: LIFE.index("SELECT rel_path, rule.action")] + ", life AS (" + LIFE[LIFE.index("SELECT rel_path, rule.action") :] + ")" + notes_overview.EVIDENCE_SQL[notes_overview.EVIDENCE_SQL.index(", cand AS") :] + """, queue AS (
@@ -139,7 +139,7 @@ SQL = {
     "customer_dashboard": NOTES_SQL + "SELECT source AS client, count(*) AS notes, CAST(sum(open_todos) AS BIGINT) AS open_todos, count(*) FILTER (list_contains(tags, 'decision')) AS decisions, strftime(max(last_modified), '%Y-%m-%d') AS latest FROM notes WHERE starts_with(rel_path, 'Kunden/') GROUP BY 1",
     "customer_timeline": NOTES_SQL + "SELECT rel_path, coalesce(datum, strftime(last_modified, '%Y-%m-%d')) AS day, CASE WHEN list_contains(tags, 'decision') THEN 'decision' WHEN open_todos + done_todos > 0 THEN 'task' ELSE 'note' END AS kind FROM notes WHERE starts_with(rel_path, 'Kunden/')",
     "knowledge_index": NOTES_SQL + "SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM notes) GROUP BY 1 ORDER BY n DESC, tag LIMIT 20",
-    "brain_metrics": NOTES_SQL + "SELECT count(*) AS notes, count(*) FILTER (NOT starts_with(lower(rel_path), 'archiv/')) AS active, count(*) FILTER (list_contains(tags, 'claim')) AS claims, count(*) FILTER (list_contains(tags, 'decision')) AS decisions, count(confidence) AS with_confidence, CAST(sum(len(out_links)) AS BIGINT) AS links, CAST(sum(open_todos + done_todos) AS BIGINT) AS todos, (SELECT count(*) FROM links) AS edges, (SELECT count(DISTINCT dst) FROM links) AS linked FROM notes",
+    "knowledge_metrics": NOTES_SQL + "SELECT count(*) AS notes, count(*) FILTER (NOT starts_with(lower(rel_path), 'archiv/')) AS active, count(*) FILTER (list_contains(tags, 'claim')) AS claims, count(*) FILTER (list_contains(tags, 'decision')) AS decisions, count(confidence) AS with_confidence, CAST(sum(len(out_links)) AS BIGINT) AS links, CAST(sum(open_todos + done_todos) AS BIGINT) AS todos, (SELECT count(*) FROM links) AS edges, (SELECT count(DISTINCT dst) FROM links) AS linked FROM notes",
     "page_profile": "SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '<h[1-6]>')) AS BIGINT) AS n_headings, CAST(len(regexp_extract_all(html, '<a href=')) AS BIGINT) AS n_links, CAST(len(list_filter(string_split_regex(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>', ' ', 'g'), '(?s)<!--.*?-->|<[^>]*>', ' ', 'g'), '[ \\t\\n\\r]+'), lambda w: w <> '')) AS BIGINT) AS n_words FROM pages",
     "rule_quality": "WITH f AS (SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE NOT regexp_matches(text, '[!*#$%&]{2}')), e AS (SELECT doc_id FROM labels WHERE quality = 1), c AS (SELECT (SELECT count(*) FROM f WHERE doc_id IN (SELECT doc_id FROM e)) AS hit, (SELECT count(*) FROM f) AS found, (SELECT count(*) FROM e) AS expected) SELECT round(hit / found, 6) AS precision, round(hit / expected, 6) AS recall, round(1.25 * (hit / found) * (hit / expected) / (0.25 * hit / found + hit / expected), 6) AS f05 FROM c",
 }

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import DataFrame
 
-PROTECTED = (".obsidian/", ".git/", "Daily/", "Templates/")
+PROTECTED = (".git/", ".trash/", "Daily/", "Templates/")
 
 
 class Refused(Exception):
