@@ -65,6 +65,8 @@ def pieces_of(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.
 def contexts(parts: list[bytes], length: int = MIN_LENGTH) -> tuple[np.ndarray, ...]:
     """Runs of windows with one anchor: joined bytes, piece, anchor hash, context hash, first and last window start."""
     data = np.frombuffer(b"".join(parts), np.uint8)
+    if len(data) > 1 << PLACE_BITS:
+        raise ValueError(f"{len(data)} bytes at once: positions take {PLACE_BITS} bits")
     z = np.zeros(0, np.int64)
     if len(data) < length:
         return data, z, z.astype(np.uint64), z.astype(np.uint64), z, z
@@ -222,18 +224,22 @@ def context_texts(docs: DataFrame, requests: DataFrame, length: int) -> DataFram
         for b in batches:
             for key, mark, text, asked, often in zip(*(b.column(c).to_pylist() for c in ("_id", "mark", "text", "asked", "often")), strict=True):
                 data = (text or "").encode()
+                # a document's contexts may be several times its size, so that it is cut between them too
                 for s in asked:
                     part = data[s >> LENGTH_BITS : (s >> LENGTH_BITS) + (s & mask)]
                     whole.append((key, mark, s, part))
                     held += len(part)
+                    if held >= SLICE // 2:
+                        yield sent(whole, windows)
+                        whole, windows, held = [], {}, 0
                 for s in often:
                     at = s >> LENGTH_BITS
                     for k in range(at, at + (s & mask) - length + 1):
                         windows.setdefault(data[k : k + length], []).append((key, mark, k))
                         held += length
-                if held >= SLICE // 2:
-                    yield sent(whole, windows)
-                    whole, windows, held = [], {}, 0
+                    if held >= SLICE // 2:
+                        yield sent(whole, windows)
+                        whole, windows, held = [], {}, 0
         yield sent(whole, windows)
 
     return needed(docs, spans).mapInArrow(common.lean(run), C_DDL)

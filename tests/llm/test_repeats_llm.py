@@ -80,3 +80,16 @@ def test_edges(spark):
     low = -(2**63)
     assert out[(low, 300)] == 290 and out[(4, 300)] == 300 and out[(4, 301)] == 300 and out[(5, 0)] == 0 and len(out) == 4
     assert repeats.without_repeats(rows.limit(0)).count() == 0
+
+
+def test_contexts_of_one_document_beyond_the_bits_of_a_position(spark):
+    text = "".join(random.Random(5).choices("abcdefghijklmnopqrstuvwxyz ", k=1_500_000))
+    _, _, anchor, _, lo, hi = repeats.contexts([text.encode()])
+    spans = repeats.span(lo, hi - lo + 100)
+    assert (hi - lo + 100).sum() > 1 << repeats.PLACE_BITS
+    docs = spark.createDataFrame([(1, 0, text)], "_id long, mark long, text string")
+    asked = spark.createDataFrame([(1, 0, repeats.REQUEST, s) for s in spans.tolist()], "_id long, mark long, kind int, span long")
+    found = {r["span"]: r["anchor"] for r in repeats.context_texts(docs, asked, 100).select("span", "anchor").collect()}
+    assert found == dict(zip(spans.tolist(), anchor.view(np.int64).tolist(), strict=True))
+    with pytest.raises(ValueError):
+        repeats.contexts([b"x" * ((1 << repeats.PLACE_BITS) + 1)])
