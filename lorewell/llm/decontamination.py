@@ -1,7 +1,7 @@
-"""Benchmark decontamination: rare word n-grams of test items seed candidates, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: word n-grams of test items seed candidates, Smith-Waterman alignment scores them.
 
-An item's seeds are its SEED-word n-grams that few documents hold (at most RARE of all or FEW, counted over the whole corpus)
-and its LEAST rarest ones whatever their count, so that an item that leaked everywhere is still found. Seed hits of one
+An item's seeds are all its SEED-word n-grams, whatever number of documents holds them, so that what is found of a copy
+depends neither on how often its item leaked nor on the size of the corpus. Seed hits of one
 item that lie on near diagonals, MIN_HITS of them at least (or all seeds of a shorter item), make a passage; item and
 passage are aligned locally by words (match 1, mismatch and gap -1), which tolerates edits. score is the alignment's
 score over the item's words; THRESHOLD or more is a leak. Items with fewer words than a seed match texts that are the
@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from lorewell.llm import common
 from lorewell.llm.shingles import IS_SPACE, STEP, words
 
-SEED, RARE, FEW, LEAST, MIN_HITS, THRESHOLD = 3, 0.0005, 10, 12, 2, 0.4
+SEED, MIN_HITS, THRESHOLD = 3, 2, 0.4
+#: Seed hits (of whole texts) and words of passages that are handled at once.
+HITS, CELLS = 1 << 19, 1 << 18
 BLOCK_ITEMS = 20_000
 #: Words are runs of bytes other than ASCII control characters, space and punctuation.
 BREAKS = IS_SPACE.copy()
@@ -73,58 +75,73 @@ class Items:
         self.words = [h[first[i] : first[i + 1]] for i in range(len(texts))]
         order = np.lexsort((at, item, gram))
         self.gram, self.item, self.place = gram[order], item[order], (at - first[item])[order]
-        self.distinct = np.unique(self.gram)
-
-    def seeded(self, counts: np.ndarray, documents: int) -> Items:
-        """Only the rare seeds; counts: documents that hold each distinct n-gram."""
-        n = counts[np.searchsorted(self.distinct, self.gram)]
-        order = np.lexsort((self.place, n, self.item))
-        item = self.item[order]
-        rank = np.arange(len(order)) - np.searchsorted(item, item)
-        keep = np.zeros(len(order), bool)
-        keep[order] = (rank < LEAST) | (n[order] <= max(FEW, RARE * documents))
-        self.gram, self.item, self.place = self.gram[keep], self.item[keep], self.place[keep]
         self.need = np.minimum(MIN_HITS, np.bincount(self.item, minlength=len(self.ids)))
-        return self
+        self.size = np.array([len(w) for w in self.words])
 
     def leaks(self, texts: list[bytes]) -> list[tuple[int, int, float, int, int, int]]:
         """text, item, score, seeds hit, first and last word + 1 of the best passage, for all leaks."""
         gram, at, doc, h, owner = grams(texts)
         lo, hi = np.searchsorted(self.gram, gram, "left"), np.searchsorted(self.gram, gram, "right")
         hit = np.flatnonzero(hi > lo)
-        n = (hi - lo)[hit]
-        k = np.repeat(lo[hit] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        where = np.repeat(hit, n)
+        lo, n, at, doc = lo[hit], (hi - lo)[hit], at[hit], doc[hit]
+        word_from = np.searchsorted(owner, np.arange(len(texts) + 1))
+        per_text = np.cumsum(np.bincount(doc, n, len(texts)).astype(np.int64))
+        best: dict[tuple[int, int], tuple[float, int, int, int]] = {}
+        first = 0
+        while first < len(texts):
+            done = int(per_text[first - 1]) if first else 0
+            to = max(first + 1, int(np.searchsorted(per_text, done + HITS, "right")))
+            k = slice(*np.searchsorted(doc, (first, to)).tolist())
+            self.aligned(self.passages(lo[k], n[k], at[k], doc[k], word_from), h, word_from, best)
+            first = to
+        return [(t, i, *v) for (t, i), v in sorted(best.items())]
+
+    def passages(self, lo: np.ndarray, n: np.ndarray, at: np.ndarray, doc: np.ndarray, word_from: np.ndarray) -> tuple[np.ndarray, ...]:
+        """text, item, first and last word + 1, and seed hits of the places where enough seeds lie on near diagonals; lo and
+        n: the seeds that each hit n-gram is, at and doc: where it stands."""
+        k = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        where = np.repeat(np.arange(len(n)), n)
         text, item, start = doc[where], self.item[k], at[where] - self.place[k]
         order = np.lexsort((start, item, text))
         text, item, start = text[order], item[order], start[order]
-        size = np.array([len(w) for w in self.words])
         new = np.ones(len(text), bool)
-        new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (start[1:] > start[:-1] + np.maximum(4, size[item[1:]] // 4))
+        new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (start[1:] > start[:-1] + np.maximum(4, self.size[item[1:]] // 4))
         first = np.flatnonzero(new)
         hits = np.diff(np.append(first, len(text)))
         last = start[first + hits - 1]
         first, last, hits = (x[hits >= self.need[item[first]]] for x in (first, last, hits))
-        word_from = np.searchsorted(owner, np.arange(len(texts) + 1))
-        by_item: dict[int, list[tuple[int, int, int, int]]] = {}
-        for f, z, m in zip(first.tolist(), last.tolist(), hits.tolist(), strict=True):
-            t, i = int(text[f]), int(item[f])
-            margin = max(3, size[i] // 2)
-            a, b = max(int(word_from[t]), int(start[f]) - margin), min(int(word_from[t + 1]), z + int(size[i]) + margin)
-            by_item.setdefault(i, []).append((t, a, b, m))
-        best: dict[tuple[int, int], tuple[float, int, int, int]] = {}
-        for i, found in by_item.items():
-            for part in (found[j : j + 256] for j in range(0, len(found), 256)):
-                width = max(b - a for _, a, b, _ in part)
-                passages = np.zeros((len(part), width), np.uint64)
-                for r, (_, a, b, _) in enumerate(part):
-                    passages[r, : b - a] = h[a:b]
-                score, end = align(self.words[i], passages)
-                for (t, a, _, m), s, e in zip(part, (score / max(1, size[i])).tolist(), end.tolist(), strict=True):
-                    if s >= THRESHOLD and s > best.get((t, i), (0.0,))[0]:
-                        stop = a + e - int(word_from[t])
-                        best[t, i] = (s, m, max(0, stop - int(size[i])), stop)
-        return [(t, i, *v) for (t, i), v in sorted(best.items())]
+        text, item, start = text[first], item[first], start[first]
+        margin = np.maximum(3, self.size[item] // 2)
+        return text, item, np.maximum(word_from[text], start - margin), np.minimum(word_from[text + 1], last + self.size[item] + margin), hits
+
+    def aligned(self, found: tuple[np.ndarray, ...], h: np.ndarray, word_from: np.ndarray, best: dict[tuple[int, int], tuple[float, int, int, int]]) -> None:
+        """Puts into best the score, seed hits, first and last word + 1 of each text's and item's best passage."""
+        text, item, a, b, hits = found
+        order = np.lexsort((b - a, item))
+        text, item, a, b, hits = (x[order] for x in found)
+        at = 0
+        while at < len(item):
+            i = int(item[at])
+            width = (b - a)[at : int(np.searchsorted(item, i, "right"))]
+            rows = max(1, int(np.searchsorted(width * np.arange(1, len(width) + 1), CELLS, "right")))
+            part = slice(at, at + rows)
+            at += rows
+            ramp = np.arange(int(width[rows - 1]))
+            inside = ramp < width[:rows, None]
+            passages = np.where(inside, h[np.minimum(a[part, None] + ramp, len(h) - 1)], np.uint64(0))
+            size = max(1, int(self.size[i]))
+            # no alignment scores more than the words of its passage that the item has
+            known = np.unique(self.words[i])
+            held = (known[np.minimum(np.searchsorted(known, passages), len(known) - 1)] == passages) & inside
+            able = held.sum(1) / size >= THRESHOLD
+            if not able.any():
+                continue
+            score, end = align(self.words[i], passages[able])
+            for t, start, m, s, e in zip(*(x[part][able].tolist() for x in (text, a, hits)), (score / size).tolist(), end.tolist(), strict=True):
+                stop = start + e - int(word_from[t])
+                was = best.get((t, i))
+                if s >= THRESHOLD and (was is None or (s, -stop) > (was[0], -was[3])):
+                    best[t, i] = (s, m, max(0, stop - size), stop)
 
 
 OUT = pa.schema([("_id", pa.int64()), ("item", pa.int64()), ("score", pa.float64()), ("seeds", pa.int64()), ("first_word", pa.int64()), ("end_word", pa.int64())])
@@ -135,38 +152,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     spark = docs.sparkSession
     d = common.keyed(docs, id_col, text_col)
     items = common.keyed(benchmark, item_col, item_text_col).filter(F.trim(item_text_col) != "")
-    n_items, n_docs = items.count(), d.count()
+    n_items = items.count()
     bounds = common.edges(items, -(-n_items // BLOCK_ITEMS))
     placed = items.withColumn("block", common.range_of(bounds))
-    found = [block_leaks(d, Items(*zip(*rows, strict=True)), n_docs) for k in range(len(bounds) + 1) if (rows := [(r[0], r[1].encode()) for r in placed.filter(F.col("block") == k).orderBy("_id", item_text_col).select("_id", item_text_col).collect()])]
+    found = [block_leaks(d, Items(*zip(*rows, strict=True))) for k in range(len(bounds) + 1) if (rows := [(r[0], r[1].encode()) for r in placed.filter(F.col("block") == k).orderBy("_id", item_text_col).select("_id", item_text_col).collect()])]
     if not found:
         return spark.createDataFrame([], "doc_id long, item_id long, score double, seeds long, first_word long, end_word long")
     out = reduce(DataFrame.union, found)
     return out.select(common.restored(F.col("_id")).alias("doc_id"), common.restored(F.col("item")).alias("item_id"), "score", "seeds", "first_word", "end_word")
 
 
-def block_leaks(docs: DataFrame, items: Items, n_docs: int) -> DataFrame:
-    sc = docs.sparkSession.sparkContext
-    distinct = sc.broadcast(items.distinct)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = distinct.value
-        total = np.zeros(len(known), np.int64)
-        for b in batches:
-            texts = common.utf8(b.column(1))
-            for at, to in common.slices(texts):
-                gram, _, doc, _, _ = grams(texts[at:to])
-                k = np.minimum(np.searchsorted(known, gram), len(known) - 1)
-                ok = known[k] == gram
-                pair = np.unique(k[ok] * (to - at) + doc[ok])
-                total += np.bincount(pair // (to - at), minlength=len(known))
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["seed", "n"])
-
-    counts = np.zeros(len(items.distinct), np.int64)  # a number a seed of the block
-    for r in docs.mapInArrow(common.lean(count), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect():
-        counts[r["seed"]] = r["n"]
-    shared = sc.broadcast(items.seeded(counts, n_docs))
+def block_leaks(docs: DataFrame, items: Items) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value

@@ -81,6 +81,25 @@ def test_leaks_are_found_and_clean_documents_left(spark, monkeypatch):
     assert decontamination.leaks(table_.limit(0), bench).count() == 0 and decontamination.leaks(table_, bench.limit(0)).count() == 0
 
 
+def test_partial_and_edited_copies_of_widely_leaked_items(spark):
+    item = [f"w{i}" for i in range(40)]
+    head = [f"x{i}" if i in (1, 4, 7, 10) else w for i, w in enumerate(item)]
+    texts = [" ".join(item)] * 300 + [" ".join(item[16:])] * 50 + [" ".join(item[:24])] * 50 + [" ".join(head)] * 20 + ["others " * 40] * 20
+    bench = spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in decontamination.leaks(table(spark, texts), bench).collect()}
+    assert got == dict.fromkeys(range(300), 1.0) | dict.fromkeys(range(300, 400), 0.6) | dict.fromkeys(range(400, 420), 0.8)
+
+
+def test_hits_and_passages_in_portions_give_the_same(monkeypatch):
+    rng = random.Random(3)
+    items = [" ".join(rng.choices("abcdefgh", k=rng.randrange(1, 30))).encode() for _ in range(40)]
+    texts = [" ".join(rng.choices("abcdefgh", k=rng.randrange(80))).encode() for _ in range(60)]
+    whole = decontamination.Items(list(range(40)), items).leaks(texts)
+    monkeypatch.setattr(decontamination, "HITS", 50)
+    monkeypatch.setattr(decontamination, "CELLS", 200)
+    assert whole and decontamination.Items(list(range(40)), items).leaks(texts) == whole
+
+
 def test_quality_held_out_and_edges(spark):
     sf = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
