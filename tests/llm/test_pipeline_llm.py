@@ -34,3 +34,18 @@ def test_stages_take_effect_and_pack_what_is_kept(spark):
     for k, text in kept["decontamination"].items():
         ids = [*t.encode(text, add_special_tokens=False).ids, 0]
         assert b"".join(x for _, x in sorted(got[k])) == struct.pack(f"<{len(ids)}I", *ids)
+
+
+def test_null_and_repeated_ids(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    word = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    rows = [(None, word("a")), (None, word("a")), (None, word("b")), (5, word("c")), (5, word("c")), (5, word("d")), (4, word("d")), (6, None), (6, None), (None, ""), (None, "")]
+    table = lambda rows: spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], docs.select(*pipeline.COLUMNS).schema)
+    near, cut, clean = (stage for _, stage in pipeline.STAGES[1:4])
+    told = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    rest = [(6, None), (6, None), (None, ""), (None, "")]
+    assert told(near(spark, table(rows), SF)) == sorted([(None, word("a")), (None, word("b")), (5, word("c")), (4, word("d")), *rest], key=str)
+    assert told(cut(spark, table([*rows[:5], *rest, (None, "short"), (None, "short")]), SF)) == sorted([(None, word("a")), (None, word("b")), (5, word("c")), (6, ""), (6, ""), *rest[2:], (None, "short"), (None, "short")], key=str)  # null counts as empty
+    leaking = word("e") + " " + item
+    assert told(clean(spark, table([(None, leaking), (None, word("a")), (5, leaking), (5, word("c")), *rest]), SF)) == sorted([(None, word("a")), (5, word("c")), *rest], key=str)
