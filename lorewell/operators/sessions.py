@@ -78,18 +78,28 @@ def claims(docs: DataFrame, modals: str = MODALS, key: str = "doc_id") -> DataFr
     return s.filter(F.regexp_like(F.lower("claim"), F.lit(rf"(?<![a-z0-9_])({modals})(?![a-z0-9_])")) & ~F.col("claim").endswith("?")).distinct()
 
 
-def contradictions(c: DataFrame, negations: str = "nicht|kein|keine|never|not|no", most_common: int = 50, key: str = "doc_id", most: int = 5) -> DataFrame:
+def contradictions(c: DataFrame, negations: str = "nicht|kein|keine|never|not|no", most_common: int | None = None, key: str = "doc_id", most: int = 5) -> DataFrame:
     """Pairs of claims of different documents that share two important terms and differ in negation; of each claim the
-    first `most` partners. Terms in more than most_common claims tell nothing and do not join."""
+    first `most` partners. Claims meet by pairs of terms; of each such group only the partners that can be among the first
+    are joined: `most` claims of each of the first most + 1 documents. With most_common, terms in more claims than that do
+    not count."""
     terms = F.slice(F.filter(F.split(F.regexp_replace(F.lower("claim"), r"[^\p{L}\p{N}\s-]", " "), r"\s+"), lambda w: F.length(w) >= 5), 1, 10)
     negated = F.regexp_like(F.lower("claim"), F.lit(rf"(?<![a-z0-9_])({negations})(?![a-z0-9_])"))
-    t = c.select(key, "claim", negated.alias("neg"), F.explode(F.array_distinct(terms)).alias("term"))
-    rare = t.groupBy("term").agg(F.count("*").alias("n")).filter(F.col("n") <= most_common).select("term")
-    t = t.join(rare, "term")
-    other = t.select("term", F.col(key).alias("other_id"), F.col("claim").alias("other"), F.col("neg").alias("other_neg"))
-    pairs = t.join(other, "term").filter((F.col(key) != F.col("other_id")) & (F.col("neg") != F.col("other_neg"))).groupBy(key, "claim", "other_id", "other").agg(F.count("*").alias("shared")).filter("shared >= 2")
+    t = c.select(key, "claim", negated.alias("neg"), F.array_distinct(terms).alias("terms"))
+    if most_common is not None:
+        t = t.select(key, "claim", "neg", F.explode("terms").alias("term"))
+        rare = t.groupBy("term").agg(F.count("*").alias("n")).filter(F.col("n") <= most_common).select("term")
+        t = t.join(rare, "term").groupBy(key, "claim", "neg").agg(F.collect_list("term").alias("terms"))
+    pairs = F.flatten(F.transform("terms", lambda a: F.transform(F.filter("terms", lambda b: a < b), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    met = t.select("*", F.explode(pairs).alias("pair"))
+    in_doc = F.row_number().over(Window.partitionBy("pair", "neg", key).orderBy("claim"))
+    docs_before = F.dense_rank().over(Window.partitionBy("pair", "neg").orderBy(key))
+    first = met.filter(F.col(key).isNotNull()).withColumn("r", in_doc).filter(F.col("r") <= most).withColumn("r", docs_before).filter(F.col("r") <= most + 1)
+    other = first.select("pair", F.col(key).alias("other_id"), F.col("claim").alias("other"), F.col("neg").alias("other_neg"), F.col("terms").alias("other_terms"))
+    found = met.join(other, "pair").filter((F.col(key) != F.col("other_id")) & (F.col("neg") != F.col("other_neg")))
+    found = found.select(key, "claim", "other_id", "other", F.size(F.array_intersect("terms", "other_terms")).cast("long").alias("shared")).distinct()
     rank = F.row_number().over(Window.partitionBy(key, "claim").orderBy("other_id", "other"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= most).select(key, "claim", "other_id", "other", "shared")
+    return found.withColumn("rank", rank).filter(F.col("rank") <= most).select(key, "claim", "other_id", "other", "shared")
 
 
 #: Fixed values of the evidence score: strength of a source, and what independent units and further sources add.
@@ -195,7 +205,7 @@ conv = lambda s, d: table(s, d, "conversations")
 docs = lambda s, d: table(s, d, "documents")
 QUERIES = {
     "phase_segmentation": lambda s, d: phases(conv(s, d)), "transcript_digest": lambda s, d: digest(conv(s, d)), "intent_classify": lambda s, d: intents(docs(s, d), SAMPLE_INTENTS), "category_classify": lambda s, d: categories(notes(s, d)),
-    "claim_candidates": lambda s, d: claims(docs(s, d), SAMPLE_MODALS), "claim_contradictions": lambda s, d: contradictions(claims(docs(s, d), SAMPLE_MODALS), SAMPLE_NEGATIONS), "evidence_score": lambda s, d: evidence_scores(sample_evidence(conv(s, d))),
+    "claim_candidates": lambda s, d: claims(docs(s, d), SAMPLE_MODALS), "claim_contradictions": lambda s, d: contradictions(claims(docs(s, d), SAMPLE_MODALS), SAMPLE_NEGATIONS, 50), "evidence_score": lambda s, d: evidence_scores(sample_evidence(conv(s, d))),
     "capture_scores": lambda s, d: capture_scores(sample_facts(conv(s, d))), "mmr_selection": lambda s, d: select_mmr(sample_facts(conv(s, d))), "seeded_sample": lambda s, d: seeded_sample(sample_facts(conv(s, d))),
 }
 

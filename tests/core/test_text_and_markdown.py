@@ -97,3 +97,17 @@ def test_file_sources(spark, tmp_path):
     src = spark.createDataFrame([("p", "t"), ("q", "u")], "path string, text string")
     done = src.filter("path = 'p'").select("path", F.sha2("text", 256).alias("hash"))
     assert [r["path"] for r in files.pending_sources(src, done).collect()] == ["q"]
+
+
+def test_contradictions_behind_common_terms(spark):
+    from lorewell.operators import sessions
+
+    words = ["server", "backup", "restart", "network", "storage"]
+    rows = [(i % 70, " ".join(sorted({words[i % 5], words[i // 5 % 5], words[i // 25 % 5]})) + f" n{i}" + " not" * (i % 3 == 0)) for i in range(200)]
+    terms = {r: {w for w in r[1].split() if len(w) >= 5} for r in rows}
+    expected = set()
+    for a in rows:
+        near = sorted((b[0], b[1], len(terms[a] & terms[b])) for b in rows if a[0] != b[0] and ("not" in a[1]) != ("not" in b[1]) and len(terms[a] & terms[b]) >= 2)
+        expected |= {(*a, *b) for b in near[:5]}
+    got = [tuple(r) for r in sessions.contradictions(spark.createDataFrame(rows, "doc_id long, claim string")).collect()]
+    assert len(expected) > 500 and len(got) == len(expected) and set(got) == expected
