@@ -12,7 +12,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told by a model of all labelled documents; those without a letter go."""
+    """Documents with a letter. A model of at most about language.SAMPLE_DOCS documents a language runs, but what it tells changes
+    nothing: lang stays as it is."""
     docs = docs.select(*COLUMNS)
     told = language.identify(docs, language.fit(docs, F.lit(True)))
     return told.filter(F.col("lang_pred") != "und").select(*COLUMNS)
