@@ -93,6 +93,18 @@ def keyed(docs: DataFrame, id_col: str, *cols: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_id"), *[F.col(c).alias(c) for c in cols])
 
 
+#: A key is hot if it holds more than one in so many rows; so there are no more hot keys than that.
+HOT = 1000
+
+
+def hot_join(df: DataFrame, keyed: DataFrame, key: str, rows: int) -> DataFrame:
+    """df joined with keyed (key, size: df's rows of that key, ...) on key, where df has at most so many rows. The hot keys, at
+    most HOT by their definition, are broadcast, so that no task gets all rows of one; the others are exchanged."""
+    least = max(rows // HOT, 64)
+    hot, rest = F.broadcast(keyed.filter(F.col("size") > least)), keyed.filter(F.col("size") <= least)
+    return df.join(hot, key).unionByName(df.join(hot.select(key), key, "left_anti").join(rest, key))
+
+
 def restored(col: Column) -> Column:
     return F.when(col != F.lit(NULL_ID), col)
 

@@ -6,10 +6,11 @@ every coordinate is filled, most documents being done after a few rounds. Equal
 with the concentration of independent minima. BANDS bands of ROWS coordinates find pairs: at similarity 0.8 a pair has
 no common band with probability 5e-8.
 Equal sets are one class from the start. In each bucket of a band, members are linked to the smallest and the largest
-member; those pairs are screened by their sketches (5 standard deviations) and confirmed on full sets. Buckets that
-still hold several components then compare all members of different components: small buckets by a join, large ones in
-blocks of BLOCK x BLOCK members that put out no more links than join components. So no link that shares a bucket is lost
-and no group's pairs are written out. Null or empty texts have empty sets, are linked with nothing and kept; null ids sort first and
+member; those pairs are screened by their sketches (5 standard deviations) and confirmed on full sets. The links are
+contracted to components. Buckets that still hold several components then compare all members of different ones: small
+buckets by a join, large ones in blocks of BLOCK x BLOCK members, of which one side is outside the family's largest
+component; links between components are put out, no more than join them. So no link that shares a bucket is lost and no
+group's pairs are written out. Null or empty texts have empty sets, are linked with nothing and kept; null ids sort first and
 come back as null; rows that share an id share its verdict; an empty table gives an empty result.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorewell.llm import common
-from lorewell.llm.components import components
+from lorewell.llm.components import components, relabelled
 from lorewell.llm.shingles import shingle_sets
 
 COORDS, BANDS, ROWS = 128, 32, 4
@@ -84,7 +85,11 @@ def least_equal(similarity: float) -> int:
     return int(COORDS * (similarity - 5 * (similarity * (1 - similarity) / COORDS) ** 0.5))
 
 
-PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def likely_matrix(left: pd.DataFrame, right: pd.DataFrame, least: int) -> np.ndarray:
+    """Which members (rows of left, columns of right) of different components have so many equal coordinates."""
+    u, v = (np.frombuffer(b"".join(q["sketch"]), np.uint8).reshape(-1, COORDS) for q in (left, right))
+    same = np.stack([(v == row).sum(1) for row in u])
+    return (same >= least) & (left["component"].to_numpy()[:, None] != right["component"].to_numpy()[None, :])
 
 
 def likely(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
@@ -164,88 +169,113 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out.astype(np.int64)
 
 
-def block_links(members: DataFrame, sketches: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Confirmed links between different components among members of large buckets. members: key, size, _id, component.
+def block_links(members: DataFrame, sketches: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, list[str]]:
+    """Confirmed links (a, b: components) among members of large buckets, and the scratch tables behind them. members: key,
+    size, _id, component.
+
+    Large buckets that share a component form a family. Its largest component is its core; every other member is loose and
+    meets all members: loose ones and all ones are dealt into blocks of BLOCK, and each pair of blocks is compared by
+    sketches in one task. Sets follow only into the pairs of blocks in which they have a likely partner, and there only
+    links that still join two components are put out. So the work is linear in the core and quadratic in loose members."""
+    spark, old = docs.sparkSession, []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        table, path = common.materialize(df, name)
+        old.append(path)
+        return table
 
-    Large buckets that overlap form a family, whose members are dealt into blocks; each pair of blocks is compared in one
-    task, by sketches, then, if any pair is likely, on full sets. Only links that still join two components are put out."""
     large = members.filter(F.col("size") > SMALL_BUCKET)
-    stars = large.join(large.groupBy("key").agg(F.min("_id").alias("hub")), "key").filter("_id != hub").select(F.col("hub").alias("a"), F.col("_id").alias("b"))
-    families = components(stars).withColumnRenamed("component", "family")
-    placed, _ = common.materialize(large.select("_id", "component").distinct().join(families, "_id"), "families")
-    sizes = placed.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"), F.countDistinct("component").alias("kinds")).filter("kinds > 1")
-    sets = involved_sets(docs, placed.select(F.col("_id").alias("a"), F.col("_id").alias("b")), k).dropDuplicates(["_id"])
-    full, _ = common.materialize(placed.join(sizes, "family").join(sketches, "_id").join(sets, "_id"), "family-sets")
-    dealt = full.withColumn("block", F.pmod(F.xxhash64("_id"), F.col("n")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    dealt = dealt.select("family", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "_id", "component", "sketch", "set")
+    held = kept(large.groupBy("key", "component").agg(F.count("*").alias("members")), "held")
+    hubs = held.groupBy("key").agg(F.min("component").alias("a"))
+    stars = held.join(hubs, "key").filter("a != component").select("a", F.col("component").alias("b"))
+    families = components(stars).select(F.col("_id").alias("component"), F.col("component").alias("family"))
+    placed = kept(large.select("_id", "component").distinct().join(families, "component"), "families")
+    parts = placed.groupBy("family", "component").agg(F.count("*").alias("n"))
+    core = parts.groupBy("family").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("core"))
+    core = core.select("family", F.ceil(F.col("all") / BLOCK).cast("int").alias("wide"), F.ceil((F.col("all") - F.col("core.n")) / BLOCK).cast("int").alias("tall"), F.col("core.component").alias("core"))
+    full = kept(placed.join(core, "family").join(sketches, "_id").select("_id", "component", "sketch", "family", "wide", "tall", (F.col("component") != F.col("core")).alias("loose")), "family-sketches")
+    hashed = F.xxhash64("_id")
+    left = full.filter("loose").withColumn("i", F.pmod(hashed, F.col("tall")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("wide") - 1)))
+    right = full.withColumn("j", F.pmod(hashed, F.col("wide")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("tall") - 1)))
+    sides = [x.select("family", "i", "j", F.lit(side).alias("side"), "_id", "component", "sketch") for side, x in (("left", left), ("right", right))]
     least = least_equal(percent / 100)
 
+    def likely_members(p: pd.DataFrame) -> pd.DataFrame:
+        u, v = (p[p["side"] == side] for side in ("left", "right"))
+        if not len(u) or not len(v):
+            return p.iloc[:0][["family", "i", "j", "side", "_id", "component", "sketch"]]
+        hit = likely_matrix(u, v, least)
+        return pd.concat([u[hit.any(1)], v[hit.any(0)]])[["family", "i", "j", "side", "_id", "component", "sketch"]]
+
+    shown = kept(sides[0].union(sides[1]).groupBy("family", "i", "j").applyInPandas(likely_members, "family long, i int, j int, side string, _id long, component long, sketch binary"), "likely")
+    sets = kept(involved_sets(docs, shown.select(F.col("_id").alias("a"), F.col("_id").alias("b")), k), "family-sets")
+
     def compare(p: pd.DataFrame) -> pd.DataFrame:
-        i, j = p["i"].iloc[0], p["j"].iloc[0]
-        left, right = p[p["block"] == i], p[p["block"] == j]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
-        u, v = (np.frombuffer(b"".join(q["sketch"]), np.uint8).reshape(-1, COORDS) for q in (left, right))
-        lc, rc = left["component"].to_numpy(), right["component"].to_numpy()
-        likely_pairs = np.stack([(v == row).sum(1) >= least for row in u]) & (lc[:, None] != rc[None, :])
-        if not likely_pairs.any():
-            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
-        x, y = np.flatnonzero(likely_pairs.any(1)), np.flatnonzero(likely_pairs.any(0))
-        a, b = ([np.frombuffer(s, np.uint64) for s in q["set"].iloc[z]] for q, z in ((left, x), (right, y)))
+        left, right = (p[p["side"] == side] for side in ("left", "right"))
+        hit = likely_matrix(left, right, least)
+        a, b = ([np.frombuffer(s, np.uint64) for s in q["set"]] for q in (left, right))
         n = shared_counts(a, b)
         union = np.array([len(s) for s in a])[:, None] + np.array([len(s) for s in b])[None, :] - n
-        hit = np.argwhere(likely_pairs[np.ix_(x, y)] & (100 * n >= percent * union))
-        top: dict[int, int] = {}
+        lc, rc, out, top = left["component"].tolist(), right["component"].tolist(), [], {}
 
         def find(c: int) -> int:
             while top.get(c, c) != c:
                 c = top[c]
             return c
 
-        out = []
-        for s, t in hit.tolist():
-            c, d = find(int(lc[x[s]])), find(int(rc[y[t]]))
+        for s, t in np.argwhere(hit & (100 * n >= percent * union)).tolist():
+            c, d = find(lc[s]), find(rc[t])
             if c != d:
                 top[max(c, d)] = min(c, d)
-                out.append((int(left["_id"].iloc[x[s]]), int(right["_id"].iloc[y[t]])))
+                out.append((lc[s], rc[t]))
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
-    return dealt.groupBy("family", "i", "j").applyInPandas(compare, "a long, b long")
+    return shown.join(sets, "_id").groupBy("family", "i", "j").applyInPandas(compare, "a long, b long"), old
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """_id, n_shingles, component (smallest id reachable over links; its own for empty sets) of every row."""
-    spark = docs.sparkSession
+    spark, old = docs.sparkSession, []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        table, path = common.materialize(df, name)
+        old.append(path)
+        return table
+
     d = common.keyed(docs, id_col, text_col).withColumnRenamed(text_col, "text")
     sig, _ = common.materialize(signatures(d, k), "signatures")
-    classes, _ = common.materialize(sig.filter("n > 0").groupBy("set_hash").agg(F.min("_id").alias("rep")), "classes")
-    reps = sig.filter("n > 0").join(classes, (sig["_id"] == classes["rep"]) & (sig["set_hash"] == classes["set_hash"]), "left_semi")
-    sketches, sketch_path = common.materialize(reps.select("_id", "sketch", "bands"), "sketches")
+    total = sig.count()
+    classes = kept(sig.filter("n > 0").groupBy("set_hash").agg(F.min("_id").alias("rep"), F.count("*").alias("size")), "classes")
+    firsts = classes.select("set_hash", F.col("rep").alias("_id"))
+    sketches = kept(sig.filter("n > 0").join(firsts, ["_id", "set_hash"], "left_semi").dropDuplicates(["_id", "set_hash"]).select("_id", "sketch", "bands"), "sketches")
     keys = sketches.select("_id", F.explode("bands").alias("key"))
-    buckets, bucket_path = common.materialize(keys.groupBy("key").agg(F.min("_id").alias("low"), F.max("_id").alias("high"), F.count("*").alias("size")).filter("low < high"), "buckets")
-    members, member_path = common.materialize(keys.join(buckets, "key").select("key", "size", "_id", "low", "high"), "members")
+    buckets = kept(keys.groupBy("key").agg(F.min("_id").alias("low"), F.max("_id").alias("high"), F.count("*").alias("size")).filter("low < high"), "buckets")
+    members = kept(common.hot_join(keys, buckets, "key", total * BANDS).select("key", "size", "_id", "low", "high"), "members")
     ends = members.select(F.explode(F.array("low", "high")).alias("hub"), "_id").filter("hub != _id")
     pairs = ends.select(F.least("hub", "_id").alias("a"), F.greatest("hub", "_id").alias("b")).distinct()
     sketches = sketches.select("_id", "sketch")
     similarity = percent / 100
-    first, first_path = common.materialize(likely(pairs, sketches, similarity), "pairs")
-    sets, set_path = common.materialize(involved_sets(d, first, k), "sets")
-    links, link_path = common.materialize(confirmed(first, sets, percent), "links")
+    first = kept(likely(pairs, sketches, similarity), "pairs")
+    links = kept(confirmed(first, kept(involved_sets(d, first, k), "sets"), percent), "links")
     labels = components(links)
-    placed = members.select("key", "size", "_id").join(labels, "_id", "left").withColumn("component", F.coalesce("component", "_id"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    still, still_path = common.materialize(placed.join(mixed, "key", "left_semi"), "still")
-    second, second_path = common.materialize(likely(small_cross_pairs(still), sketches, similarity), "pairs")
-    more, more_path = common.materialize(involved_sets(d, second, k), "sets")
-    added = confirmed(second, more, percent)
+    placed = kept(members.select("key", "size", "_id").join(labels, "_id", "left").withColumn("component", F.coalesce("component", "_id")), "placed")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.first("size").alias("size")).filter("low < high").select("key", "size")
+    still = kept(common.hot_join(placed.drop("size"), kept(mixed, "mixed"), "key", total * BANDS).select("key", "size", "_id", "component"), "still")
+    second = kept(likely(small_cross_pairs(still), sketches, similarity), "pairs")
+    added = confirmed(second, kept(involved_sets(d, second, k), "sets"), percent)
+    of = still.select("_id", "component").distinct()
+    for end in ("a", "b"):  # links of the second phase are drawn between components
+        added = added.join(of.select(F.col("_id").alias(end), F.col("component").alias(f"{end}_in")), end)
+    added = added.select(F.col("a_in").alias("a"), F.col("b_in").alias("b")).distinct()
     if not still.filter(F.col("size") > SMALL_BUCKET).isEmpty():
-        added = added.union(block_links(still, sketches, d, k, percent))
-    added, added_path = common.materialize(added, "links")
-    if not added.isEmpty():
-        labels = components(links.union(added))
-    out, _ = common.materialize(classes.join(labels, classes["rep"] == labels["_id"], "left").select("set_hash", F.coalesce("component", "rep").alias("component")), "components")
-    common.discard(spark, sketch_path, bucket_path, member_path, first_path, set_path, link_path, still_path, second_path, more_path, added_path)
-    return sig.select("_id", "n", "set_hash").join(out, "set_hash", "left").select("_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("_id")).alias("component"))
+        more, behind = block_links(still, sketches, d, k, percent)
+        added, old = added.union(more), old + behind
+    top = components(added).select("_id", F.col("component").alias("up"))
+    of = classes.join(labels, classes["rep"] == labels["_id"], "left").select("set_hash", "size", F.coalesce("component", "rep").alias("component"))
+    out, _ = common.materialize(relabelled(of, "component", top), "components")
+    common.discard(spark, *old)
+    found = common.hot_join(sig.filter("n > 0").select("_id", "n", "set_hash"), out, "set_hash", total).select("_id", F.col("n").alias("n_shingles"), "component")
+    return found.union(sig.filter("n = 0").select("_id", "n", F.col("_id").alias("component")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

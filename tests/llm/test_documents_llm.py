@@ -135,6 +135,31 @@ def test_near_duplicates_equal_brute_force(spark, k, monkeypatch):
     assert got == {x: (len(s), find(x)) for x, s in sets.items()}
 
 
+@pytest.mark.parametrize("pairs", [False, True])
+def test_near_duplicates_of_a_large_family(spark, pairs):
+    """150 documents of 80 words, most of them common to all, so that buckets are large. Either a third is linked and the rest
+    alone, or only neighbours are linked."""
+    rng = np.random.default_rng(3)
+    texts = []
+    for i in range(150):
+        w = [f"w{j}" for j in range(80)]
+        for j in rng.choice(80, 3 if pairs else 2 + i % 3, replace=False):
+            w[j] = f"x{i}_{j}"
+        if pairs and i % 2:
+            w = [*texts[-1].split()[:-1], "end"]
+        texts.append(" ".join(w))
+    assert 150 > near_dedup.SMALL_BUCKET
+    rows = list(enumerate(texts))
+    sets = brute_sets(rows, 2)
+    links = [(a, b) for a in range(150) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    label = list(range(150))
+    while any(label[a] != label[b] for a, b in links):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r["_id"]: r["component"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert got == dict(enumerate(label)) and 1 < len(set(label)) < 150
+
+
 def test_near_duplicates_edges(spark):
     rows = spark.createDataFrame([(None, "a b c d e f g", 1), (5, "a b c d e f g", 1), (5, "a b c d e f g", 1), (6, None, 1), (7, None, 1)], "doc_id long, text string, component int")
     got = [(r["_id"], r["component"]) for r in near_dedup.near_duplicates(rows).collect()]
@@ -156,6 +181,17 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90}
 
 
+def test_components_of_random_links(spark):
+    rng = np.random.default_rng(5)
+    links = rng.integers(0, 400, (330, 2)).tolist() + [[7, 7]] + [[399, i] for i in range(60)]
+    label = list(range(400))
+    while any(label[a] != label[b] for a, b in links):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r["_id"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: label[i] for a, b in links if a != b for i in (a, b)}
+
+
 def test_shingles_of_odd_texts():
     h, d = shingles.shingles([b"", b" A b\tc ", b"a B", b"a"], 2)
     assert d.tolist() == [1, 1, 2, 3] and h[0] == h[2] and len(set(h.tolist())) == 3
