@@ -37,8 +37,10 @@ def open_todos(n: DataFrame) -> DataFrame:
 
 
 def stale_notes(n: DataFrame, days: int = 180) -> DataFrame:
+    """Active notes whose last change is longer ago than so many days, with whole days of age."""
     skip = F.col("rel_path").startswith("Archiv/") | F.col("rel_path").startswith("Daily/") | (md.basename(F.col("rel_path")) == "_MOC")
-    return n.select("rel_path", age_days(F.col("last_modified")).alias("age"), F.col("frontmatter")["status"].alias("status"), skip.alias("skip")).filter(f"status = 'aktiv' AND age > {days} AND NOT skip").select("rel_path", "age")
+    old = F.unix_millis(F.lit(AS_OF).cast("timestamp")) - F.unix_millis(F.col("last_modified").cast("timestamp")) > days * DAY_MS
+    return n.filter((F.col("frontmatter")["status"] == "aktiv") & old & ~skip).select("rel_path", age_days(F.col("last_modified")).alias("age"))
 
 
 def filtered(n: DataFrame, folder: str | None = None, tags: tuple[str, ...] = (), status: str | None = None) -> DataFrame:
@@ -52,13 +54,15 @@ def filtered(n: DataFrame, folder: str | None = None, tags: tuple[str, ...] = ()
 
 
 def weekly_review(n: DataFrame, days: int = 7) -> DataFrame:
-    age = age_days(F.col("last_modified"))
-    since = F.date_format(F.date_sub(F.lit(AS_OF[:10]).cast("date"), days), "yyyy-MM-dd")
-    return n.agg(
-        F.count_if(age < days).alias("modified"), F.count_if(F.col("frontmatter")["datum"] >= since).alias("dated"),
-        F.sum(F.size(F.filter("todos", lambda t: ~t["done"])).cast("long")).alias("open_todos"), F.sum(F.size(F.filter("todos", lambda t: t["done"])).cast("long")).alias("done_todos"),
-        F.count_if(F.col("frontmatter")["status"] == "aktiv").alias("active"),
-    )
+    """section, name, n: notes changed in the window, those of them also dated in it, todos, and notes of each active project."""
+    since = F.lit(AS_OF).cast("timestamp") - F.expr(f"interval {days} days")
+    fm = F.col("frontmatter")
+    changed = F.col("last_modified").cast("timestamp") >= since
+    dated = F.coalesce(F.try_to_timestamp(F.coalesce(fm["datum"], fm["erstellt"]), F.lit("yyyy-MM-dd")) >= since, F.lit(False))
+    n_todos = lambda done: F.size(F.filter("todos", lambda t: t["done"] == F.lit(done))).cast("long")
+    sections = [("modified", changed.cast("long")), ("new", (changed & dated).cast("long")), ("open_todos", n_todos(False)), ("completed_todos", n_todos(True))]
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("section"), F.lit("").alias("name"), v.alias("n")) for k, v in sections], F.when(fm["projekt"].isNotNull() & (fm["status"] == "aktiv"), F.struct(F.lit("project").alias("section"), fm["projekt"].alias("name"), F.lit(1).cast("long").alias("n")))))
+    return n.select(each.alias("x")).filter("x IS NOT NULL").groupBy("x.section", "x.name").agg(F.sum("x.n").alias("n"))
 
 
 def ancestor_folders(n: DataFrame, depth: int = 3, least: int = 2) -> DataFrame:
@@ -100,8 +104,7 @@ def quality_penalties(n: DataFrame, degrees: DataFrame) -> DataFrame:
 
 
 def judged_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = notes(spark, sf_dir)
-    return quality_penalties(n, links_of.backlink_counts(links_of.edges(n)))
+    return quality_penalties(notes(spark, sf_dir), links_of.backlink_counts(links_of.edges_of(spark, sf_dir)))
 
 
 def skippable(n: DataFrame) -> Column:
@@ -135,47 +138,92 @@ def lifecycle(q: DataFrame) -> DataFrame:
     return q.filter(~skip).withColumn("rule", found).filter("rule IS NOT NULL").select("rel_path", "rule.*", "age")
 
 
+#: Tags that make a note carry evidence.
+EVIDENCE_TAGS = ("insight", "decision", "answer", "claim", "source")
+
+
+def evidence_candidates(n: DataFrame) -> DataFrame:
+    """Active notes under Knowledge/ or with a tag of evidence."""
+    return n.filter(is_active_path(F.col("rel_path")) & (F.col("rel_path").startswith("Knowledge/") | F.arrays_overlap("tags", F.array(*[F.lit(t) for t in EVIDENCE_TAGS]))))
+
+
 def evidence_issues(n: DataFrame, today: str = AS_OF[:10]) -> DataFrame:
-    """One row an issue of the notes that carry evidence: claims, decisions and what lies under Knowledge/."""
+    """One row an issue of the notes that carry evidence."""
     fm = F.col("frontmatter")
-    n = n.filter(F.col("rel_path").startswith("Knowledge/") | F.arrays_overlap("tags", F.array(F.lit("claim"), F.lit("decision"), F.lit("source"))))
     issue = lambda name, severity: F.struct(F.lit(name).alias("issue"), severity.alias("severity"))
     strong = F.when(F.arrays_overlap("tags", F.array(F.lit("decision"), F.lit("claim"))), "high").otherwise("medium")
     past = lambda c: F.coalesce(c < F.lit(today), F.lit(False))
     all_issues = F.array(
         F.when(fm["confidence"].isNull(), issue("confidence", strong)), F.when(F.coalesce(fm["quelle"], fm["source"]).isNull() & ~F.array_contains("tags", "source"), issue("source", F.lit("medium"))),
-        F.when(past(fm["recheck_at"]) | past(fm["expires_at"]), issue("due", F.lit("high"))), F.when(F.size(F.coalesce(F.split(fm["contradicted_by"], ","), F.array().cast("array<string>"))) > 0, issue("contradicted", F.lit("high"))),
+        F.when(past(fm["recheck_at"]) | past(fm["expires_at"]), issue("due", F.lit("high"))), F.when(F.size(md.list_value(F.coalesce(fm["contradicted_by"], F.lit("")))) > 0, issue("contradicted", F.lit("high"))),
     )
-    return n.select("rel_path", F.explode(F.filter(all_issues, lambda x: x.isNotNull())).alias("i")).select("rel_path", "i.*")
+    return evidence_candidates(n).select("rel_path", F.explode(F.filter(all_issues, lambda x: x.isNotNull())).alias("i")).select("rel_path", "i.*")
 
 
-LINT_REQUIRED = ("status", "datum", "tags")
+#: Fixed values of the frontmatter profiles: required fields, recommended tags, statuses and date fields; and known fields.
+PROFILES = {
+    "Kunde": (("tags", "kunde"), ("kunde",)), "Referenz": (("tags",), ()), "Troubleshooting": (("tags",), ("troubleshooting",)), "Learning": (("tags",), ("learning",)), "Runbook": (("tags", "quelle"), ("runbook",)), "Daily": (("tags", "datum"), ("daily",)),
+    "Maintenance-Report": (("tags", "aktualisiert", "quelle"), ("maintenance", "review-queue")), "Auto-Capture": (("tags", "datum", "quelle"), ("auto-capture",)), "MOC": (("tags", "quelle"), ("moc",)),
+}
+STATUSES = ("aktiv", "planung", "archiviert", "entwurf", "moc")
+DATE_FIELDS = ("datum", "erstellt", "aktualisiert")
 
 
-def frontmatter_lint(n: DataFrame) -> DataFrame:
-    """One row a required frontmatter field that a note lacks, with the note's profile."""
-    path = F.col("rel_path")
-    profile = F.when(path.startswith("Archiv/"), "archive").when(path.startswith("Daily/"), "daily").when(path.startswith("Maintenance/"), "maintenance").when(path.startswith("Knowledge/Claims/"), "claim").when(path.startswith("Kunden/"), "customer").otherwise("reference")
-    missing = F.filter(F.array(*[F.lit(k) for k in LINT_REQUIRED]), lambda k: F.element_at(F.col("frontmatter"), k).isNull())
-    return n.select("rel_path", profile.alias("profile"), F.explode(missing).alias("field"))
+def normal_tag(tag: Column, aliases: dict[str, str] | None = None) -> Column:
+    """Trimmed, lower case, hyphens for spaces; aliases by their canonical tag."""
+    clean = F.regexp_replace(F.lower(F.trim(tag)), r"\s+", "-")
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])[clean], clean) if aliases else clean
+
+
+def profile_of(path: Column, fm: Column, tags: Column) -> Column:
+    """The profile that the note names, else that of its path, source and (normal, frontmatter) tags."""
+    told = F.coalesce(fm["profile"], fm["typ"], fm["type"])
+    has = lambda t: F.array_contains(tags, t)
+    source = F.coalesce(fm["quelle"], F.lit(""))
+    return (
+        F.when(told.isin(*PROFILES), told).when(path.startswith("Daily/") | has("daily"), "Daily").when(path.startswith("Maintenance/") | (source == "vault-gardener") | has("maintenance"), "Maintenance-Report")
+        .when(path.endswith("_MOC.md") | (F.coalesce(fm["status"], F.lit("")) == "moc") | has("moc"), "MOC").when((source == "knowledge-harvester") | has("auto-capture"), "Auto-Capture").when(path.startswith("Kunden/"), "Kunde")
+        .when(has("runbook") | path.startswith("Runbooks/"), "Runbook").when(has("troubleshooting"), "Troubleshooting").when(has("learning"), "Learning").otherwise("Referenz")
+    )
+
+
+def frontmatter_lint(n: DataFrame, profile: str | None = None, aliases: dict[str, str] | None = None) -> DataFrame:
+    """rel_path, profile, field, severity, issue, auto_fixable: one row an issue of a note's frontmatter."""
+    path, fm = F.col("rel_path"), F.col("frontmatter")
+    n = n.withColumn("listed", md.listed_tags(fm["tags"])).withColumn("normal", F.transform("listed", lambda t: normal_tag(t, aliases)))
+    n = n.withColumn("profile", F.lit(profile) if profile else profile_of(path, fm, F.col("normal")))
+    issue = lambda field, severity, text, fix: F.struct((F.lit(field) if isinstance(field, str) else field).alias("field"), F.lit(severity).alias("severity"), (F.lit(text) if isinstance(text, str) else text).alias("issue"), (F.lit(fix) if isinstance(fix, bool) else fix).alias("auto_fixable"))
+    of = lambda k: F.create_map(*[x for name, v in PROFILES.items() for x in (F.lit(name), F.array(*[F.lit(y) for y in v[k]]).cast("array<string>"))])[F.col("profile")]
+    asks = ~path.startswith("Archiv/") & (F.col("profile") != "Daily")
+    single = [F.when(asks & fm["status"].isNull(), issue("status", "warning", "status fehlt", True)), F.when(asks & ~F.lower(fm["status"]).isin(*STATUSES), issue("status", "warning", F.concat(F.lit('Unbekannter Status "'), fm["status"], F.lit('"')), False))]
+    single += [F.when(~fm[d].rlike(r"^\d{4}-\d{2}-\d{2}$"), issue(d, "warning", F.concat(F.lit(f'{d}: "'), fm[d], F.lit('" ist kein ISO-Datum')), False)) for d in DATE_FIELDS]
+    twice = F.size("normal") - F.size(F.array_distinct("normal"))
+    single.append(F.when(twice > 0, issue("tags", "info", F.concat(twice.cast("string"), F.lit(" doppelte Tag(s)")), True)))
+    pairs = F.filter(F.arrays_zip("listed", "normal"), lambda x: x["listed"] != x["normal"])
+    tags = F.transform(pairs, lambda x: issue("tags", "info", F.concat(F.lit('Tag "'), x["listed"], F.lit('" sollte "'), x["normal"], F.lit('" sein')), True))
+    names = F.transform(F.filter(F.map_keys(fm), lambda k: ~k.startswith("_") & (F.lower(k) != k)), lambda k: issue(k, "info", F.concat(F.lit('Feldname "'), k, F.lit('" sollte lowercase sein')), True))
+    lacking = F.filter(of(0), lambda k: F.coalesce(F.element_at(fm, k), F.lit("")) == "")
+    required = F.transform(lacking, lambda k: issue(k, "warning", F.concat(F.col("profile"), F.lit('-Profil benötigt "'), k, F.lit('"')), (k != "kunde") | path.rlike("^Kunden/[^/]+")))
+    advised = F.transform(F.array_except(of(1), "normal"), lambda t: issue("tags", "info", F.concat(F.col("profile"), F.lit('-Profil empfiehlt Tag "'), t, F.lit('"')), True))
+    issues = F.concat(F.filter(F.array(*single), lambda x: x.isNotNull()), tags, names, required, advised)
+    return n.select("rel_path", "profile", F.explode(issues).alias("i")).select("rel_path", "profile", "i.*")
 
 
 QUALITY_SQL = NOTES_SQL + """,
 inbound AS (SELECT dst, count(*) AS n FROM links GROUP BY dst),
-parts AS (SELECT n.*, coalesce(i.n, 0) AS inbound, len(list_filter(string_split_regex(text, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '')) AS body_words, date_diff('day', last_modified, TIMESTAMP '2024-06-01') AS age FROM notes n LEFT JOIN inbound i ON i.dst = n.rel_path),
-marks AS (SELECT *, len(string_split(text, chr(10))) AS n_lines FROM parts),
-scored AS (SELECT *, greatest(0, 100
+parts AS (SELECT n.*, coalesce(i.n, 0) AS inbound, CAST(floor((epoch_ms(TIMESTAMP '2024-06-01') - epoch_ms(last_modified)) / 86400000) AS BIGINT) AS age,
+  len(list_filter(string_split_regex(regexp_replace(regexp_replace(regexp_replace(content, '(?s)```.*?```', ' ', 'g'), '`[^`]+`', ' ', 'g'), '(?m)^#+\\s+.+$', ' ', 'g'), '\\s+'), lambda w: w <> '')) AS words,
+  len(regexp_extract_all(content, '(?m)^#\\s+\\S')) AS h1, len(regexp_extract_all(content, '(?m)^##\\s+\\S')) AS h2, len(regexp_extract_all(content, '(?s)```.*?```')) AS code,
+  len(list_filter(string_split(content, chr(10)), lambda x: regexp_matches(x, '^\\s*[-*]\\s+') OR regexp_matches(x, '^\\s*\\d+\\.\\s+'))) AS items,
+  len(list_filter(tasks, lambda x: regexp_matches(x, '^\\s*- \\[ \\]') AND length(trim(regexp_extract(x, '^\\s*- \\[[ xX]\\]\\s+(.+)', 1))) < 8)) AS short_todos FROM notes n LEFT JOIN inbound i ON i.dst = n.rel_path),
+graded AS (SELECT *, CASE WHEN score >= 85 THEN 'excellent' WHEN score >= 70 THEN 'good' WHEN score >= 50 THEN 'fair' ELSE 'poor' END AS grade FROM (SELECT *, greatest(0, 100
   - CASE WHEN length(title) < 6 OR lower(title) IN ('notizen','todo','todos','untitled','problem') THEN 35 WHEN length(title) > 80 THEN 15 ELSE 0 END
   - CASE WHEN status IS NULL AND NOT starts_with(rel_path, 'Archiv/') THEN 25 ELSE 0 END - CASE WHEN datum IS NULL THEN 15 ELSE 0 END
+  - CASE WHEN len(tags) = 0 THEN 30 WHEN len(list_filter(tags, lambda t: t <> trim(t) OR starts_with(t, '#'))) > 0 THEN 15 ELSE 0 END - CASE WHEN len(tags) > 10 THEN 10 ELSE 0 END
   - CASE WHEN inbound = 0 AND len(out_links) = 0 THEN 30 WHEN inbound = 0 THEN 15 WHEN len(out_links) = 0 THEN 10 ELSE 0 END
-  - CASE WHEN k % 5 = 1 THEN 15 ELSE 0 END
-  - CASE WHEN total_words > 120 THEN 15 ELSE 0 END
-  - CASE WHEN total_words < 20 AND open_todos + done_todos = 0 THEN 25 ELSE 0 END
-  - CASE WHEN list_items > 20 THEN 10 ELSE 0 END
-  - CASE WHEN status = 'aktiv' AND age > 180 AND NOT starts_with(rel_path, 'Archiv/') THEN 20 ELSE 0 END) AS score
-  FROM (SELECT *, body_words + CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN k % 5 = 0 THEN 9 WHEN k % 5 = 1 THEN 4 ELSE 0 END AS total_words,
-    len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\\s*[-*]\\s+') OR regexp_matches(x, '^\\s*\\d+\\.\\s+'))) + open_todos + done_todos AS list_items FROM marks)),
-graded AS (SELECT *, CASE WHEN score >= 85 THEN 'excellent' WHEN score >= 70 THEN 'good' WHEN score >= 50 THEN 'fair' ELSE 'poor' END AS grade FROM scored)
+  - CASE WHEN short_todos > 0 THEN 15 ELSE 0 END - CASE WHEN h1 = 0 THEN 20 WHEN h1 > 1 THEN 10 ELSE 0 END - CASE WHEN words > 120 AND h2 = 0 THEN 15 ELSE 0 END
+  - CASE WHEN words < 20 AND len(tasks) = 0 THEN 25 ELSE 0 END - CASE WHEN code >= 2 AND words < 80 THEN 20 ELSE 0 END - CASE WHEN items > 20 AND h2 < 2 THEN 10 ELSE 0 END
+  - CASE WHEN status = 'aktiv' AND age > 180 AND NOT starts_with(rel_path, 'Archiv/') THEN 20 ELSE 0 END) AS score FROM parts))
 """
 
 QUERIES = {
@@ -186,24 +234,25 @@ QUERIES = {
     "evidence_issues": lambda s, d: evidence_issues(notes(s, d)), "evidence_report": lambda s, d: evidence_issues(notes(s, d)).groupBy("issue", "severity").agg(F.count("*").alias("n")), "frontmatter_lint": lambda s, d: frontmatter_lint(notes(s, d)),
 }
 
-EVIDENCE_SQL = NOTES_SQL + """, cand AS (SELECT * FROM notes WHERE starts_with(rel_path, 'Knowledge/') OR list_has_any(tags, ['claim', 'decision', 'source'])),
+EVIDENCE_SQL = NOTES_SQL + """, cand AS (SELECT * FROM notes WHERE NOT starts_with(lower(rel_path), 'archiv/') AND (starts_with(rel_path, 'Knowledge/') OR list_has_any(tags, ['insight', 'decision', 'answer', 'claim', 'source']))),
 issues AS (
   SELECT rel_path, 'confidence' AS issue, CASE WHEN list_has_any(tags, ['decision', 'claim']) THEN 'high' ELSE 'medium' END AS severity FROM cand WHERE confidence IS NULL
-  UNION ALL SELECT rel_path, 'source', 'medium' FROM cand WHERE quelle IS NULL
-  UNION ALL SELECT rel_path, 'due', 'high' FROM cand WHERE recheck_at < '2024-06-01')
+  UNION ALL SELECT rel_path, 'source', 'medium' FROM cand WHERE quelle IS NULL AND NOT list_contains(tags, 'source')
+  UNION ALL SELECT rel_path, 'due', 'high' FROM cand WHERE recheck_at < '2024-06-01'
+  UNION ALL SELECT rel_path, 'contradicted', 'high' FROM cand WHERE contradicted_by IS NOT NULL)
 """
 
 SQL = {
     "folder_counts": NOTES_SQL + "SELECT split_part(rel_path, '/', 1) AS folder, count(*) AS n FROM notes GROUP BY 1",
     "tag_frequency": NOTES_SQL + "SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM notes) GROUP BY 1",
     "open_todos": NOTES_SQL + "SELECT rel_path, CAST(open_todos AS BIGINT) AS open_todos FROM notes WHERE open_todos > 0",
-    "stale_notes": NOTES_SQL + "SELECT rel_path, date_diff('day', last_modified, TIMESTAMP '2024-06-01') AS age FROM notes WHERE status = 'aktiv' AND date_diff('day', last_modified, TIMESTAMP '2024-06-01') > 180 AND NOT starts_with(rel_path, 'Archiv/') AND NOT starts_with(rel_path, 'Daily/')",
+    "stale_notes": NOTES_SQL + "SELECT rel_path, CAST(floor((epoch_ms(TIMESTAMP '2024-06-01') - epoch_ms(last_modified)) / 86400000) AS BIGINT) AS age FROM notes WHERE status = 'aktiv' AND last_modified < TIMESTAMP '2024-06-01' - to_days(180) AND NOT starts_with(rel_path, 'Archiv/') AND NOT starts_with(rel_path, 'Daily/')",
     "filtered_notes": NOTES_SQL + "SELECT rel_path, title, datum FROM notes WHERE starts_with(lower(rel_path), 'src') AND list_contains(tags, 'en') AND status = 'aktiv'",
-    "weekly_review": NOTES_SQL + "SELECT count(*) FILTER (date_diff('day', last_modified, TIMESTAMP '2024-06-01') < 7) AS modified, count(*) FILTER (datum >= '2024-05-25') AS dated, CAST(sum(open_todos) AS BIGINT) AS open_todos, CAST(sum(done_todos) AS BIGINT) AS done_todos, count(*) FILTER (status = 'aktiv') AS active FROM notes",
+    "weekly_review": NOTES_SQL + "SELECT section, name, CAST(sum(n) AS BIGINT) AS n FROM (SELECT 'modified' AS section, '' AS name, CASE WHEN last_modified >= TIMESTAMP '2024-05-25' THEN 1 ELSE 0 END AS n FROM notes UNION ALL SELECT 'new', '', CASE WHEN last_modified >= TIMESTAMP '2024-05-25' AND regexp_matches(datum, '^....-') AND datum >= '2024-05-25' THEN 1 ELSE 0 END FROM notes UNION ALL SELECT 'open_todos', '', open_todos FROM notes UNION ALL SELECT 'completed_todos', '', done_todos FROM notes UNION ALL SELECT 'project', projekt, 1 FROM notes WHERE projekt IS NOT NULL AND status = 'aktiv') GROUP BY 1, 2",
     "ancestor_folders": NOTES_SQL + "SELECT folder, count(*) AS n FROM (SELECT unnest(list_transform(range(1, least(len(p), 3) + 1), lambda i: array_to_string(p[1:i], '/'))) AS folder FROM (SELECT list_slice(string_split(rel_path, '/'), 1, -2) AS p FROM notes)) GROUP BY 1 HAVING count(*) >= 2",
     "recent_notes": NOTES_SQL + "SELECT rel_path, title, strftime(last_modified, '%Y-%m-%d') AS day FROM notes ORDER BY last_modified DESC, rel_path LIMIT 10",
     "note_quality": QUALITY_SQL + "SELECT rel_path, CAST(score AS BIGINT) AS score, grade FROM graded",
-    "quality_summary": QUALITY_SQL + "SELECT count(*) AS total, count(*) FILTER (grade = 'excellent') AS excellent, count(*) FILTER (grade = 'good') AS good, count(*) FILTER (grade = 'fair') AS fair, count(*) FILTER (grade = 'poor') AS poor, CAST(round(avg(score)) AS BIGINT) AS average_score FROM graded WHERE NOT starts_with(rel_path, 'Daily/') AND NOT starts_with(rel_path, 'Maintenance/') AND NOT list_contains(tags, 'daily')",
+    "quality_summary": QUALITY_SQL + "SELECT count(*) AS total, count(*) FILTER (grade = 'excellent') AS excellent, count(*) FILTER (grade = 'good') AS good, count(*) FILTER (grade = 'fair') AS fair, count(*) FILTER (grade = 'poor') AS poor, CAST(round(avg(score)) AS BIGINT) AS average_score FROM graded WHERE NOT starts_with(rel_path, 'Daily/') AND NOT starts_with(rel_path, 'Maintenance/') AND NOT list_contains(tags, 'daily') AND coalesce(quelle, '') <> 'vault-gardener'",
     "lifecycle_suggestions": QUALITY_SQL + """SELECT rel_path, rule.action AS action, rule.recommended AS recommended, rule.confidence AS confidence, age FROM (SELECT *, CASE
       WHEN starts_with(rel_path, 'Archiv/') AND coalesce(status, '') <> 'archiviert' THEN {'action': 'archive', 'recommended': 'archiviert', 'confidence': 'high'}
       WHEN status IS NULL THEN {'action': 'activate', 'recommended': 'aktiv', 'confidence': 'high'}
@@ -214,6 +263,16 @@ SQL = {
       FROM graded WHERE NOT starts_with(rel_path, 'Daily/') AND NOT starts_with(rel_path, 'Maintenance/')) WHERE rule IS NOT NULL""",
     "evidence_issues": EVIDENCE_SQL + "SELECT * FROM issues",
     "evidence_report": EVIDENCE_SQL + "SELECT issue, severity, count(*) AS n FROM issues GROUP BY 1, 2",
-    "frontmatter_lint": NOTES_SQL + """SELECT rel_path, profile, field FROM (SELECT rel_path, CASE WHEN starts_with(rel_path, 'Archiv/') THEN 'archive' WHEN starts_with(rel_path, 'Daily/') THEN 'daily' WHEN starts_with(rel_path, 'Maintenance/') THEN 'maintenance' WHEN starts_with(rel_path, 'Knowledge/Claims/') THEN 'claim' WHEN starts_with(rel_path, 'Kunden/') THEN 'customer' ELSE 'reference' END AS profile,
-      unnest(list_filter([CASE WHEN status IS NULL THEN 'status' END, CASE WHEN datum IS NULL THEN 'datum' END], lambda x: x IS NOT NULL)) AS field FROM notes)""",
+    "frontmatter_lint": NOTES_SQL + """, t AS (SELECT *, list_transform(listed, lambda x: regexp_replace(lower(trim(x)), '\\s+', '-', 'g')) AS normal, regexp_matches(fm, '(?m)^tags:') AS tagged FROM (SELECT n.*, c.fm FROM notes n JOIN cut c USING (doc_id))),
+      p AS (SELECT *, CASE WHEN starts_with(rel_path, 'Daily/') OR list_contains(normal, 'daily') THEN 'Daily' WHEN starts_with(rel_path, 'Maintenance/') OR list_contains(normal, 'maintenance') THEN 'Maintenance-Report' WHEN list_contains(normal, 'moc') THEN 'MOC'
+        WHEN quelle = 'knowledge-harvester' OR list_contains(normal, 'auto-capture') THEN 'Auto-Capture' WHEN starts_with(rel_path, 'Kunden/') THEN 'Kunde' WHEN list_contains(normal, 'runbook') THEN 'Runbook' WHEN list_contains(normal, 'troubleshooting') THEN 'Troubleshooting' WHEN list_contains(normal, 'learning') THEN 'Learning' ELSE 'Referenz' END AS profile FROM t),
+      need AS (SELECT * FROM (VALUES ('Kunde', 'kunde'), ('Runbook', 'quelle'), ('Daily', 'datum'), ('Maintenance-Report', 'aktualisiert'), ('Maintenance-Report', 'quelle'), ('Auto-Capture', 'datum'), ('Auto-Capture', 'quelle'), ('MOC', 'quelle')) v(profile, field)),
+      advise AS (SELECT * FROM (VALUES ('Kunde', 'kunde'), ('Troubleshooting', 'troubleshooting'), ('Learning', 'learning'), ('Runbook', 'runbook'), ('Daily', 'daily'), ('Maintenance-Report', 'maintenance'), ('Maintenance-Report', 'review-queue'), ('Auto-Capture', 'auto-capture'), ('MOC', 'moc')) v(profile, tag))
+      SELECT rel_path, profile, 'status' AS field, 'warning' AS severity, 'status fehlt' AS issue, true AS auto_fixable FROM p WHERE status IS NULL AND NOT starts_with(rel_path, 'Archiv/') AND profile <> 'Daily'
+      UNION ALL SELECT rel_path, profile, 'datum', 'warning', 'datum: "' || datum || '" ist kein ISO-Datum', false FROM p WHERE NOT regexp_matches(datum, '^\\d{4}-\\d{2}-\\d{2}$')
+      UNION ALL SELECT rel_path, profile, 'tags', 'info', 'Tag "' || l || '" sollte "' || m || '" sein', true FROM (SELECT rel_path, profile, unnest(listed) AS l, unnest(normal) AS m FROM p) WHERE l <> m
+      UNION ALL SELECT rel_path, profile, 'tags', 'info', len(normal) - len(list_distinct(normal)) || ' doppelte Tag(s)', true FROM p WHERE len(normal) > len(list_distinct(normal))
+      UNION ALL SELECT rel_path, profile, 'Owner', 'info', 'Feldname "Owner" sollte lowercase sein', true FROM p WHERE owner IS NOT NULL
+      UNION ALL SELECT rel_path, profile, field, 'warning', profile || '-Profil benötigt "' || field || '"', true FROM p JOIN need USING (profile) WHERE CASE field WHEN 'quelle' THEN quelle IS NULL WHEN 'datum' THEN datum IS NULL ELSE true END
+      UNION ALL SELECT rel_path, profile, 'tags', 'info', profile || '-Profil empfiehlt Tag "' || tag || '"', true FROM p JOIN advise USING (profile) WHERE NOT list_contains(normal, tag)""",
 }

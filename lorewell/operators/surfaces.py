@@ -14,12 +14,12 @@ from lorewell.sources.files import page_profile
 from lorewell.sources.tables import AS_OF, NOTES_SQL, notes, table
 
 
-def review_queue(n: DataFrame, q: DataFrame) -> DataFrame:
+def review_queue(n: DataFrame, q: DataFrame, broken: DataFrame) -> DataFrame:
     """All there is to review, as one queue: id, category, severity, path; severe items first."""
     item = lambda df, category, severity, path="rel_path": df.select(F.concat(F.lit(f"{category}:"), F.col(path)).alias("id"), F.lit(category).alias("category"), (severity if not isinstance(severity, str) else F.lit(severity)).alias("severity"), F.col(path).alias("path"))
     parts = [
         item(notes_overview.lifecycle(q), "lifecycle", F.when(F.col("confidence") == "high", "high").when(F.col("confidence") == "medium", "medium").otherwise("low")), item(q.filter(~notes_overview.skippable(q) & (F.col("score") <= 69)), "quality", F.when(F.col("score") < 50, "high").otherwise("medium")),
-        item(notes_overview.evidence_issues(n).groupBy("rel_path").agg(F.max(F.col("severity") == "high").alias("h")), "evidence", F.when(F.col("h"), "high").otherwise("medium")), item(links.broken(n).select(F.col("src").alias("rel_path")).distinct(), "links", "medium"),
+        item(notes_overview.evidence_issues(n).groupBy("rel_path").agg(F.max(F.col("severity") == "high").alias("h")), "evidence", F.when(F.col("h"), "high").otherwise("medium")), item(broken.select(F.col("src").alias("rel_path")).distinct(), "links", "medium"),
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -120,12 +120,12 @@ def junk_quality(s, d):
 
 
 def queue(s, d):
-    return review_queue(notes(s, d), notes_overview.judged_notes(s, d))
+    return review_queue(notes(s, d), notes_overview.judged_notes(s, d), links.broken(links.resolved_of(s, d)))
 
 
 QUERIES = {
     "review_queue": queue, "review_severity": lambda s, d: severity_counts(queue(s, d)), "schedule_proposal": lambda s, d: schedule(notes(s, d)), "customer_dashboard": lambda s, d: customer_dashboard(notes(s, d)), "customer_timeline": lambda s, d: timeline(notes(s, d)),
-    "knowledge_index": lambda s, d: knowledge_index(notes(s, d)), "knowledge_metrics": lambda s, d: knowledge_metrics(n := notes(s, d), links.edges(n)), "client_fuzzy": sample_names, "secret_redaction": lambda s, d: redaction(table(s, d, "documents")), "page_profile": lambda s, d: page_profile(table(s, d, "pages")), "rule_quality": junk_quality,
+    "knowledge_index": lambda s, d: knowledge_index(notes(s, d)), "knowledge_metrics": lambda s, d: knowledge_metrics(notes(s, d), links.edges_of(s, d)), "client_fuzzy": sample_names, "secret_redaction": lambda s, d: redaction(table(s, d, "documents")), "page_profile": lambda s, d: page_profile(table(s, d, "pages")), "rule_quality": junk_quality,
 }
 LIFE = notes_overview.SQL["lifecycle_suggestions"]
 QUEUE_SQL = LIFE[: LIFE.index("SELECT rel_path, rule.action")] + ", life AS (" + LIFE[LIFE.index("SELECT rel_path, rule.action") :] + ")" + notes_overview.EVIDENCE_SQL[notes_overview.EVIDENCE_SQL.index(", cand AS") :] + """, queue AS (

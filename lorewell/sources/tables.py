@@ -1,6 +1,8 @@
 """The driver's tables as the knowledge base's: documents become Markdown notes and are parsed back.
 
-Fields that documents do not have (status, dates, links, todos) are derived from doc_id, alike in Spark and in NOTES_SQL.
+Fields that documents do not have (status, dates, links, todos) are derived from doc_id. Spark and DuckDB build the same
+Markdown and parse it, each with its own expressions. Parsed notes and resolved links are indexes: each session builds
+them once for a table, all queries read them.
 """
 
 from __future__ import annotations
@@ -9,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorewell.functions import markdown as md
+from lorewell.sources import scratch
 
 #: All times are judged as of this one.
 AS_OF = "2024-06-01 00:00:00"
@@ -18,59 +21,81 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Frontmatter and tail of a note as SQL texts that Spark and DuckDB both read; k is doc_id.
+SHARED = {
+    "head": """concat('---', chr(10),
+      CASE WHEN k % 5 = 0 THEN '' WHEN k % 5 <= 2 THEN concat('status: aktiv', chr(10)) WHEN k % 5 = 3 THEN concat('status: planung', chr(10)) ELSE concat('status: archiviert', chr(10)) END,
+      CASE WHEN k % 4 = 0 THEN '' WHEN k % 29 = 5 THEN concat('datum: "01.02.2024"', chr(10)) ELSE concat('datum: ', day_before, chr(10)) END,
+      CASE WHEN k % 6 = 1 THEN concat('tags:', chr(10), '  - ', lang, chr(10), '  - ', source, chr(10)) ELSE concat('tags: [', lang, ', ', source, CASE WHEN k % 23 = 4 THEN ', Big Topic, big-topic' ELSE '' END, CASE WHEN k % 7 = 0 THEN ', decision' ELSE '' END, CASE WHEN k % 10 = 3 THEN ', claim' ELSE '' END, CASE WHEN k % 9 = 0 THEN ', daily' ELSE '' END, CASE WHEN k % 21 = 2 THEN ', insight' ELSE '' END, ']', chr(10)) END,
+      CASE WHEN k % 3 = 0 THEN concat('confidence: high', chr(10)) ELSE '' END, CASE WHEN k % 6 = 0 THEN concat('recheck_at: ', day_around, chr(10)) ELSE '' END,
+      CASE WHEN k % 8 = 0 THEN concat('quelle: import', chr(10)) WHEN k % 37 = 9 THEN concat('quelle: knowledge-harvester', chr(10)) ELSE '' END, CASE WHEN k % 4 = 1 THEN concat('projekt: P', k % 7, chr(10)) ELSE '' END,
+      CASE WHEN k % 41 = 6 THEN concat('contradicted_by: [', k + 1, '.md]', chr(10)) ELSE '' END, CASE WHEN k % 43 = 8 THEN concat('Owner: "team ', k % 3, '"', chr(10)) ELSE '' END,
+      CASE WHEN k % 47 = 2 THEN concat('aliases: [the alias ', k % 5, ', und]', chr(10)) ELSE '' END, '---', chr(10))""",
+    "tail": """concat(CASE WHEN k % 2 = 0 THEN concat(chr(10), '[[', k * 7 + CASE WHEN k % 11 = 0 THEN 1000000007 ELSE 3 END, '|see]]') ELSE '' END, CASE WHEN k % 3 = 0 THEN concat(chr(10), '[[', (k - k % 2) / 2, ']]') ELSE '' END,
+      CASE WHEN k % 13 = 3 THEN concat(chr(10), '[[old/place/', k + 1, ']]') ELSE '' END, CASE WHEN k % 17 = 5 THEN concat(chr(10), '[[', k + 2, ' backup|copy]]') ELSE '' END,
+      CASE WHEN k % 5 = 0 THEN concat(chr(10), '- [ ] check the source', chr(10), '- [x] done', chr(10), '* [ ] no task') WHEN k % 5 = 1 THEN concat(chr(10), '- [ ] fix') ELSE '' END,
+      CASE WHEN k % 14 = 1 THEN concat(chr(10), 'filed under #ops/net and #Überblick') ELSE '' END)""",
+    "folder": "CASE WHEN k % 10 = 0 THEN 'Archiv' WHEN k % 10 = 1 THEN 'Daily' WHEN k % 10 = 2 THEN 'Maintenance' WHEN k % 10 = 3 THEN 'Knowledge/Claims' WHEN k % 10 = 4 THEN concat('Kunden/', source) ELSE source END",
+}
+SHARED["tail"] = SHARED["tail"].replace("(k - k % 2) / 2", "half")
+
+
 def rendered(docs: DataFrame) -> DataFrame:
     """rel_path, raw (Markdown with frontmatter), last_modified, doc_id of every document."""
-    k = F.col("doc_id")
-    folder = F.when(k % 10 == 0, "Archiv").when(k % 10 == 1, "Daily").when(k % 10 == 2, "Maintenance").when(k % 10 == 3, "Knowledge/Claims").when(k % 10 == 4, F.concat(F.lit("Kunden/"), F.col("source"))).otherwise(F.col("source"))
-    d = docs.withColumn("rel_path", F.concat_ws("/", folder, "lang", F.concat(k.cast("string"), F.lit(".md"))))
+    k, day = F.col("k"), F.lit(AS_OF[:10]).cast("date")
+    d = docs.withColumns({"k": F.col("doc_id"), "half": F.floor(F.col("doc_id") / 2).cast("long"), "day_before": F.date_format(F.date_sub(day, (F.col("doc_id") * 13 % 400).cast("int")), "yyyy-MM-dd"), "day_around": F.date_format(F.date_add(day, (F.col("doc_id") % 61).cast("int") - 30), "yyyy-MM-dd")})
     first = F.trim(F.substring(F.element_at(F.split(F.coalesce("text", F.lit("")), "\n"), 1), 1, 60))
     title = F.when(first == "", F.concat(F.lit("Note "), k.cast("string"))).otherwise(first)
-    status = F.when(k % 5 == 0, "").when(k % 5 <= 2, "status: aktiv\n").when(k % 5 == 3, "status: planung\n").otherwise("status: archiviert\n")
-    datum = F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("datum: "), F.date_format(F.date_sub(F.lit(AS_OF[:10]).cast("date"), (k * 13 % 400).cast("int")), "yyyy-MM-dd"), F.lit("\n")))
-    tags = F.concat(F.lit("tags: ["), F.concat_ws(", ", "lang", "source", F.when(k % 7 == 0, F.lit("decision")), F.when(k % 10 == 3, F.lit("claim")), F.when(k % 9 == 0, F.lit("daily"))), F.lit("]\n"))
-    confidence = F.when(k % 3 == 0, "confidence: high\n").otherwise("")
-    recheck = F.when(k % 6 == 0, F.concat(F.lit("recheck_at: "), F.date_format(F.date_add(F.lit(AS_OF[:10]).cast("date"), (k % 61).cast("int") - 30), "yyyy-MM-dd"), F.lit("\n"))).otherwise("")
-    quelle = F.when(k % 8 == 0, "quelle: import\n").otherwise("")
-    link = F.when(k % 2 == 0, F.concat(F.lit("\n[["), (k * 7 + F.when(k % 11 == 0, 1_000_000_007).otherwise(3)).cast("string"), F.lit("|see]]"))).otherwise("")
-    link = F.concat(link, F.when(k % 3 == 0, F.concat(F.lit("\n[["), F.floor(k / 2).cast("string"), F.lit("]]"))).otherwise(""))
-    todo = F.when(k % 5 == 0, "\n- [ ] check the source\n- [x] done").when(k % 5 == 1, "\n- [ ] fix").otherwise("")
-    raw = F.concat(F.lit("---\n"), status, datum, tags, confidence, recheck, quelle, F.lit("---\n# "), title, F.lit("\n\n"), F.coalesce("text", F.lit("")), F.lit("\n"), link, todo)
-    modified = F.expr(f"timestamp_ntz'{AS_OF}' - make_dt_interval(cast(doc_id * 37 % 500 as int))")
-    return d.select("doc_id", "rel_path", raw.alias("raw"), modified.alias("last_modified"), "lang", "source")
-
-
-def parsed(raw: DataFrame) -> DataFrame:
-    """Notes from rel_path, raw and last_modified: title, frontmatter map, tags, out_links, todos, content."""
-    d = raw.withColumn("frontmatter", md.flat_frontmatter(F.col("raw"))).withColumn("content", md.body(F.col("raw")))
+    raw = F.concat(F.expr(SHARED["head"]), F.lit("# "), title, F.lit("\n\n"), F.coalesce("text", F.lit("")), F.lit("\n"), F.expr(SHARED["tail"]))
+    modified = F.expr(f"timestamp_ntz'{AS_OF}' - make_dt_interval(cast(doc_id * 37 % 500 as int), cast(doc_id % 5 as int))")
+    return d.select("doc_id", F.concat_ws("/", F.expr(SHARED["folder"]), "lang", F.concat(k.cast("string"), F.lit(".md"))).alias("rel_path"), raw.alias("raw"), modified.alias("last_modified"), "lang", "source")
+
+
+def parsed(raw: DataFrame, frontmatter=md.flat_frontmatter) -> DataFrame:
+    """Notes from rel_path, raw and last_modified: title, frontmatter map, tags, out_links, todos, content. frontmatter: what
+    makes the map of scalars and [lists]; sources.files.yaml_frontmatter knows all of YAML."""
+    d = raw.withColumn("frontmatter", frontmatter(F.col("raw"))).withColumn("content", md.body(F.col("raw")))
+    d = d.withColumn("inline", md.inline_tags(F.col("content"))).withColumn("listed", md.listed_tags(F.col("frontmatter")["tags"]))
     return d.select(
-        *[c for c in d.columns if c not in ("raw", "frontmatter", "content")], "frontmatter", "content", md.title(F.col("content"), md.basename(F.col("rel_path"))).alias("title"),
-        F.transform(md.list_value(F.col("frontmatter")["tags"]), F.lower).alias("tags"), md.wikilinks(F.col("content")).alias("out_links"), md.todos(F.col("content")).alias("todos"),
+        *[c for c in d.columns if c not in ("raw", "frontmatter", "content", "inline", "listed")], "frontmatter", "content", md.title(F.col("content"), md.basename(F.col("rel_path"))).alias("title"),
+        F.array_distinct(F.concat(F.transform("listed", F.lower), "inline")).alias("tags"), md.wikilinks(F.col("content")).alias("out_links"), md.todos(F.col("content")).alias("todos"),
     )
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsed(rendered(table(spark, sf_dir, "documents")))
+    """The note index of the documents table."""
+    source = f"{sf_dir}/documents.parquet"
+    return scratch.index(spark, "notes", source, lambda: parsed(rendered(scratch.spread(spark, table(spark, sf_dir, "documents"), source))))
 
 
-#: The same notes in DuckDB, without the detour over Markdown.
-NOTES_SQL = """
+#: The same notes in DuckDB: the Markdown is built and parsed there too.
+NOTES_SQL = (
+    """
 WITH base AS (
-  SELECT doc_id AS k, doc_id, coalesce(text, '') AS text, lang, source,
-    concat_ws('/', CASE WHEN doc_id % 10 = 0 THEN 'Archiv' WHEN doc_id % 10 = 1 THEN 'Daily' WHEN doc_id % 10 = 2 THEN 'Maintenance'
-      WHEN doc_id % 10 = 3 THEN 'Knowledge/Claims' WHEN doc_id % 10 = 4 THEN 'Kunden/' || source ELSE source END, lang, doc_id || '.md') AS rel_path
-  FROM documents),
-notes AS (
-  SELECT *, TIMESTAMP '2024-06-01' - to_days(CAST(k * 37 % 500 AS INT)) AS last_modified,
-    CASE WHEN trim(substr(split_part(text, chr(10), 1), 1, 60), ' ') = '' THEN 'Note ' || k ELSE trim(substr(split_part(text, chr(10), 1), 1, 60), ' ') END AS title,
-    CASE WHEN k % 5 = 0 THEN NULL WHEN k % 5 <= 2 THEN 'aktiv' WHEN k % 5 = 3 THEN 'planung' ELSE 'archiviert' END AS status,
-    CASE WHEN k % 4 = 0 THEN NULL ELSE strftime(DATE '2024-06-01' - CAST(k * 13 % 400 AS INT), '%Y-%m-%d') END AS datum,
-    CASE WHEN k % 3 = 0 THEN 'high' END AS confidence,
-    CASE WHEN k % 6 = 0 THEN strftime(DATE '2024-06-01' + CAST(k % 61 - 30 AS INT), '%Y-%m-%d') END AS recheck_at,
-    CASE WHEN k % 8 = 0 THEN 'import' END AS quelle,
-    list_filter([lang, source, CASE WHEN k % 7 = 0 THEN 'decision' END, CASE WHEN k % 10 = 3 THEN 'claim' END, CASE WHEN k % 9 = 0 THEN 'daily' END], lambda x: x IS NOT NULL) AS tags,
-    list_filter([CASE WHEN k % 2 = 0 THEN CAST(k * 7 + CASE WHEN k % 11 = 0 THEN 1000000007 ELSE 3 END AS VARCHAR) END, CASE WHEN k % 3 = 0 THEN CAST(k // 2 AS VARCHAR) END], lambda x: x IS NOT NULL) AS out_links,
-    CASE WHEN k % 5 <= 1 THEN 1 ELSE 0 END AS open_todos, CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END AS done_todos
+  SELECT *, k // 2 AS half, strftime(DATE '2024-06-01' - CAST(k * 13 % 400 AS INT), '%Y-%m-%d') AS day_before, strftime(DATE '2024-06-01' + CAST(k % 61 - 30 AS INT), '%Y-%m-%d') AS day_around
+  FROM (SELECT doc_id AS k, doc_id, text AS own, lang, source FROM documents)),
+markdown AS MATERIALIZED (
+  SELECT k, doc_id, lang, source, concat_ws('/', """ + SHARED["folder"] + """, lang, k || '.md') AS rel_path, TIMESTAMP '2024-06-01' - to_days(CAST(k * 37 % 500 AS INT)) - to_hours(CAST(k % 5 AS INT)) AS last_modified,
+    """ + SHARED["head"] + """ || '# ' || CASE WHEN trim(substr(split_part(coalesce(own, ''), chr(10), 1), 1, 60), ' ') = '' THEN 'Note ' || k ELSE trim(substr(split_part(coalesce(own, ''), chr(10), 1), 1, 60), ' ') END
+      || chr(10) || chr(10) || coalesce(own, '') || chr(10) || """ + SHARED["tail"] + """ AS raw
   FROM base),
-links AS (
-  SELECT DISTINCT n.rel_path AS src, t.rel_path AS dst FROM (SELECT rel_path, unnest(out_links) AS target FROM notes) n JOIN notes t ON CAST(t.doc_id AS VARCHAR) = n.target)
+cut AS (SELECT *, regexp_extract(raw, '^---\\n((?s:.*?))\\n---', 1) AS fm, regexp_replace(raw, '^---\\n(?s:.*?)\\n---\\n?', '') AS content FROM markdown),
+notes AS MATERIALIZED (
+  SELECT k, doc_id, lang, source, rel_path, last_modified, content, trim(regexp_extract(content, '(?m)^#\\s+(.+)$', 1), ' ') AS title,
+    nullif(regexp_extract(fm, '(?m)^status: (.*)$', 1), '') AS status, nullif(trim(regexp_extract(fm, '(?m)^datum: (.*)$', 1), '"'), '') AS datum, nullif(regexp_extract(fm, '(?m)^confidence: (.*)$', 1), '') AS confidence,
+    nullif(regexp_extract(fm, '(?m)^recheck_at: (.*)$', 1), '') AS recheck_at, nullif(regexp_extract(fm, '(?m)^quelle: (.*)$', 1), '') AS quelle, nullif(regexp_extract(fm, '(?m)^projekt: (.*)$', 1), '') AS projekt,
+    nullif(regexp_extract(fm, '(?m)^contradicted_by: (.*)$', 1), '') AS contradicted_by, nullif(trim(regexp_extract(fm, '(?m)^Owner: (.*)$', 1), '"'), '') AS owner, nullif(regexp_extract(fm, '(?m)^aliases: (.*)$', 1), '') AS aliases,
+    CASE WHEN regexp_matches(fm, '(?m)^tags: \\[') THEN string_split(regexp_extract(fm, '(?m)^tags: \\[(.*)\\]$', 1), ', ') ELSE regexp_extract_all(fm, '(?m)^  - (.*)$', 1) END AS listed,
+    list_distinct(list_concat(list_transform(listed, lambda x: lower(x)), list_transform(regexp_extract_all(content, '(^|\\s)#([a-zA-ZäöüÄÖÜß][\\w/äöüÄÖÜß-]*)', 2), lambda x: lower(x)))) AS tags,
+    list_filter(list_transform(regexp_extract_all(content, '\\[\\[([^\\]]+?)\\]\\]', 1), lambda x: trim(regexp_replace(x, '(?s)\\\\?\\|.*$', ''))), lambda x: x <> '' AND NOT starts_with(x, '!')) AS out_links,
+    list_filter(string_split(content, chr(10)), lambda x: regexp_matches(x, '^\\s*- \\[[ xX]\\]\\s+.')) AS tasks,
+    CAST(len(list_filter(tasks, lambda x: regexp_matches(x, '^\\s*- \\[ \\]'))) AS BIGINT) AS open_todos, len(tasks) - open_todos AS done_todos
+  FROM cut),
+names AS (SELECT rel_path, regexp_replace(regexp_extract(rel_path, '([^/]*)$', 1), '\\.md$', '') AS name FROM notes),
+resolved AS MATERIALIZED (
+  SELECT src, target, coalesce((SELECT min(rel_path) FROM notes n WHERE n.rel_path = target || '.md'), (SELECT min(rel_path) FROM notes n WHERE n.rel_path = target),
+    CASE WHEN NOT contains(target, '/') THEN coalesce((SELECT min(rel_path) FROM names n WHERE n.name = target), (SELECT min(rel_path) FROM names n WHERE lower(n.name) = lower(target))) END) AS dst
+  FROM (SELECT DISTINCT rel_path AS src, unnest(out_links) AS target FROM notes)),
+links AS (SELECT DISTINCT src, dst FROM resolved WHERE dst IS NOT NULL)
 """
+)
