@@ -1,14 +1,15 @@
 """License scans by a positional rare-token index over licence templates. DataFrame functions only.
 
 Words are maximal runs of characters other than the ASCII controls, space and punctuation, A-Z in lower case. A template
-has a label, its words, and a mandatory key phrase within them. The index maps the template's seed words (its rarest by
-inverse document frequency, counted over the whole corpus) to postings of (template, place). A text's rarest licence
-words are looked up, every posting votes for the alignment text place - template place; alignments whose votes reach the
-template's need are verified by its key phrase, word for word, at the aligned place. Base phrases are templates that are
-all key phrase, whose single seed is their rarest word, so that none of their places is missed.
+has a label, its words, and a mandatory key phrase within them. A text is compared with the templates all of whose key
+words it has. Of each, the SEEDS words of the highest inverse document frequency (counted over the whole corpus) that
+the text has are looked up in both: a place in the text and a place in the template make an alignment. An alignment
+counts if the key phrase stands word for word where it puts it and if NEED of the looked-up words (or all, if there are
+fewer) stand at their template's places. Base phrases are templates that are all key phrase, so that none of their
+places is missed. Work follows a text's words times the templates it may have, however often they repeat.
 Null and empty texts have no words, no labels and score 0; null ids stay null; repeated rows are scanned as often as
 they occur; places in texts of any length count, all of them; an empty table gives an empty result. score is the largest
-share of its seeds that a verified template has at its alignment.
+share of a template's words that stand at their places in an alignment.
 """
 
 from __future__ import annotations
@@ -20,24 +21,36 @@ from pyspark.sql import functions as F
 
 #: label, template, key phrase. The base phrases that the query counts come first.
 BASE = (("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license"))
+#: The operative wording of public licences, as words, each with the key phrase that no copy lacks.
 TEMPLATES = (
-    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "apache license version 2 0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version", "gnu affero general public license"),
+    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", "apache license version 2 0"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "software distributed under the license is distributed on an as is basis"),
+    ("artistic", "this package is free software you can redistribute it and or modify it under the terms of the artistic license 2 0", "artistic license 2 0"),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software", "obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistribution and use in source and binary forms"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "redistributions in binary form must reproduce the above copyright notice"),
     ("cc", "this work is licensed under a creative commons attribution", "creative commons attribution"),
     ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
+    ("cc-by-sa", "this work is licensed under the creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike"),
+    ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law", "dedicated the work to the public domain by waiving"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0", "eclipse public license"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "gnu general public license as published by the free software foundation"),
     ("gpl", "licensed under the gnu general public license version 3", "gnu general public license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify and or distribute this software"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "permission to use copy modify and or distribute this software"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license as published"),
     ("lgpl", "gnu lesser general public license", "lesser general public license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("mit", "released under the mit license", "released under the mit license"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0", "mozilla public license"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", "unencumbered software released into the public domain"),
+    ("wtfpl", "do what the fuck you want to public license terms and conditions for copying distribution and modification", "do what the fuck you want to public license"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", "permission is granted to anyone to use this software for any purpose including commercial applications"),
 )
 BREAKS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Seeds of a long template, and how many of them must agree on an alignment.
+#: Words of a template that are looked up in a text, and how many of them must agree on an alignment.
 SEEDS, NEED = 4, 2
-#: A text's licence words that are looked up: those of the highest inverse document frequency in each template's seeds.
 
 
 def words(text: Column) -> Column:
@@ -57,56 +70,45 @@ def inverse_frequencies(worded: DataFrame, n_docs: int) -> dict[str, float]:
     return {w: math.log((n_docs + 1) / (counts.get(w, 0) + 1)) for w in vocabulary()}
 
 
-def index(idf: dict[str, float]) -> tuple[list[dict], dict[str, list[tuple[int, int]]]]:
-    """Templates with seeds, need and key phrase; postings of each seed word."""
-    templates: list[dict] = []
-    for label, text in BASE:
-        templates.append({"label": label, "base": True, "words": text.split(), "key": text.split(), "at": 0, "seeds": 1, "need": 1})
-    for label, text, phrase in TEMPLATES:
+def index(idf: dict[str, float]) -> list[dict]:
+    """Templates: label, base, words, key phrase and its place, and the distinct words from the rarest to the most frequent."""
+    out: list[dict] = []
+    for label, text, phrase, base in [(x, t, t, True) for x, t in BASE] + [(*x, False) for x in TEMPLATES]:
         w, k = text.split(), phrase.split()
         at = next(i for i in range(len(w)) if w[i : i + len(k)] == k)
-        templates.append({"label": label, "base": False, "words": w, "key": k, "at": at, "seeds": SEEDS, "need": NEED})
-    postings: dict[str, list[tuple[int, int]]] = {}
-    for t, x in enumerate(templates):
-        # a rarest word that occurs once in its template gives one vote an alignment
-        places = sorted(range(len(x["words"])), key=lambda i: (x["words"].count(x["words"][i]), -idf[x["words"][i]], i))[: x["seeds"]]
-        x["seeds"] = len(places)
-        for i in places:
-            postings.setdefault(x["words"][i], []).append((t, i))
-    return templates, postings
+        # on equal frequencies a word that occurs once in its template, which gives one alignment a place, comes first
+        out.append({"label": label, "base": base, "words": w, "key": k, "at": at, "rare": sorted(set(w), key=lambda x: (-idf[x], w.count(x), w.index(x)))})
+    return out
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, places (template, first word, votes, base) of all verified templates, base_labels, labels, score."""
+    """doc_id, n_words, places (template, first word, share of its words, base) of all verified templates, base_labels, labels, score."""
     d = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("words"))
-    templates, postings = index(inverse_frequencies(d, d.count()))
-    seeds = F.array(*[F.lit(w) for w in sorted(postings)])
-    as_post = lambda t, i: F.struct(F.lit(t).alias("t"), F.lit(i).alias("i"))
-    post = F.create_map(*[c for w in sorted(postings) for c in (F.lit(w), F.array(*[as_post(t, i) for t, i in postings[w]]))])
-    label, need, total = (F.array(*[F.lit(x[k]) for x in templates]) for k in ("label", "need", "seeds"))
-    key, key_at, base = (F.array(*[F.lit(x[k]) if k != "key" else F.array(*[F.lit(w) for w in x[k]]) for x in templates]) for k in ("key", "at", "base"))
-    of = lambda a, t: F.get(a, t)
-    hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: F.array_contains(seeds, h["w"]))
-    votes = F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(post, h["w"]), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["i"]).alias("at")))))
-    d = d.withColumn("votes", F.when(F.arrays_overlap("words", seeds), F.filter(votes, lambda v: v["at"] + of(key_at, v["t"]) >= 0)))
-
-    def verified(v: Column) -> Column:
-        return F.slice(F.col("words"), v["at"] + of(key_at, v["t"]) + 1, F.size(of(key, v["t"]))) == of(key, v["t"])
-
-    d = d.withColumn("votes", F.filter("votes", verified))
-    d = d.withColumn("long", F.filter("votes", lambda v: ~of(base, v["t"])))
-
-    def place(v: Column) -> Column:
-        n = F.when(of(base, v["t"]), F.lit(1)).otherwise(F.size(F.filter(F.col("long"), lambda x: x == v)))
-        return F.struct(v["t"].alias("t"), v["at"].alias("first_word"), n.alias("votes"), of(base, v["t"]).alias("base"))
-
-    found = F.filter(F.transform(F.array_distinct("votes"), place), lambda p: p["votes"] >= of(need, p["t"]))
-    d = d.select("doc_id", F.size("words").cast("long").alias("n_words"), F.coalesce(found, F.array().cast("array<struct<t:int,first_word:int,votes:int,base:boolean>>")).alias("places"))
-    named = lambda ps: F.array_join(F.array_sort(F.array_distinct(F.transform(ps, lambda p: of(label, p["t"])))), ",")
-    own = F.filter("places", lambda p: p["base"])
+    templates = index(inverse_frequencies(d, d.count()))
+    texts = lambda ws: F.array(*[F.lit(w) for w in ws])
+    table = F.array(*[F.struct(F.lit(i).alias("t"), F.lit(x["label"]).alias("label"), F.lit(x["base"]).alias("base"), texts(x["words"]).alias("words"), texts(x["key"]).alias("key"), F.lit(x["at"]).alias("at"), texts(x["rare"]).alias("rare")) for i, x in enumerate(templates)])
+    d = d.withColumn("own", F.array_intersect(texts(vocabulary()), "words"))
+    able = F.filter(table, lambda t: F.size(F.array_except(t["key"], F.col("own"))) == 0)
+    d = d.withColumn("able", F.when(F.size("own") > 1, able))
+
+    def found(t: Column) -> Column:
+        seeds = F.slice(F.filter(t["rare"], lambda w: F.array_contains("own", w)), 1, SEEDS)
+        spots = F.filter(F.transform(t["words"], lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(seeds, x["w"]))
+        at_of = F.flatten(F.transform(F.col("words"), lambda w, i: F.when(F.array_contains(seeds, w), F.transform(F.filter(spots, lambda x: x["w"] == w), lambda x: i - x["i"])).otherwise(F.array().cast("array<int>"))))
+        there = lambda at, j: F.get(F.col("words"), at + j)
+        verified = F.filter(F.array_distinct(at_of), lambda at: (at + t["at"] >= 0) & (F.slice(F.col("words"), F.greatest(at + t["at"], F.lit(0)) + 1, F.size(t["key"])) == t["key"]))
+        agree = lambda at, xs: F.size(F.filter(xs, lambda x: (at + x["i"] >= 0) & (there(at, x["i"]) == x["w"])))
+        enough = F.filter(verified, lambda at: agree(at, spots) >= F.least(F.lit(NEED), F.size(seeds)))
+        share = lambda at: F.size(F.filter(F.transform(t["words"], lambda w, i: F.coalesce((at + i >= 0) & (there(at, i) == w), F.lit(False))), lambda same: same)) / F.size(t["words"])
+        return F.transform(enough, lambda at: F.struct(t["t"].alias("t"), t["label"].alias("label"), at.alias("first_word"), share(at).alias("share"), t["base"].alias("base")))
+
+    places = F.when(F.size("able") > 0, F.flatten(F.transform("able", found)))
+    none = F.array().cast("array<struct<t:int,label:string,first_word:int,share:double,base:boolean>>")
+    d = d.select("doc_id", F.size("words").cast("long").alias("n_words"), F.coalesce(places, none).alias("places"))
+    named = lambda ps: F.array_join(F.array_sort(F.array_distinct(F.transform(ps, lambda p: p["label"]))), ",")
     return d.select(
-        "doc_id", "n_words", "places", named(own).alias("base_labels"), named(F.col("places")).alias("labels"),
-        F.coalesce(F.array_max(F.transform("places", lambda p: p["votes"] / of(total, p["t"]))), F.lit(0.0)).alias("score"),
+        "doc_id", "n_words", "places", named(F.filter("places", lambda p: p["base"])).alias("base_labels"), named(F.col("places")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("places", lambda p: p["share"])), F.lit(0.0)).alias("score"),
     )
 
 
