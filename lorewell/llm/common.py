@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -13,25 +10,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorewell.sources import scratch
+
 #: Stands for a null id wherever ids are ordered or packed; it sorts before every other id.
 NULL_ID = -(2**63)
 #: Texts are handled in slices of about so many bytes, so that memory does not follow a batch's row count.
 SLICE_BYTES = 2 << 20
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); where it is unset, as in tests, one of our own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="lorewell-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-        atexit.register(shutil.rmtree, root.removeprefix("file://"), True)
-    return root.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/lorewell/{name}-{uuid.uuid4().hex}"
+    """A new folder in the shared folder of the cluster (spark.checkpoint.dir)."""
+    return f"{scratch.root(spark)}/lorewell/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -97,12 +86,12 @@ def keyed(docs: DataFrame, id_col: str, *cols: str) -> DataFrame:
 HOT = 1000
 
 
-def hot_join(df: DataFrame, keyed: DataFrame, key: str, rows: int) -> DataFrame:
+def hot_join(df: DataFrame, keyed: DataFrame, key: str, rows: int, how: str = "inner") -> DataFrame:
     """df joined with keyed (key, size: df's rows of that key, ...) on key, where df has at most so many rows. The hot keys, at
     most HOT by their definition, are broadcast, so that no task gets all rows of one; the others are exchanged."""
     least = max(rows // HOT, 64)
     hot, rest = F.broadcast(keyed.filter(F.col("size") > least)), keyed.filter(F.col("size") <= least)
-    return df.join(hot, key).unionByName(df.join(hot.select(key), key, "left_anti").join(rest, key))
+    return df.join(hot, key).unionByName(df.join(hot.select(key), key, "left_anti").join(rest, key, how))
 
 
 def restored(col: Column) -> Column:

@@ -11,7 +11,6 @@ in order of their text's bytes, an empty table gives an empty result, texts of a
 from __future__ import annotations
 
 import hashlib
-import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -25,7 +24,8 @@ from pyspark.sql import functions as F
 from lorewell.llm import common
 
 SLOTS = 1 << 20
-SPACES = re.compile(r"\s+")
+#: Hexadecimal digits of a digest; fewer serve tests of collisions.
+DIGITS = 32
 
 
 def canonical(text: str) -> str:
@@ -37,9 +37,12 @@ def canonical(text: str) -> str:
     return " ".join(text.split())
 
 
-def digest(text: str, wide: bool = False) -> str:
-    data = canonical(text).encode()
-    return xxhash.xxh3_128_hexdigest(data) + (hashlib.sha256(data).hexdigest() if wide else "")
+def print_of(data: bytes, wide: bool, digits: int) -> str:
+    return xxhash.xxh3_128_hexdigest(data)[:digits] + (hashlib.sha256(data).hexdigest() if wide else "")
+
+
+def digest(text: str, wide: bool = False, digits: int = DIGITS) -> str:
+    return print_of(canonical(text).encode(), wide, digits)
 
 
 def repeated_slots(prints: DataFrame) -> np.ndarray:
@@ -51,7 +54,7 @@ def repeated_slots(prints: DataFrame) -> np.ndarray:
     return out
 
 
-def has_collision(docs: DataFrame, prints: DataFrame, wide: bool) -> bool:
+def has_collision(docs: DataFrame, prints: DataFrame, wide: bool, digits: int = DIGITS) -> bool:
     """Whether two canonical texts share a digest. docs: _id, text; prints: fingerprint."""
     slots = repeated_slots(prints)
     schema = pa.schema([("fingerprint", pa.string()), ("canon", pa.binary())])
@@ -62,9 +65,9 @@ def has_collision(docs: DataFrame, prints: DataFrame, wide: bool) -> bool:
             rows = {}
             for text in b.column(0).to_pylist():
                 data = canonical(text or "").encode()
-                key = xxhash.xxh3_128_hexdigest(data)
+                key = print_of(data, wide, digits)
                 if slots[int(key[:5], 16)]:
-                    rows[key + (hashlib.sha256(data).hexdigest() if wide else ""), pack.compress(data)] = None
+                    rows[key, pack.compress(data)] = None
             yield common.batch(schema, [k for k, _ in rows], [v for _, v in rows])
 
     texts = docs.select("text").mapInArrow(common.lean(shown), "fingerprint string, canon binary")
@@ -74,17 +77,18 @@ def has_collision(docs: DataFrame, prints: DataFrame, wide: bool) -> bool:
 
 ROWS = pa.schema([("_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 ROWS_DDL = "_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-SENT = pa.schema([("range", pa.int32()), ("tail", pa.bool_()), ("_id", pa.int64()), ("packed", pa.binary())])
+SENT = pa.schema([("range", pa.int32()), ("tail", pa.bool_()), ("_id", pa.int64()), ("packed", pa.binary()), ("order", pa.binary())])
 
 
 def with_neighbours(docs: DataFrame) -> DataFrame:
-    """range, tail, _id, packed text: documents dealt by ranges of ids, each range sorted and followed by a copy of the
+    """range, tail, _id, packed text, order (the text where ids repeat): documents dealt by ranges of ids, each range sorted and followed by a copy of the
     first document after it (tail; after the last range: of the first range), so that neighbours meet in one task."""
     bounds = common.edges(docs, common.width(docs.sparkSession))
     cuts = np.array(bounds)
     firsts = {r["range"]: r["first"] for r in docs.groupBy(common.range_of(bounds).alias("range")).agg(F.min("_id").alias("first")).collect()}
     filled = sorted(firsts)
     tail_of = {firsts[k]: filled[i - 1] for i, k in enumerate(filled)}
+    ties = not docs.groupBy("_id").count().filter("count > 1").isEmpty()
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
@@ -94,16 +98,16 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
             for at, to in common.slices(texts, 8 << 20):
                 packed = [pack.compress(t) for t in texts[at:to]]
                 part = np.searchsorted(cuts, ids[at:to].astype(np.float64), "right")
-                yield common.batch(SENT, part.astype(np.int32), np.zeros(to - at, bool), ids[at:to], packed)
+                yield common.batch(SENT, part.astype(np.int32), np.zeros(to - at, bool), ids[at:to], packed, texts[at:to] if ties else [None] * (to - at))
                 more = [i for i in range(at, to) if int(ids[i]) in tail_of]
                 if more:
-                    yield common.batch(SENT, [tail_of[int(ids[i])] for i in more], np.ones(len(more), bool), ids[more], [packed[i - at] for i in more])
+                    yield common.batch(SENT, [tail_of[int(ids[i])] for i in more], np.ones(len(more), bool), ids[more], [packed[i - at] for i in more], [texts[i] if ties else None for i in more])
 
-    dealt = docs.select("_id", "text").mapInArrow(common.lean(deal), "range int, tail boolean, _id long, packed binary")
-    return dealt.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("range", "tail", "_id", "packed")
+    dealt = docs.select("_id", "text").mapInArrow(common.lean(deal), "range int, tail boolean, _id long, packed binary, order binary")
+    return dealt.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("range", "tail", "_id", "order").select("range", "tail", "_id", "packed")
 
 
-def edited_prints(docs: DataFrame, wide: bool = False) -> DataFrame:
+def edited_prints(docs: DataFrame, wide: bool = False, digits: int = DIGITS) -> DataFrame:
     """For each document its fingerprint, that of its edited text and the next document's likeness. docs: _id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,12 +121,12 @@ def edited_prints(docs: DataFrame, wide: bool = False) -> DataFrame:
                 if done:
                     continue
                 text = unpack.decompress(packed).decode()
-                mine = digest(text, wide)
+                mine = digest(text, wide, digits)
                 if before is not None:
                     _, last_key, last, last_print = before
                     k = len(last) // 4
                     edited = last[: len(last) - k] + text[:k]
-                    edited_print = digest(edited, wide) if edited != last else last_print
+                    edited_print = digest(edited, wide, digits) if edited != last else last_print
                     out.append((last_key, len(last), hashlib.sha256(edited.encode()).hexdigest(), last_print, edited_print, float(edited_print == last_print), float(mine == last_print)))
                 before, done = (part, key, text, mine), tail
             yield common.batch(ROWS, *(zip(*out, strict=True) if out else [[]] * len(ROWS)))
@@ -130,20 +134,20 @@ def edited_prints(docs: DataFrame, wide: bool = False) -> DataFrame:
     return with_neighbours(docs).mapInArrow(common.lean(run), ROWS_DDL)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digits: int = DIGITS) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, group_id (smallest id with
     the same canonical text), group_size."""
     d = common.keyed(docs, id_col, text_col).withColumnRenamed(text_col, "text")
     for wide in (False, True):
-        prints, path = common.materialize(edited_prints(d, wide), "prints")
-        if wide or not has_collision(d, prints, wide):
+        prints, path = common.materialize(edited_prints(d, wide, digits), "prints")
+        if wide or not has_collision(d, prints, wide, digits):
             break
         common.discard(d.sparkSession, path)
-    groups, _ = common.materialize(prints.groupBy("fingerprint").agg(F.min("_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1"), "groups")
-    out = prints.join(groups, "fingerprint", "left")
+    groups, _ = common.materialize(prints.groupBy("fingerprint").agg(F.min("_id").alias("first"), F.count("*").alias("size")).filter("size > 1"), "groups")
+    out = common.hot_join(prints, groups, "fingerprint", prints.count(), "left")
     return out.select(
         common.restored(F.col("_id")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next",
-        common.restored(F.coalesce("first", "_id")).alias("group_id"), F.coalesce("copies", F.lit(1)).alias("group_size"),
+        common.restored(F.coalesce("first", "_id")).alias("group_id"), F.coalesce("size", F.lit(1)).alias("group_size"),
     )
 
 

@@ -7,7 +7,8 @@ only, so all escapes are resolved once into a table (context, byte, language); a
 then two lookups a byte. The text goes to the language of the shortest code; score is that language's share under a
 uniform prior.
 Training takes a bounded sample of labelled rows: about SAMPLE_DOCS whole documents a language, chosen by a hash of the
-id, which no prediction sees. Null or letterless texts, and all texts if nothing is labelled, are `und` with score 0.
+id, which no prediction sees; every context of the sample counts. The table has a row a context and symbol seen anywhere
+and two bytes a language in it, so that it follows the sample and the number of languages, not the corpus. Null or letterless texts, and all texts if nothing is labelled, are `und` with score 0.
 Null ids stay null, repeated rows are scored as often as they occur, ties go to the first language by name.
 """
 
@@ -26,8 +27,8 @@ from lorewell.llm import common
 ORDER = 3
 #: Documents a language that training takes, about.
 SAMPLE_DOCS = 600
-#: Contexts kept, the most frequent ones; bounds the broadcast table.
-MAX_CONTEXTS = 24_000
+#: Characters of the longest documents that training takes; so a sample has at most SAMPLE_DOCS * LONGEST a language.
+LONGEST = 1 << 16
 #: Code lengths are kept in units of 1/UNIT bits.
 UNIT = 1024
 LETTER = re.compile(r"[^\W\d_]")
@@ -37,7 +38,7 @@ LEAD = b"\n" * ORDER
 class Model:
     """code: byte to symbol; longest: last ORDER symbols to context; cost: (context, symbol) to bits of each language."""
 
-    def __init__(self, samples: dict[str, list[bytes]], max_contexts: int = MAX_CONTEXTS):
+    def __init__(self, samples: dict[str, list[bytes]]):
         self.langs = sorted(samples)
         joined = {k: np.frombuffer(b"".join(LEAD + t for t in samples[k]), np.uint8) for k in self.langs}
         pads = {k: self._pads([len(t) for t in samples[k]]) for k in self.langs}
@@ -54,22 +55,11 @@ class Model:
                 for j in range(d, -1, -1):
                     key = key * a + s[at - j]
                 counts[k, d] = np.unique(key, return_counts=True)
-        per_order = []
-        for d in range(ORDER + 1):
-            key = np.concatenate([counts[k, d][0] // a for k in self.langs])
-            n = np.concatenate([counts[k, d][1] for k in self.langs])
-            ctx, which = np.unique(key, return_inverse=True)
-            per_order.append((ctx, np.bincount(which, weights=n)))
-        total = np.concatenate([n for _, n in per_order])
-        order = np.concatenate([np.full(len(c), d) for d, (c, _) in enumerate(per_order)])
-        keep = np.zeros(len(total), bool)
-        keep[np.lexsort((order, -total))[:max_contexts]] = True
-        at, tables, base = 0, [], 0
-        self.longest = np.zeros((a,) * ORDER, np.uint16)
+        per_order = [np.unique(np.concatenate([counts[k, d][0] // a for k in self.langs])) for d in range(ORDER + 1)]
+        tables, base = [], 0
+        self.longest = np.zeros((a,) * ORDER, np.uint16 if sum(map(len, per_order)) < 1 << 16 else np.uint32)
         before_ctx = before = None
-        for d, (ctx, _) in enumerate(per_order):
-            ctx = ctx[keep[at : at + len(ctx)]]
-            at += len(per_order[d][0])
+        for d, ctx in enumerate(per_order):
             table = np.full((len(ctx), a, len(self.langs)), 8.0, np.float32)
             if d:
                 up = np.searchsorted(before_ctx, ctx % a ** (d - 1))
@@ -85,7 +75,7 @@ class Model:
                     escape = np.where(kinds > 0, np.log2(whole) - np.log2(kinds), 0.0)
                 table[:, :, j] += escape[:, None].astype(np.float32)
                 table[pos, sym, j] = np.log2(whole[pos]) - np.log2(n)
-            index = (base + np.arange(len(ctx))).astype(np.uint16)
+            index = (base + np.arange(len(ctx))).astype(self.longest.dtype)
             if d == 0:
                 self.longest[...] = 0
             else:
@@ -134,7 +124,7 @@ class Model:
 
 def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_DOCS) -> Model | None:
     """A model from about `sample` labelled documents a language; None if there are none."""
-    labelled = docs.filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    labelled = docs.filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= LONGEST))
     counts = {r[lang_col]: r["count"] for r in labelled.groupBy(lang_col).count().collect()}  # a row a language
     if not counts:
         return None
@@ -147,8 +137,9 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score; all its other columns must not have these names."""
+    """docs with lang_pred and score, which replace columns of these names."""
     common.bounded_batches(docs.sparkSession)
+    docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
     at = docs.columns.index(text_col)

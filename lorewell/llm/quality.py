@@ -4,8 +4,8 @@ Evidence: two logistic models (quality, toxic) over shape numbers and the log-od
 sample of at most about SAMPLE labelled documents, give each document a probability. Sites: the sum of evidence over a
 host's documents is shrunk toward the corpus mean, that over a path's documents toward its host's posterior, with prior
 strengths (pseudo-counts) estimated from the spread between sites by moments; sparse sites so keep the mean of their
-parents. score combines the document's log-odds with what its path's posterior adds to the corpus mean; a document is
-kept if score is 0.5 or more and its toxicity below 0.5.
+parents. score combines the document's log-odds with what its path's posterior, taken without the document itself, adds
+to the corpus mean; a document is kept if score is 0.5 or more and its toxicity below 0.5.
 Hosts and paths are grouped by partial aggregates, so a hot site costs a row a task. Null hosts and paths are sites of
 their own; null texts count as empty; null ids stay null; repeated rows are judged alike; without labels the evidence is
 0.5 and toxicity 0; an empty table gives an empty result.
@@ -25,6 +25,8 @@ from lorewell.llm.decontamination import BREAKS
 from lorewell.llm.shingles import words
 
 SAMPLE = 8_000
+#: Characters of the longest documents that the sample takes; so it has at most SAMPLE * LONGEST.
+LONGEST = 1 << 16
 #: Documents of the sample that a word must be in to count.
 LEAST_DOCS = 5
 #: Standard errors by which log-odds are drawn to 0.
@@ -71,23 +73,27 @@ class Evidence:
     other half fits a logistic model on the shape numbers and on a text's most telling words."""
 
     def __init__(self, texts: list[bytes], target: np.ndarray, steps: int = 400, rate: float = 0.3):
+        """target: quality and toxicity (1 or 0) of each text; NaN where it is not known."""
         half = np.arange(len(texts)) % 2 == 0
         bucket, doc, shape = features_by_slices(texts)
-        own = half[doc]
-        n = np.bincount(bucket[own], minlength=BUCKETS)
+        known = ~np.isnan(target)
+        target = np.nan_to_num(target)
         self.odds = np.zeros((BUCKETS, 2))
         for j in range(2):
+            use = half & known[:, j]
+            own = use[doc]
+            n = np.bincount(bucket[own], minlength=BUCKETS)
             yes = np.bincount(bucket[own], weights=target[doc[own], j], minlength=BUCKETS)
-            rate_yes, rate_no = (yes + 0.5) / (target[half, j].sum() + 1), (n - yes + 0.5) / ((1 - target[half, j]).sum() + 1)
+            rate_yes, rate_no = (yes + 0.5) / (target[use, j].sum() + 1), (n - yes + 0.5) / ((1 - target[use, j]).sum() + 1)
             odds, error = np.log(rate_yes / rate_no), np.sqrt(1 / (yes + 0.5) + 1 / (n - yes + 0.5))
             self.odds[:, j] = np.where(n >= LEAST_DOCS, np.sign(odds) * np.maximum(0, np.abs(odds) - SURE * error), 0.0)
-        x, y = self._rows(bucket, doc, shape)[~half], target[~half]
-        self.mean, self.scale = x.mean(0), x.std(0) + 1e-3
+        x, y, told = self._rows(bucket, doc, shape)[~half], target[~half], known[~half].astype(np.float64)
+        self.mean, self.scale = (x.mean(0), x.std(0) + 1e-3) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
         self.mean[-1], self.scale[-1] = 0, 1
         x = (x - self.mean) / self.scale
         self.w, g2 = np.zeros((x.shape[1], 2)), np.full((x.shape[1], 2), 1e-6)
-        positive = np.clip(y.mean(0), 1e-3, 1 - 1e-3)
-        weight = np.where(y > 0, 0.5 / positive, 0.5 / (1 - positive)) / max(1, len(y))
+        positive = np.clip((y * told).sum(0) / np.maximum(1, told.sum(0)), 1e-3, 1 - 1e-3)
+        weight = told * np.where(y > 0, 0.5 / positive, 0.5 / (1 - positive)) / np.maximum(1, told.sum(0))
         for _ in range(steps):
             g = x.T @ ((self._link(x) - y) * weight) + 1e-4 * self.w
             g2 += g * g
@@ -119,16 +125,18 @@ class Evidence:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Evidence | None:
-    """The evidence model from about `sample` labelled documents, chosen by a hash of their id."""
-    told = labels.select(F.col(id_col).alias("_id"), "quality", "toxic").dropna().dropDuplicates(["_id"])
+    """The evidence model from about `sample` labelled documents, chosen by a hash of their id. A label may lack either
+    target; of contradicting labels of one id the larger counts."""
+    told = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic")).filter("quality IS NOT NULL OR toxic IS NOT NULL")
     n = told.count()
     share = F.lit(min(1.0, sample / max(1, n)) * (1 << 30))
     chosen = told.filter(F.pmod(F.xxhash64("_id", F.lit("quality")), F.lit(1 << 30)) < share)
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(chosen), "_id").orderBy("_id").collect()  # bounded by the sample
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).filter(F.length("t") <= LONGEST)
+    rows = texts.join(F.broadcast(chosen), "_id").orderBy("_id", "t").collect()  # bounded by the sample and LONGEST
     if not rows:
         return None
-    target = np.array([(float(r["quality"] > 0), float(r["toxic"] > 0)) for r in rows])
-    return Evidence([r["t"].encode() for r in rows], target)
+    known = lambda v: float("nan") if v is None else float(v > 0)
+    return Evidence([r["t"].encode() for r in rows], np.array([(known(r["quality"]), known(r["toxic"])) for r in rows]))
 
 
 def strength(n: Column, mean: Column, parent: Column) -> Column:
@@ -140,17 +148,25 @@ def strength(n: Column, mean: Column, parent: Column) -> Column:
 
 
 def posteriors(evidence: DataFrame) -> tuple[DataFrame, float]:
-    """host, path, host_posterior, path_posterior of every site, and the corpus mean. evidence: host, path, p."""
-    paths, _ = common.materialize(evidence.groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), F.sum("p").alias("s")), "paths")
+    """host, path, host_posterior, path_posterior of every site with the sums behind them (hn, hs, hk: documents, evidence and
+    prior strength of hosts; n, s, k: of paths), and the corpus mean. evidence: host, path, p."""
+    paths, path_table = common.materialize(evidence.groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), F.sum("p").alias("s")), "paths")
     total = paths.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
     mean = (total["s"] or 0.0) / (total["n"] or 1.0)
     mean = min(max(mean, 1e-6), 1 - 1e-6)
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
     k = hosts.agg(strength(F.col("hn"), F.col("hs") / F.col("hn"), F.lit(mean)).alias("k")).first()["k"] or 1.0
-    hosts = hosts.select(F.col("host").alias("site"), ((F.col("hs") + k * mean) / (F.col("hn") + k)).alias("host_posterior"))
+    hosts = hosts.select(F.col("host").alias("site"), "hn", "hs", F.lit(k).alias("hk"), shrunk("hn", "hs", k, F.lit(mean)).alias("host_posterior"))
     both, _ = common.materialize(paths.join(hosts, F.col("host").eqNullSafe(F.col("site"))).drop("site"), "sites")
+    common.discard(evidence.sparkSession, path_table)
     k = both.agg(strength(F.col("n"), F.col("s") / F.col("n"), F.col("host_posterior")).alias("k")).first()["k"] or 1.0
-    return both.select("host", "path", "host_posterior", ((F.col("s") + k * F.col("host_posterior")) / (F.col("n") + k)).alias("path_posterior")), mean
+    return both.select("*", F.lit(k).alias("k"), shrunk("n", "s", k, F.col("host_posterior")).alias("path_posterior")), mean
+
+
+def shrunk(n: str, s: str, k, parent: Column, own: Column | float = 0.0, docs: float = 0.0) -> Column:
+    """A site's mean evidence shrunk toward its parent; own: the evidence of as many documents that do not count."""
+    k = F.col(k) if isinstance(k, str) else F.lit(k)
+    return (F.col(s) - own + k * parent) / (F.col(n) - docs + k)
 
 
 def log_odds(p: Column) -> Column:
@@ -179,7 +195,9 @@ def classify(docs: DataFrame, model: Evidence | None, host: Column, path: Column
     sites, mean = posteriors(evidence)
     sites = sites.withColumnsRenamed({"host": "h", "path": "q"})
     out = evidence.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q")))
-    score = 1 / (1 + F.exp(-(log_odds(F.col("p")) + log_odds(F.col("path_posterior")) - log_odds(F.lit(mean)))))
+    # what a document's sites tell of it is what their other documents do
+    others = shrunk("n", "s", "k", shrunk("hn", "hs", "hk", F.lit(mean), F.col("p"), 1.0), F.col("p"), 1.0)
+    score = 1 / (1 + F.exp(-(log_odds(F.col("p")) + log_odds(others) - log_odds(F.lit(mean)))))
     out = out.withColumn("score", score)
     return out.select("doc_id", F.col("p").alias("evidence"), "toxic", "host_posterior", "path_posterior", "score", ((F.col("score") >= 0.5) & (F.col("toxic") < 0.5)).alias("kept"))
 

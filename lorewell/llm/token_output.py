@@ -160,7 +160,8 @@ def write_store(docs: DataFrame, store: str, tokenizer_path: str, end_id: int, i
     lengths = limited_lengths(counts, max(MAX_BITS, int(np.ceil(np.log2(max(2, np.count_nonzero(counts)))))))
     codes = canonical_codes(lengths)
 
-    parts = max(1, int(counts.sum()) * dtype.itemsize // RANGE_BYTES)
+    # as many ranges as bytes call for, but no more bounds than a few a task of the session; blocks are streamed within a range
+    parts = max(1, min(int(counts.sum()) * dtype.itemsize // RANGE_BYTES, max(64, 4 * common.width(spark))))
     bounds = common.edges(table, parts)
     ranged = table.select(common.range_of(bounds).cast("int").alias("range"), "_id", "n_tokens", "ids")
     totals = dict(ranged.groupBy("range").agg(F.sum("n_tokens")).collect())  # one number a range

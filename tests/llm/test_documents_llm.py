@@ -46,12 +46,23 @@ def test_fingerprints_edge_cases(spark):
     assert sorted((str(r["doc_id"]), r["group_size"]) for r in fingerprints.fingerprints(nulls).collect()) == [("3", 1), ("3", 2), ("3", 2), ("None", 1)]
 
 
-def test_fingerprint_collisions_are_seen(spark, monkeypatch):
-    docs = table(spark, ["p", "q", "q"]).select(F.col("doc_id").alias("_id"), "text")
-    prints = spark.createDataFrame([("00000", 1), ("00000", 2)], "fingerprint string, n int")
-    assert fingerprints.repeated_slots(prints).sum() == 1
-    real, _ = docs, None
-    assert not fingerprints.has_collision(real, fingerprints.edited_prints(real), False)
+def test_fingerprints_of_repeated_ids_follow_their_texts(spark):
+    texts = ["bb" * 40, "a", "ccc" * 9, "", "abc" * 30]
+    rows = spark.createDataFrame([(7, t) for t in texts] + [(9, "zz")], "doc_id long, text string")
+    order = [*sorted(texts), "zz"]
+    want = sorted(hashlib.sha256((t[: len(t) - len(t) // 4] + order[(i + 1) % 6][: len(t) // 4]).encode()).hexdigest() for i, t in enumerate(order))
+    assert sorted(r["edited_sha256"] for r in fingerprints.fingerprints(rows).collect()) == want
+
+
+def test_fingerprint_collisions_are_seen_and_resolved(spark):
+    """Digests of one digit collide; the run is then repeated with wider ones."""
+    texts = [f"text {i % 40}" for i in range(60)]
+    docs = table(spark, texts)
+    keyed = docs.select(F.col("doc_id").alias("_id"), "text")
+    assert fingerprints.has_collision(keyed, fingerprints.edited_prints(keyed, False, 1), False, 1)
+    assert not fingerprints.has_collision(keyed, fingerprints.edited_prints(keyed, True, 1), True, 1)
+    got = {r["doc_id"]: (r["group_id"], r["group_size"]) for r in fingerprints.fingerprints(docs, digits=1).collect()}
+    assert got == {i: (i % 40, 2 if i % 40 < 20 else 1) for i in range(60)}
 
 
 def test_language_costs_are_ppm(spark):
@@ -95,6 +106,8 @@ def test_language_accuracy_and_edges(spark):
     odd = spark.createDataFrame([(1, None, None), (2, "", "de"), (None, "12 !!", "en"), (4, "the and of", None), (4, "the and of", None)], "doc_id long, text string, lang string")
     got = language.identify(odd, model).collect()
     assert [r["lang_pred"] for r in got] == ["und", "und", "und", "en", "en"] and all(0 <= r["score"] <= 1 for r in got)
+    clash = odd.withColumns({"score": F.lit("s"), "lang_pred": F.lit(7)})
+    assert [tuple(r)[3:] for r in language.identify(clash, model).collect()] == [(r["lang_pred"], r["score"]) for r in got]
     assert language.fit(odd.limit(0), F.lit(True)) is None and language.identify(odd, None).count() == 5
 
 

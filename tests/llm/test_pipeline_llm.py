@@ -1,6 +1,7 @@
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 pipeline = pytest.importorskip("corpus_pipeline")
 SF = "/root/testdata/sf0.001"
@@ -49,3 +50,33 @@ def test_null_and_repeated_ids(spark):
     assert told(cut(spark, table([*rows[:5], *rest, (None, "short"), (None, "short")]), SF)) == sorted([(None, word("a")), (None, word("b")), (5, word("c")), (6, ""), (6, ""), *rest[2:], (None, "short"), (None, "short")], key=str)  # null counts as empty
     leaking = word("e") + " " + item
     assert told(clean(spark, table([(None, leaking), (None, word("a")), (5, leaking), (5, word("c")), *rest]), SF)) == sorted([(None, word("a")), (5, word("c")), *rest], key=str)
+
+
+def test_language_stage_takes_effect_and_stages_bear_empty_and_clashing_tables(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    wrong = docs.filter("lang = 'de'").limit(1).select("doc_id", "text", F.lit(None).cast("string").alias("lang"), "source", "n_chars")
+    out = pipeline.language_stage(spark, docs.join(wrong.select("doc_id"), "doc_id", "left_anti").select(*pipeline.COLUMNS).union(wrong), SF)
+    assert out.filter(F.col("doc_id") == wrong.first()["doc_id"]).first()["lang"] == "de"
+    clash = docs.limit(40).withColumns({c: F.lit("x") for c in ("row", "key", "hash", "rank", "lang_pred", "score", "gone", "_id", "mark", "kept", "component")})
+    before, empty = clash, clash.limit(0)
+    for _, stage in pipeline.STAGES:
+        before, empty = stage(spark, before, SF), stage(spark, empty, SF)
+        assert before.columns == empty.columns and empty.count() == 0 and before.count() > 20
+
+
+def test_near_dedup_and_decontamination_equal_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(*pipeline.COLUMNS)
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+
+    def shingled(text):
+        w = text.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = {k: shingled(t) for k, t in rows}
+    top = {k: k for k in sets}
+    for i, (a, _) in enumerate(rows):
+        for b, _ in rows[i + 1 :]:
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((top[a], top[b]))
+                top = {k: low if v == high else v for k, v in top.items()}
+    assert sorted(r["doc_id"] for r in pipeline.near_dedup_stage(spark, docs, SF).collect()) == sorted(k for k in top if top[k] == k)
