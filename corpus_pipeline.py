@@ -12,11 +12,14 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a letter. A model of at most about language.SAMPLE_DOCS documents a language runs, but what it tells changes
-    nothing: lang stays as it is."""
+    """Documents with a letter, each under the language that its text is predicted to be in: lang is what the model of at most
+    about language.SAMPLE_DOCS documents a language tells, whatever it was before. If nothing is labelled, lang stays."""
     docs = docs.select(*COLUMNS)
-    told = language.identify(docs, language.fit(docs, F.lit(True)))
-    return told.filter(F.col("lang_pred") != "und").select(*COLUMNS)
+    model = language.fit(docs, F.lit(True))
+    if model is None:
+        return docs.filter(F.regexp_like(F.coalesce("text", F.lit("")), F.lit(r"\p{L}")))
+    told = language.identify(docs, model).filter(F.col("lang_pred") != "und")
+    return told.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
