@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +32,21 @@ def semantic_tokens(text: Column) -> Column:
     return F.filter(F.transform(kept, lambda w: F.regexp_replace(w, "^-+|-+$", "")), lambda w: w != "")
 
 
+def query_normal(text: str) -> str:
+    """folded() of a text on the driver."""
+    out = text.lower()
+    for a, b in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss"), ("_", "-")):
+        out = out.replace(a, b)
+    return out.strip()
+
+
+def query_tokens(text: str) -> list[str]:
+    """semantic_tokens() of a query on the driver."""
+    words = regex.split(r"[\s/]+", regex.sub(r"[^\p{L}\p{N}/\s-]", " ", query_normal(text)))
+    parts = [p for w in words for p in ([w, *w.split("-")] if "-" in w else [w])]
+    return [t for t in (p.strip("-") for p in parts if len(p) >= 3 and p not in STOPWORDS and p not in SEMANTIC_ONLY) if t]
+
+
 def title_tokens(text: Column) -> Column:
     """Distinct words of three letters or more without stopwords."""
     stop = F.array(*[F.lit(w) for w in STOPWORDS])
@@ -46,8 +62,9 @@ def content_words(text: Column) -> Column:
     return F.filter(words, lambda w: F.length(w) >= 4)
 
 
-def mention_tokens(text: Column) -> Column:
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_-]+)"), F.lit(1)), lambda w: F.length(w) >= 2)
+def raw_tokens(text: Column) -> Column:
+    """Runs of letters, digits, underscores and hyphens, in order."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_-]+)"), F.lit(1))
 
 
 def trigrams(text: Column) -> Column:
