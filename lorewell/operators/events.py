@@ -15,6 +15,11 @@ def ledger(e: DataFrame) -> DataFrame:
     return e.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.round(F.sum("value"), 2).alias("total"))
 
 
+def latest_rows(e: DataFrame) -> DataFrame:
+    """The last row (ts, event_id, value) of each user and type."""
+    return e.groupBy("user_id", "event_type").agg(F.max(F.struct("ts", "event_id", "value")).alias("x")).select("user_id", "event_type", "x.*")
+
+
 def last_writes(e: DataFrame) -> DataFrame:
     """The last event of each user and type."""
     return e.groupBy("user_id", "event_type").agg(F.max_by(F.struct("event_id", "value"), F.struct("ts", "event_id")).alias("x")).select("user_id", "event_type", "x.event_id", "x.value")

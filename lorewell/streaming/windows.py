@@ -71,13 +71,29 @@ def checkpoints(e: DataFrame) -> DataFrame:
 
 
 def upsert_latest(e: DataFrame, root: str, checkpoint: str):
-    """Keep the latest row a user in a folder a batch: available files are read once, oldest first."""
+    """Keep the latest row of each user and type as a table: every batch is merged with the state before it and written as a
+    state of its own, so that a batch that is run again gives the same; latest_state() reads the newest. Available files are
+    read once, oldest first."""
+
     def save(df: DataFrame, epoch: int) -> None:
-        batch.last_writes(df).write.mode("overwrite").parquet(f"{root}/epoch={epoch}")
+        before = latest_state(df.sparkSession, root, epoch)
+        new = batch.latest_rows(df).select("user_id", "event_type", "ts", "event_id", "value")
+        merged = batch.latest_rows(new if before is None else before.unionByName(new))
+        merged.write.mode("overwrite").parquet(f"{root}/state-{epoch:09d}")
 
     return e.writeStream.foreachBatch(save).trigger(availableNow=True).option("checkpointLocation", checkpoint).start()
 
 
+def latest_state(spark: SparkSession, root: str, before: int | None = None) -> DataFrame | None:
+    """The state that upsert_latest() wrote last (before that epoch), if any."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(root)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+    done = sorted(n for n in names if n.startswith("state-") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/_SUCCESS")) and (before is None or int(n[6:]) < before))
+    return spark.read.parquet(f"{root}/{done[-1]}") if done else None
+
+
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over all that is available into a memory table of that name."""
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()

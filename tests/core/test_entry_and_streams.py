@@ -109,8 +109,10 @@ def test_stream_checkpoints_follow_policy(spark, event_files):
 
 
 def test_stream_upsert_and_once(spark, event_files, tmp_path):
-    e = windows.read_events(spark, event_files, 10)
+    e = windows.read_events(spark, event_files, 1)
     windows.upsert_latest(e, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() > 0
+    want = windows.batch.last_writes(spark.read.parquet(f"{SF}/events.parquet"))
+    got = windows.latest_state(spark, str(tmp_path / "out")).select("user_id", "event_type", "event_id", "value")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and len(list((tmp_path / "out").iterdir())) > 1
     once = windows.drained(windows.once(windows.read_events(spark, event_files, 10), "60 days"), "once_out")
     assert once.count() == spark.read.parquet(f"{SF}/events.parquet").select("user_id", "props").distinct().count()
