@@ -31,7 +31,7 @@ EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
 def matches(text: Column | str, pattern: str) -> Column:
-    return F.regexp_like(text, F.lit("(?i)" + pattern.replace(r"\b", EDGE)))
+    return F.regexp_like(text, F.lit("(?iu)" + pattern.replace(r"\b", EDGE)))
 
 
 #: Intent, points, pattern (case-insensitive, whole words).

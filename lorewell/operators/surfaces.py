@@ -15,13 +15,13 @@ from lorewell.sources.tables import AS_OF, NOTES_SQL, notes, table
 
 
 def review_queue(n: DataFrame, q: DataFrame, broken: DataFrame) -> DataFrame:
-    """All there is to review, as one queue: id, category, severity, path; severe items first."""
+    """All there is to review, as one queue: id, category, severity, path; in no order."""
     item = lambda df, category, severity, path="rel_path": df.select(F.concat(F.lit(f"{category}:"), F.col(path)).alias("id"), F.lit(category).alias("category"), (severity if not isinstance(severity, str) else F.lit(severity)).alias("severity"), F.col(path).alias("path"))
     parts = [
         item(notes_overview.lifecycle(q), "lifecycle", F.when(F.col("confidence") == "high", "high").when(F.col("confidence") == "medium", "medium").otherwise("low")), item(q.filter(~notes_overview.skippable(q) & (F.col("score") <= 69)), "quality", F.when(F.col("score") < 50, "high").otherwise("medium")),
         item(notes_overview.evidence_issues(n).groupBy("rel_path").agg(F.max(F.col("severity") == "high").alias("h")), "evidence", F.when(F.col("h"), "high").otherwise("medium")), item(broken.select(F.col("src").alias("rel_path")).distinct(), "links", "medium"),
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts)  # reports.review_page puts it in order
 
 
 def severity_counts(queue: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def schedule(n: DataFrame, today: str = AS_OF[:10], horizon: int = 14) -> DataFr
     at = F.col("frontmatter")["recheck_at"]
     last = F.date_format(F.date_add(F.lit(today).cast("date"), horizon), "yyyy-MM-dd")
     s = n.select("rel_path", at.alias("due"), F.when(at < today, "high").when(at <= last, "medium").otherwise("low").alias("priority")).filter("due IS NOT NULL").filter(F.col("due") <= last)
-    return s.withColumn("place", F.row_number().over(Window.orderBy("due", "priority", "rel_path")).cast("long")).filter("place <= 20")  # a report of twenty rows
+    first = s.orderBy("due", "priority", "rel_path").limit(20)
+    return first.withColumn("place", F.row_number().over(Window.orderBy("due", "priority", "rel_path")).cast("long"))  # a report of twenty rows
 
 
 def customer_dashboard(n: DataFrame) -> DataFrame:
@@ -64,11 +65,16 @@ def knowledge_metrics(n: DataFrame, e: DataFrame) -> DataFrame:
 
 
 def fuzzy_clients(names: DataFrame, clients: DataFrame, least: float = 0.84) -> DataFrame:
-    """The client that a name resolves to: exactly, else the only one that is similar enough by edits and swaps; names
-    and clients are blocked by first letter or length within two, abstaining on ties. clients is a dictionary."""
+    """The client that a name resolves to: the same in any case, else the only one of the largest similarity by edits and swaps;
+    ties abstain. From 0.84 on up to 32 characters there are at most five edits, so that two of six even pieces of the longer
+    text are in the other one; they meet on a shared piece of a sixth of their length, two characters at least."""
     similar = tx.osa_similarity()
-    pairs = names.select("name").distinct().crossJoin(F.broadcast(clients)).filter(F.abs(F.length("name") - F.length("client")) <= 2)  # a dictionary of clients
-    s = pairs.withColumn("similarity", F.when(F.lower("name") == F.lower("client"), 1.0).otherwise(similar(F.lower("name"), F.lower("client")))).filter(F.col("similarity") >= least)
+    pieces = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
+    n = names.select("name").distinct().withColumn("low", F.lower("name")).select("name", "low", F.explode(pieces(F.col("low"))).alias("piece"))
+    c = clients.select("client").distinct().withColumn("own", F.lower("client")).select("client", "own", F.explode(pieces(F.col("own"))).alias("piece"))
+    near = F.abs(F.length("low") - F.length("own")) <= (1 - least) * F.greatest(F.length("low"), F.length("own"))
+    pairs = n.join(c, "piece").filter(near).groupBy("name", "low", "client", "own").agg(F.count("*").alias("shared"))
+    s = pairs.withColumn("similarity", F.when(F.col("low") == F.col("own"), 1.0).otherwise(similar("low", "own"))).filter(F.col("similarity") >= least)
     best = F.max("similarity").over(Window.partitionBy("name"))
     top = s.withColumn("best", best).filter("similarity = best").groupBy("name").agg(F.count("*").alias("n"), F.min("client").alias("client"), F.round(F.max("similarity"), 6).alias("similarity"))
     return top.filter("n = 1").select("name", "client", "similarity")
@@ -86,19 +92,6 @@ def redaction(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", n.alias("secrets"), F.length(text).cast("long").alias("length")).filter("secrets > 0")
 
 
-def longest_run(candidate: list[str], source: list[str]) -> int:
-    """Longest run of words common to both."""
-    best, last = 0, [0] * (len(source) + 1)
-    for w in candidate:
-        row = [0] * (len(source) + 1)
-        for j, v in enumerate(source):
-            if w == v:
-                row[j + 1] = last[j] + 1
-                best = max(best, row[j + 1])
-        last = row
-    return best
-
-
 def f_beta(precision, recall, beta: float = 0.5):
     b = beta * beta
     return F.coalesce(F.try_divide((1 + b) * precision * recall, b * precision + recall), F.lit(0.0))
@@ -133,7 +126,16 @@ QUEUE_SQL = LIFE[: LIFE.index("SELECT rel_path, rule.action")] + ", life AS (" +
   UNION ALL SELECT 'quality:' || rel_path, 'quality', CASE WHEN score < 50 THEN 'high' ELSE 'medium' END, rel_path FROM graded WHERE score <= 69 AND NOT starts_with(rel_path, 'Daily/') AND NOT starts_with(rel_path, 'Maintenance/') AND NOT list_contains(tags, 'daily')
   UNION ALL SELECT 'evidence:' || rel_path, 'evidence', CASE WHEN bool_or(severity = 'high') THEN 'high' ELSE 'medium' END, rel_path FROM issues GROUP BY rel_path
   UNION ALL SELECT DISTINCT 'links:' || rel_path, 'links', 'medium', rel_path FROM (SELECT rel_path, unnest(out_links) AS target FROM notes) WHERE target NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM notes)) """
+MASKED = "coalesce(text, '')"
+for _name, _pattern in tx.SECRETS:
+    MASKED = f"regexp_replace({MASKED}, '{_pattern}', '[REDACTED:{_name}]', 'g')"
+FOUND = "coalesce(text, '')"
+COUNTS = []
+for _name, _pattern in tx.SECRETS:
+    COUNTS.append(f"len(regexp_extract_all({FOUND}, '{_pattern}'))")
+    FOUND = f"regexp_replace({FOUND}, '{_pattern}', '[REDACTED:{_name}]', 'g')"
 SQL = {
+    "secret_redaction": f"SELECT doc_id, secrets, length FROM (SELECT doc_id, CAST({' + '.join(COUNTS)} AS BIGINT) AS secrets, CAST(length({MASKED}) AS BIGINT) AS length FROM documents) WHERE secrets > 0",
     "review_queue": QUEUE_SQL + "SELECT * FROM queue", "review_severity": QUEUE_SQL + "SELECT category, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low FROM queue GROUP BY 1",
     "schedule_proposal": NOTES_SQL + "SELECT rel_path, due, priority, place FROM (SELECT *, row_number() OVER (ORDER BY due, priority, rel_path) AS place FROM (SELECT rel_path, recheck_at AS due, CASE WHEN recheck_at < '2024-06-01' THEN 'high' ELSE 'medium' END AS priority FROM notes WHERE recheck_at <= '2024-06-15')) WHERE place <= 20",
     "customer_dashboard": NOTES_SQL + "SELECT source AS client, count(*) AS notes, CAST(sum(open_todos) AS BIGINT) AS open_todos, count(*) FILTER (list_contains(tags, 'decision')) AS decisions, strftime(max(last_modified), '%Y-%m-%d') AS latest FROM notes WHERE starts_with(rel_path, 'Kunden/') GROUP BY 1",
