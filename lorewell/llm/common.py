@@ -151,17 +151,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: Bits of the bitmaps that tell a scan which ids a small table may hold; their size does not follow the data.
-SLOTS = 1 << 20
+#: Bits of the bitmaps that tell a scan which ids a small table may hold; their size does not follow the data. When a table
+#: has more ids than that, the scan learns nothing and all rows are exchanged: slower, with the same result.
+SLOT_BITS = 23
+FOLDS = (7, 20, 33, 45)
 
 
 def slots_of(ids: DataFrame, col: str) -> np.ndarray:
-    """A bitmap of SLOTS bits with those of all ids set; at most SLOTS numbers come to the driver."""
-    out = np.zeros(SLOTS, bool)
-    out[[r["s"] for r in ids.filter(F.col(col).isNotNull()).select(F.pmod(F.col(col), F.lit(SLOTS)).cast("int").alias("s")).distinct().collect()]] = True
+    """A bitmap with the slots of all ids set, built on the cluster in pieces of 4 KB."""
+    slot = F.col(col)
+    for k in FOLDS:  # numbers that differ in their upper bits only, as row numbers do, must not share slots
+        slot = slot.bitwiseXOR(F.shiftrightunsigned(col, k))
+    s = ids.filter(F.col(col).isNotNull()).select(slot.bitwiseAND(F.lit((1 << SLOT_BITS) - 1)).alias("s"))
+    pieces = s.groupBy(F.shiftright("s", 15).alias("piece")).agg(F.bitmap_construct_agg(F.col("s").bitwiseAND(F.lit(32767))).alias("bits")).collect()  # 256 rows at most
+    out = np.zeros((1 << SLOT_BITS) // 8, np.uint8)
+    for r in pieces:
+        out[r["piece"] * 4096 : r["piece"] * 4096 + len(r["bits"])] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return out
 
 
+def in_slots(slots: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which ids a bitmap of slots_of() may hold."""
+    u = ids.astype(np.int64).view(np.uint64)
+    s = u.copy()
+    for k in FOLDS:
+        s ^= u >> np.uint64(k)
+    s &= np.uint64((1 << SLOT_BITS) - 1)
+    return (slots[(s >> np.uint64(3)).astype(np.int64)] >> (s & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs but for the ids in gone (one column, id_col). Only rows whose slot gone has are exchanged for the anti join."""
     bounded_batches(docs.sparkSession)
@@ -170,7 +188,7 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFra
     def side(which: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                hit = slots[b.column(at).fill_null(0).to_numpy(zero_copy_only=False) % SLOTS]
+                hit = in_slots(slots, b.column(at).fill_null(0).to_numpy(zero_copy_only=False))
                 yield b.filter(pa.array(hit == which))
 
         return docs.mapInArrow(lean(run), docs.schema)

@@ -109,14 +109,14 @@ def likely(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFram
 
 
 def involved_sets(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """_id and set (sorted hashes) of all documents in pairs. A bitmap of common.SLOTS bits tells the scan which may be needed."""
+    """_id and set (sorted hashes) of all documents in pairs. A bitmap tells the scan which may be needed."""
     ids = pairs.select(F.col("a").alias("_id")).union(pairs.select(F.col("b").alias("_id"))).distinct()
     slots = common.slots_of(ids, "_id")
     schema = pa.schema([("_id", pa.int64()), ("set", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.filter(pa.array(slots[b.column(0).to_numpy() % common.SLOTS]))
+            b = b.filter(pa.array(common.in_slots(slots, b.column(0).to_numpy())))
             texts = common.utf8(b.column(1))
             for at, to in common.slices(texts):
                 h, doc = shingle_sets(texts[at:to], k)

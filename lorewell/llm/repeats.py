@@ -185,12 +185,12 @@ def judged(rows: DataFrame, buckets: int, frequent: int) -> DataFrame:
 
 
 def needed(docs: DataFrame, by_doc: DataFrame) -> DataFrame:
-    """docs joined with by_doc (_id, mark, ...); a bitmap of common.SLOTS bits over the ids spares other texts the exchange."""
+    """docs joined with by_doc (_id, mark, ...); a bitmap of the ids spares other texts the exchange."""
     slots = common.slots_of(by_doc, "_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(slots[b.column(0).to_numpy() % common.SLOTS]))
+            yield b.filter(pa.array(common.in_slots(slots, b.column(0).to_numpy())))
 
     return docs.mapInArrow(common.lean(run), docs.schema).join(by_doc, ["_id", "mark"])
 
@@ -451,7 +451,7 @@ def without_repeats(docs: DataFrame, length: int = MIN_LENGTH, id_col: str = "do
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.filter(pa.array(~slots[b.column(0).to_numpy() % common.SLOTS]))
+            b = b.filter(pa.array(~common.in_slots(slots, b.column(0).to_numpy())))
             yield rows([cut(k, m, t, None) for k, m, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), common.utf8(b.column(2)), strict=True)], b)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -460,7 +460,7 @@ def without_repeats(docs: DataFrame, length: int = MIN_LENGTH, id_col: str = "do
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(slots[b.column(0).to_numpy() % common.SLOTS]))
+            yield b.filter(pa.array(common.in_slots(slots, b.column(0).to_numpy())))
 
     untouched = d.mapInArrow(common.lean(whole), ddl)
     touched = d.mapInArrow(common.lean(some), d.schema).join(by_doc, ["_id", "mark"], "left").select("_id", "mark", "text", "cuts", *names).mapInArrow(common.lean(joined), ddl)
