@@ -146,7 +146,7 @@ def safe_snippets(n: DataFrame) -> DataFrame:
 def file_name(text: Column, most: int = 60) -> Column:
     """A title as a file name: no path marks and control characters, white space folded, no dots at the ends."""
     clean = F.regexp_replace(F.regexp_replace(text, r"[\\/:*?\"<>|#^\[\]\x00-\x1f]", " "), r"\s+", " ")
-    return F.rtrim(F.substring(F.regexp_replace(F.trim(clean), r"^\.+|\.+$", ""), 1, most))
+    return F.rtrim(F.substring(F.trim(F.regexp_replace(F.trim(clean), r"^\.+|\.+$", "")), 1, most))
 
 
 def slug(text: Column) -> Column:
@@ -271,5 +271,5 @@ SQL = {
     "processing_queue": NOTES_SQL + f"SELECT rel_path, last_modified FROM notes WHERE {ACTIVE} AND ({CAPTURE} OR starts_with(rel_path, 'Daily/')) AND k % 3 <> 0 ORDER BY last_modified, rel_path LIMIT 25",
     "metadata_backfill": NOTES_SQL + f"SELECT rel_path, field, after FROM (SELECT rel_path, unnest(list_filter([CASE WHEN list_contains(tags, 'claim') THEN {{'field': 'claim_status', 'after': 'provisional'}} END, CASE WHEN list_contains(tags, 'claim') OR {CAPTURE} THEN {{'field': 'source_stage', 'after': CASE WHEN {CAPTURE} THEN 'stop_capture' ELSE 'manual' END}} END, CASE WHEN list_contains(tags, 'claim') AND confidence IS NULL THEN {{'field': 'confidence', 'after': 'low'}} END, CASE WHEN list_contains(tags, 'claim') AND recheck_at IS NULL THEN {{'field': 'recheck_at', 'after': '2024-08-30'}} END], lambda x: x IS NOT NULL), recursive := true) FROM notes WHERE {ACTIVE})",
     "capture_scores_by_text": NOTES_SQL + ", c AS (SELECT rel_path, k, k % 2 = 0 AS s, k % 3 = 0 AS f, k % 5 = 0 AS x, k % 7 = 0 AS v, k % 4 = 1 AS cmd, ['implementation', 'research', 'unknown'][k % 3 + 1] AS intent, ['fuzzy_cwd', 'none', 'exact_cwd', ''][k % 4 + 1] AS method, list_contains(tags, 'auto-capture') AS auto FROM notes), r AS (SELECT *, CASE WHEN intent = 'implementation' THEN 25 ELSE 0 END + CASE WHEN cmd THEN 26 + 15 ELSE 0 END + CASE WHEN f THEN 15 ELSE 0 END + CASE WHEN v THEN 10 ELSE 0 END + CASE WHEN x THEN 5 ELSE 0 END AS ready FROM c) SELECT rel_path, CAST(25 + CASE WHEN s THEN 15 ELSE 0 END + CASE WHEN f THEN 15 ELSE 0 END + CASE WHEN cmd THEN 15 ELSE 0 END + CASE WHEN x THEN 15 ELSE 0 END + CASE WHEN auto THEN 5 ELSE 0 END AS BIGINT) AS value, CAST(ready AS BIGINT) AS readiness, CAST(10 + CASE WHEN method = 'fuzzy_cwd' THEN 30 WHEN method = 'none' THEN 20 ELSE 0 END + CASE WHEN k % 6 = 0 THEN 35 ELSE 0 END + CASE WHEN intent = 'research' THEN 15 ELSE 0 END + CASE WHEN NOT v AND ready >= 55 THEN 10 ELSE 0 END AS BIGINT) AS need FROM r",
-    "file_names": NOTES_SQL + "SELECT rel_path, rtrim(substr(regexp_replace(trim(regexp_replace(regexp_replace(title, '[\\\\/:*?\"<>|#^\\[\\]\\x00-\\x1f]', ' ', 'g'), '\\s+', ' ', 'g')), '^\\.+|\\.+$', '', 'g'), 1, 60)) AS file_name, regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM notes",
+    "file_names": NOTES_SQL + "SELECT rel_path, rtrim(substr(trim(regexp_replace(trim(regexp_replace(regexp_replace(title, '[\\\\/:*?\"<>|#^\\[\\]\\x00-\\x1f]', ' ', 'g'), '\\s+', ' ', 'g')), '^\\.+|\\.+$', '', 'g')), 1, 60)) AS file_name, regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM notes",
 }

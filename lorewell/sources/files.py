@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorewell.functions import markdown as md
 from lorewell.sources.tables import parsed
 
 
@@ -17,28 +18,37 @@ def read_vault(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(rel.alias("rel_path"), F.decode("content", "UTF-8").alias("raw"), F.col("modificationTime").alias("last_modified")).filter(~F.col("rel_path").rlike(r"(^|/)\."))
 
 
-def read_notes(spark: SparkSession, folder: str) -> DataFrame:
-    return parsed(read_vault(spark, folder))
+def read_notes(spark: SparkSession, folder: str, yaml: bool = False) -> DataFrame:
+    """The notes of a Markdown folder; yaml: with all of YAML in the frontmatter, which needs PyYAML, not only scalars and lists."""
+    return parsed(read_vault(spark, folder), yaml_frontmatter if yaml else md.flat_frontmatter)
 
 
-def yaml_frontmatter(raw):
-    """Pandas UDF: the frontmatter as JSON texts by key; broken YAML gives an empty map. Needs PyYAML."""
-    @F.pandas_udf("map<string,string>")
-    def run(texts: pd.Series) -> pd.Series:
-        import json
+def _frontmatter(texts: pd.Series) -> pd.Series:
+    import json
 
-        import yaml
+    import yaml
 
-        def one(text):
-            try:
-                found = yaml.safe_load(text or "")
-            except yaml.YAMLError:
-                return {}
-            return {str(k): json.dumps(v, ensure_ascii=False, default=str) for k, v in found.items()} if isinstance(found, dict) else {}
+    def shown(v) -> str:
+        if isinstance(v, list) and not any(isinstance(x, list | dict) for x in v):
+            return "[" + ", ".join("" if x is None else str(x) for x in v) + "]"
+        return json.dumps(v, ensure_ascii=False, default=str) if isinstance(v, list | dict | bool) else str(v)
 
-        return texts.map(one)
+    def one(text: str) -> dict[str, str]:
+        class Last(yaml.SafeLoader):
+            """Repeated keys are allowed, the last counts."""
 
-    return run(raw)
+        try:
+            found = yaml.load(text or "", Last)
+        except yaml.YAMLError:
+            return {}
+        return {str(k): shown(v) for k, v in found.items() if v is not None} if isinstance(found, dict) else {}
+
+    return texts.map(one)
+
+
+def yaml_frontmatter(raw: Column) -> Column:
+    """The frontmatter by key: scalars as text, lists of scalars as `[a, b]`, other values as JSON; broken YAML gives an empty map."""
+    return F.pandas_udf(_frontmatter, "map<string,string>")(md.frontmatter_text(raw))
 
 
 ENTRY = "type string, role string, message struct<role: string, content: string>, ts string"
@@ -66,10 +76,10 @@ ACTION = "ts string, tool string, mode string, targets array<string>, summary st
 
 
 def read_action_log(spark: SparkSession, path: str, last: int = 50) -> DataFrame:
-    """The last entries, newest first; a line that is not JSON becomes a summary."""
-    lines = spark.read.text(path).withColumn("no", F.monotonically_increasing_id()).withColumn("e", F.from_json("value", ACTION))
+    """The last entries of a log folder or file, newest first by file and place in it; a line that is not JSON becomes a summary."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("no")).withColumn("e", F.from_json("value", ACTION))
     ok = F.col("value").startswith("{") & (F.coalesce("e.tool", "e.ts").isNotNull())
-    return lines.orderBy(F.desc("no")).limit(last).select("no", *[F.when(ok, F.col(f"e.{c}")).alias(c) for c in ("ts", "tool", "mode", "targets")], F.when(ok, F.col("e.summary")).otherwise(F.col("value")).alias("summary"))
+    return lines.orderBy(F.desc("file"), F.desc("block"), F.desc("no")).limit(max(1, min(last, 500))).select("no", *[F.when(ok, F.col(f"e.{c}")).alias(c) for c in ("ts", "tool", "mode", "targets")], F.when(ok, F.col("e.summary")).otherwise(F.col("value")).alias("summary"))
 
 
 def read_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -84,8 +94,6 @@ def pending_sources(sources: DataFrame, manifest: DataFrame) -> DataFrame:
 
 def source_profile(sources: DataFrame) -> DataFrame:
     """Headings (20 at most), key points (12 at most) and links (20 at most) of raw sources (path, text)."""
-    from lorewell.functions import markdown as md
-
     points = F.regexp_extract_all("text", F.lit(r"(?m)^\s*[-*]\s+(.{20,240})$"), F.lit(1))
     urls = F.regexp_extract_all("text", F.lit(r"(https?://[^\s)\"'<>\]]+)"), F.lit(1))
     return sources.select("path", F.slice(md.headings(F.col("text")), 1, 20).alias("headings"), F.slice(F.array_distinct(points), 1, 12).alias("points"), F.slice(F.array_distinct(urls), 1, 20).alias("urls"))

@@ -18,8 +18,11 @@ def test_markdown_parts(spark):
     raw = F.col("raw")
     r = one(spark, NOTE, md.flat_frontmatter(raw).alias("fm"), md.title(md.body(raw), F.lit("z")).alias("title"), md.wikilinks(raw).alias("links"), md.todos(raw).alias("todos"), md.inline_tags(md.body(raw)).alias("tags"), md.code_blocks(raw).alias("code"), md.heading_count(raw, 2).alias("h2"), md.list_lines(raw).alias("items"))
     assert r["fm"] == {"status": "planung", "tags": "[A, b-c]", "title": "x: y"} and r["title"] == "Head line"
-    assert r["links"] == ["a", "b", "c", "f/d"] and [(t["text"], t["done"], t["line"]) for t in r["todos"]] == [("open one", False, 10), ("closed", True, 11)]
+    assert r["links"] == ["a", "b", "c", "f/d"] and [(t["text"], t["done"], t["line"]) for t in r["todos"]] == [("open one", False, 10)]
     assert r["tags"] == ["inline"] and (r["code"], r["h2"], r["items"]) == (1, 1, 3)
+    r = one(spark, "---\ntags:\n  - One\n  - \"two three\"\nkunde: x\nlist:\n- a\n---\n* [ ] no task\n- [x]no\n -  [ ] no\n  - [x] yes\nat#no #Straße/ops_1 [[a\\b]] [[c\\|d]]", md.flat_frontmatter(raw).alias("fm"), md.listed_tags(md.flat_frontmatter(raw)["tags"]).alias("listed"), md.todos(md.body(raw)).alias("todos"), md.inline_tags(md.body(raw)).alias("tags"), md.wikilinks(raw).alias("links"))
+    assert r["fm"] == {"tags": '[One, "two three"]', "kunde": "x", "list": "[a]"} and r["listed"] == ["One", "two three"]
+    assert [(t["text"], t["done"], t["line"]) for t in r["todos"]] == [("yes", True, 4)] and r["tags"] == ["straße/ops_1"] and r["links"] == ["a\\b", "c"]
     r = one(spark, "no frontmatter", md.flat_frontmatter(raw).alias("fm"), md.title(raw, F.lit("z")).alias("title"), md.list_value(F.lit("[a1, b1 ,c11]")).alias("l"))
     assert r["fm"] == {} and r["title"] == "z" and r["l"] == ["a1", "b1", "c11"]
 
@@ -42,7 +45,16 @@ def test_link_resolution_order(spark):
     n = vault(spark, ("a/Note.md", "[[Note]] [[note]] [[b/Note]] [[b/Note.md]] [[missing]]"), ("b/Note.md", "[[Note]]"), ("c/other.md", "[[OTHER]]"))
     got = {(r["src"], r["target"]): r["dst"] for r in links.resolved(links.link_texts(n), n).collect()}
     assert got == {("a/Note.md", "Note"): "a/Note.md", ("a/Note.md", "note"): "a/Note.md", ("a/Note.md", "b/Note"): "b/Note.md", ("a/Note.md", "b/Note.md"): "b/Note.md", ("a/Note.md", "missing"): None, ("b/Note.md", "Note"): "a/Note.md", ("c/other.md", "OTHER"): "c/other.md"}
-    assert {r["src"] for r in links.broken(n).collect()} == {"a/Note.md"}
+    assert {r["src"] for r in links.broken(links.resolved(links.link_texts(n), n)).collect()} == {"a/Note.md"}
+
+
+def test_broken_links_candidates_and_repair(spark):
+    n = vault(spark, ("a/Plan.md", "x [[old/Single]] [[old/Single|say]] [[old/Twice]] [[Alpha beta gamma delta]]"), ("b/Single.md", "x"), ("c/Twice.md", "x"), ("d/twice.md", "x"), ("e/alpha beta gamma.md", "x"), ("e/alpha beta gamma delta more.md", "x"), ("e/alpha.md", "x"))
+    c = links.broken_candidates(links.broken(links.resolved(links.link_texts(n), n)), n)
+    assert sorted((r["target"], r["candidate"], r["confidence"]) for r in c.collect()) == [
+        ("Alpha beta gamma delta", "e/alpha beta gamma delta more.md", "medium"), ("Alpha beta gamma delta", "e/alpha beta gamma.md", "low"), ("old/Single", "b/Single.md", "high"), ("old/Twice", "c/Twice.md", "medium"), ("old/Twice", "d/twice.md", "medium")]
+    r = links.broken_fixes(n, c).collect()
+    assert [(x["target"], x["replacement"], x["changes"]) for x in r] == [("old/Single", "b/Single", 2)] and "[[b/Single]] [[b/Single|say]] [[old/Twice]]" in r[0]["after"]
 
 
 def test_lexical_scores(spark):
@@ -51,15 +63,51 @@ def test_lexical_scores(spark):
     assert got["a.md"] == 12 and got["c.md"] == 4 and got["d.md"] == 3 and got["b.md"] == 8 and "e.md" not in got
 
 
+def test_exact_duplicates_lose_no_pair(spark):
+    import random
+
+    rng = random.Random(6)
+    pool = [f"word{i}" for i in range(40)]
+    rows = []
+    for i in range(80):
+        title = " ".join(rng.choices(pool, k=rng.randrange(1, 5)))
+        if i % 4 == 1:
+            title = "intro " + " ".join(rng.choices(pool, k=3)) + " " + rows[-1][1] + " outro " + " ".join(rng.choices(pool, k=4))
+        tags = ", ".join(rng.sample([f"t{k}" for k in range(24)], 16 if i % 10 < 2 else 3))
+        body = rows[-1][2] if i % 3 == 1 else " ".join(rng.choices(pool, k=60))
+        rows.append((f"f{i % 5}/n{i:02d}.md", title, body, tags))
+    n = vault(spark, *[(p, f"---\ntags: [{g}]\n---\n# {t}\n{b}") for p, t, b, g in rows])
+    f = duplicates.features(n)
+    every = f.select(F.col("id").alias("left")).join(f.select(F.col("id").alias("right")), F.col("left") < F.col("right"))
+    want = sorted(map(tuple, duplicates.scored(every, f, 60).collect()))
+    assert sorted(map(tuple, duplicates.scored(duplicates.exact_pairs(f, 60), f, 60).collect())) == want and len(want) > 5
+
+
 def test_blocked_pairs_are_bounded_and_find_the_planted_pair(spark):
     n = parsed(files.generated_vault(spark, 1100))
     f = duplicates.features(n)
-    pairs = duplicates.blocked_pairs(duplicates.block_keys(n, f)).cache()
+    pairs = duplicates.blocked_pairs(duplicates.block_keys(f)).cache()
     assert pairs.groupBy("left").count().agg(F.max("count")).first()[0] <= duplicates.CANDIDATES
     best = duplicates.scored(pairs, f, 60).orderBy(F.desc("score"), "left").limit(20).collect()
     assert ("Projekte/note-00000.md", "Technik/note-00001.md") in {(r["left"], r["right"]) for r in duplicates.scored(pairs, f, 50).collect()} and len(best) <= 20
 
 
+def test_archive_names_are_free(spark):
+    moves = spark.createDataFrame([("x/a.md", "Archiv"), ("y/a.md", "Archiv"), ("z/a.md", "Archiv"), ("x/a (5).md", "Archiv"), ("x/b.md", "Archiv"), ("y/b (2).md", "Archiv"), ("z/b.md", "Archiv"), ("q/c.md", "Other")], "rel_path string, folder string")
+    taken = spark.createDataFrame([("Archiv/a.md",), ("Archiv/a (3).md",), ("Archiv/a (5).md",), ("Archiv/c.md",)], "rel_path string")
+    got = {r["rel_path"]: r["target"] for r in mutations.archive_names(moves, taken).collect()}
+    assert len(set(got.values())) == len(got) and not set(got.values()) & {r[0] for r in taken.collect()}
+    assert [got[k] for k in ("x/a.md", "y/a.md", "z/a.md")] == ["Archiv/a (2).md", "Archiv/a (4).md", "Archiv/a (6).md"] and got["q/c.md"] == "Other/c.md"
+    assert got["x/b.md"] == "Archiv/b.md" and {got["y/b (2).md"], got["z/b.md"]} <= {"Archiv/b (2).md", "Archiv/b (3).md", "Archiv/b (2) (2).md"}
+
+
+def test_link_plan_skips_fences_links_and_ambiguous_mentions(spark):
+    n = vault(spark, ("a.md", "```\nGate one\n```\nsee [[x]] Gate one\nthen gate one here"), ("b.md", "```\nGate one\n```\n"), ("c.md", "two"))
+    found = spark.createDataFrame([("a.md", "t/gate.md", "Gate one"), ("b.md", "t/gate.md", "Gate one"), ("c.md", "t/x.md", "two"), ("c.md", "t/y.md", "Two")], "source string, target string, mention string")
+    got = {(r["source"], r["target"]): r["reason"] for r in mutations.link_plan(found, n).collect()}
+    assert got == {("a.md", "t/gate.md"): "linked", ("b.md", "t/gate.md"): "no plain mention", ("c.md", "t/x.md"): "ambiguous", ("c.md", "t/y.md"): "ambiguous"}
+
+
 def test_quality_and_plans(spark):
     n = vault(spark, ("x.md", "short"), ("Archiv/y.md", "---\nstatus: aktiv\ndatum: 2024-01-01\ntags: [t]\n---\n# A fine long title\n[[x]]\n" + "word " * 30))
     q = notes_overview.quality_penalties(n, links.backlink_counts(links.edges(n)))
@@ -86,7 +134,9 @@ def test_file_sources(spark, tmp_path):
         p = tmp_path / "vault" / name
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_text(text)
-    assert sorted(r["rel_path"] for r in files.read_notes(spark, str(tmp_path / "vault")).collect()) == ["a.md", "sub/c.md"]
+    for yaml in (False, True):
+        read = {r["rel_path"]: r for r in files.read_notes(spark, str(tmp_path / "vault"), yaml).collect()}
+        assert sorted(read) == ["a.md", "sub/c.md"] and read["a.md"]["tags"] == ["a", "b-c", "inline"] and read["a.md"]["frontmatter"]["title"] == "x: y"
     (tmp_path / "t.jsonl").write_text('{"message":{"role":"user","content":"hi"}}\nbroken\n{"message":{"role":"assistant","content":[{"type":"tool_use","id":"1","name":"Bash","input":{"command":"ls"}},{"type":"text","text":"ok"}]}}\n{"message":{"role":"user","content":[{"type":"tool_result","tool_use_id":"1","content":"out","is_error":true}]}}\n')
     t = files.read_transcript(spark, str(tmp_path / "t.jsonl"))
     assert [(r["role"], r["kind"]) for r in t.orderBy("line", "ord").collect()] == [("user", "text"), ("assistant", "tool_use"), ("assistant", "text"), ("user", "tool_result")]
