@@ -189,9 +189,8 @@ SQL = {
     "group_brier": P_SQL + " SELECT group_id, count(*) AS n, round(sum(weight * (probability - target) ** 2) / sum(weight), 6) AS brier FROM p GROUP BY 1",
     "reliability_bins": P_SQL + ", s AS (SELECT *, sum(weight) OVER (ORDER BY probability, group_id, id ROWS UNBOUNDED PRECEDING) - weight / 2 AS mid, (SELECT sum(weight) FROM p) AS total, (SELECT least(10, floor(sum(weight) * sum(weight) / sum(weight * weight) / 20)) FROM p) AS bins FROM p) SELECT CAST(least(bins - 1, floor(mid / total * bins)) AS BIGINT) AS bin, count(*) AS n, round(min(probability), 6) AS lower, round(max(probability), 6) AS upper, round(sum(weight * probability) / sum(weight), 6) AS predicted, round(sum(weight * target) / sum(weight), 6) AS observed FROM s WHERE bins >= 1 GROUP BY 1",
     "coverage_bands": P_SQL + " SELECT group_id, CAST(floor(probability * 5) AS BIGINT) AS band, count(*) AS n, round(avg(target), 6) AS rate, CAST(grouping(group_id, CAST(floor(probability * 5) AS BIGINT)) AS BIGINT) AS level FROM p GROUP BY GROUPING SETS ((group_id, CAST(floor(probability * 5) AS BIGINT)), (group_id), (CAST(floor(probability * 5) AS BIGINT)), ())",
-    "leakage_components": P_SQL + ", RECURSIVE_MARK AS (SELECT 1) SELECT id, min(id) OVER (PARTITION BY id // 50 % 20) AS component FROM p",
+    "leakage_components": P_SQL.replace("WITH p AS", "WITH RECURSIVE p AS") + ", r AS (SELECT id, id AS low FROM p UNION SELECT p.id, r.low FROM r JOIN p ON p.id // 50 = r.id // 50 OR p.id % 1000 = r.id % 1000) SELECT id, min(low) AS component FROM r GROUP BY 1",
     "chrono_embargo_split": P_SQL + ", g AS (SELECT id // 20 AS g, min(id % 97) AS first, least(max(id % 97), min(id % 97) + 8) AS last, sum(weight) AS w FROM p GROUP BY 1), c AS (SELECT first AS cutoff, (SELECT sum(w) FROM g h WHERE h.first >= g.first) AS test FROM g GROUP BY 1, g.first), b AS (SELECT cutoff FROM c ORDER BY abs(test / (SELECT sum(w) FROM g) - 0.2), cutoff LIMIT 1) SELECT cutoff, CASE WHEN first >= cutoff THEN 'test' WHEN last < cutoff THEN 'train' ELSE 'embargo' END AS side, count(*) AS groups, sum(w) AS weight FROM g, b GROUP BY 1, 2",
     "label_matrix_integrity": J_SQL + ", k AS (SELECT * FROM j WHERE NOT (observation % 29 = 0 AND reviewer = 'r3') UNION ALL SELECT * FROM j WHERE observation % 31 = 0 AND reviewer = 'r1') SELECT 'duplicate' AS rule, observation, label, reviewer FROM k GROUP BY ALL HAVING count(*) > 1 UNION ALL SELECT 'missing', observation, label, reviewer FROM j WHERE observation % 29 = 0 AND reviewer = 'r3'",
     "hash_chain_violations": "WITH e AS (SELECT user_id % 20 AS chain, event_id AS phase, sha256(CAST(event_id AS VARCHAR)) AS root FROM events), b AS (SELECT *, lag(root) OVER (PARTITION BY chain ORDER BY phase) AS before FROM e) SELECT chain, phase, 'forged' AS previous, before FROM b WHERE phase % 50 = 7",
 }
-del SQL["leakage_components"]  # iterative

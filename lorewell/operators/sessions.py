@@ -263,7 +263,7 @@ QUERIES = {
 INTENT_SQL = "WITH p AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents), s AS (SELECT doc_id, unnest([" + ", ".join(f"{{'i': {i}, 'n': '{n}', 's': CASE WHEN regexp_matches(t, '(^|[^A-Za-z0-9_])({p})([^A-Za-z0-9_]|$)') THEN {x} ELSE 0 END}}" for i, (n, x, p) in enumerate(SAMPLE_INTENTS)) + "]) AS v FROM p), r AS (SELECT doc_id, v.n AS n, v.s AS s, row_number() OVER (PARTITION BY doc_id ORDER BY v.s DESC, v.i) AS k FROM s)"
 CAT_SQL = ", ".join(
     f"{{'o': {i}, 'c': '{n}', 'p': {p}, 's': 10 * len(list_intersect(tags, {k})) + " + " + ".join(f"CASE WHEN contains(lower(title), '{h}') THEN 25 ELSE 0 END" for h in hs)
-    + " + (SELECT CASE WHEN h >= 3 THEN 2 * h ELSE 0 END FROM (SELECT " + " + ".join(f"CASE WHEN contains(lower(title || chr(10) || text || CASE WHEN k % 5 = 0 THEN '- [ ] check the source' ELSE '' END), '{w}') THEN 1 ELSE 0 END" for w in k) + " AS h))}"
+    + " + (SELECT CASE WHEN h >= 3 THEN 2 * h ELSE 0 END FROM (SELECT " + " + ".join(f"CASE WHEN contains(lower(content), '{w}') THEN 1 ELSE 0 END" for w in k) + " AS h))}"
     for i, (n, k, hs, p) in enumerate(CATEGORIES)
 )
 FACTS_SQL = "WITH facts AS (SELECT conv_id AS session, conv_id || '-' || turn AS fact_id, [" + ", ".join(f"'{k}'" for k in KINDS) + f"][(conv_id * 31 + turn) % {len(KINDS)} + 1] AS kind, 40 + (conv_id * 31 + turn) * 7 % 60 AS salience, 30 + (conv_id * 31 + turn) * 11 % 70 AS evidence FROM conversations WHERE role = 'assistant') "
