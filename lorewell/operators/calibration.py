@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorewell.operators.components import components
+from lorewell.operators.ordering import summed
 from lorewell.sources.tables import table
 
 PROMOTED = 0.7
@@ -67,16 +68,14 @@ def group_brier(p: DataFrame) -> DataFrame:
     return p.groupBy("group_id").agg(F.count("*").alias("n"), F.round(weighted_mean(e), 6).alias("brier"))
 
 
-def reliability_bins(p: DataFrame, most: int = 10, per_bin: int = 20) -> DataFrame:
-    """Bins of equal weight by the midpoint of cumulated weight; as many as the effective sample size bears. Cumulated
-    weights come from totals of equal probabilities, so that only those totals meet in one ordered window."""
-    levels = p.groupBy("probability").agg(F.sum("weight").alias("w"))
+def reliability_bins(p: DataFrame, most: int = 10, per_bin: int = 20, rounded: bool = True) -> DataFrame:
+    """Bins of equal weight by the midpoint of cumulated weight; as many as the effective sample size bears. rounded: without,
+    the bins' weight (w) comes along and nothing is rounded."""
     stats = p.agg(F.sum("weight").alias("total"), F.least(F.lit(most), F.floor(effective_size() / per_bin)).alias("bins"))
-    before = levels.select("probability", (F.sum("w").over(Window.orderBy("probability")) - F.col("w")).alias("before"))
-    own = F.sum("weight").over(Window.partitionBy("probability").orderBy("group_id", "id").rowsBetween(Window.unboundedPreceding, 0))
-    placed = p.join(before, "probability").crossJoin(F.broadcast(stats)).withColumn("mid", F.col("before") + own - F.col("weight") / 2)  # one row of stats
+    placed = summed(p, "weight", "probability", "group_id", "id").crossJoin(F.broadcast(stats)).withColumn("mid", F.col("before") + F.col("weight") / 2)  # one row of stats
     b = placed.filter("bins >= 1").withColumn("bin", F.least(F.col("bins") - 1, F.floor(F.col("mid") / F.col("total") * F.col("bins"))))
-    return b.groupBy("bin").agg(F.count("*").alias("n"), F.round(F.min("probability"), 6).alias("lower"), F.round(F.max("probability"), 6).alias("upper"), F.round(weighted_mean(F.col("probability")), 6).alias("predicted"), F.round(weighted_mean(F.col("target")), 6).alias("observed"))
+    b = b.groupBy("bin").agg(F.count("*").alias("n"), F.sum("weight").alias("w"), F.min("probability").alias("lower"), F.max("probability").alias("upper"), weighted_mean(F.col("probability")).alias("predicted"), weighted_mean(F.col("target")).alias("observed"))
+    return b.select("bin", "n", *[F.round(c, 6).alias(c) for c in ("lower", "upper", "predicted", "observed")]) if rounded else b
 
 
 def coverage_bands(p: DataFrame) -> DataFrame:

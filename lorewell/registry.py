@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lorewell.operators import calibration, duplicates, events, facts, integrity, links, notes_overview, reports, search, sessions, star, surfaces
+from lorewell.operators import calibration, comparison, duplicates, events, evidence, facts, integrity, links, notes_overview, pairing, reports, search, sessions, star, surfaces
 from lorewell.plans import mutations
 
-MODULES = (search, links, notes_overview, duplicates, sessions, facts, calibration, events, star, surfaces, reports, integrity, mutations)
+MODULES = (search, links, notes_overview, duplicates, sessions, facts, evidence, pairing, calibration, comparison, events, star, surfaces, reports, integrity, mutations)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}

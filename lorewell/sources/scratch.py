@@ -11,18 +11,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN: dict[str, str] = {}
+
+
 def root(spark: SparkSession) -> str:
-    """The shared folder. Only a local master may do without one, as executors do not see each other's disks."""
+    """The shared folder. Only a local master may do without one, as executors do not see each other's disks; it gets a folder
+    of this process, which goes at its end."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="lorewell-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    spark.sparkContext.setCheckpointDir(made)
-    atexit.register(shutil.rmtree, made.removeprefix("file://"), True)
-    return made
+    if context.applicationId not in _OWN:
+        made = tempfile.mkdtemp(prefix="lorewell-")
+        _OWN[context.applicationId] = f"file://{made}"
+        context.setCheckpointDir(_OWN[context.applicationId])
+        atexit.register(shutil.rmtree, made, True)
+    return _OWN[context.applicationId]
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
