@@ -206,43 +206,6 @@ def sample_facts(turns: DataFrame) -> DataFrame:
     return turns.filter("role = 'assistant'").select(F.col("conv_id").alias("session"), F.concat_ws("-", "conv_id", "turn").alias("fact_id"), kind.alias("kind"), F.col("text").alias("statement"), (40 + k * 7 % 60).cast("long").alias("salience"), (30 + k * 11 % 70).cast("long").alias("evidence"))
 
 
-def select_mmr(facts: DataFrame, most: int = 12, trade: float = 0.75, redundant: float = 0.55) -> DataFrame:
-    """Greedy maximal marginal relevance in each session: relevance against similarity to what is chosen (a fifth of it
-    between kinds), a bonus of 0.04 for a new kind; facts too similar to a chosen one of their kind go. Sequential by
-    nature, so a grouped pandas function; a session is one group."""
-    import pandas as pd
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        rows = [(r.fact_id, r.kind, r.salience / 100, r.salience, r.evidence, frozenset((r.statement or "").lower().split())) for r in p.itertuples()]
-        chosen, left = [], sorted(rows)
-
-        def similarity(a, b):
-            n = len(a & b)
-            return n and 0.58 * n / (len(a) + len(b) - n) + 0.42 * n / min(len(a), len(b))
-
-        while left and len(chosen) < most:
-            best = None
-            kept = []
-            for r in left:
-                pairs = [(c[1] == r[1], similarity(r[5], c[5])) for c in chosen]
-                if any(same and s >= redundant for same, s in pairs):
-                    continue
-                kept.append(r)
-                near = max((s if same else 0.2 * s for same, s in pairs), default=0.0)
-                value = trade * r[2] - (1 - trade) * near + (0.0 if any(same for same, _ in pairs) else 0.04)
-                key = (-value, -r[3], -r[4], r[0])
-                if best is None or key < best[0]:
-                    best = (key, r, value)
-            if best is None:
-                break
-            chosen.append(best[1])
-            left = [r for r in kept if r[0] != best[1][0]]
-            chosen[-1] = (*best[1], round(best[2], 4))
-        return pd.DataFrame([(p["session"].iloc[0], i + 1, c[0], c[1], c[6]) for i, c in enumerate(chosen)], columns=["session", "rank", "fact_id", "kind", "selection"])
-
-    return facts.groupBy("session").applyInPandas(run, "session long, rank long, fact_id string, kind string, selection double")
-
-
 def seeded_sample(facts: DataFrame, k: int = 6, seed: str = "s1") -> DataFrame:
     """k facts of each session in order of a seeded hash, with inclusion probability and weight."""
     w = Window.partitionBy("session")
@@ -257,7 +220,7 @@ docs = lambda s, d: table(s, d, "documents")
 QUERIES = {
     "phase_segmentation": lambda s, d: phases(conv(s, d)), "transcript_digest": lambda s, d: digest(conv(s, d)), "intent_classify": lambda s, d: intents(docs(s, d), SAMPLE_INTENTS), "category_classify": lambda s, d: categories(notes(s, d)),
     "claim_candidates": lambda s, d: claims(docs(s, d), SAMPLE_MODALS), "claim_contradictions": lambda s, d: contradictions(claims(docs(s, d), SAMPLE_MODALS), SAMPLE_NEGATIONS), "new_claims": lambda s, d: new_claims(c, c.filter(F.col("doc_id") % 10 == 3).select(normal_claim(F.col("claim")).alias("key"))) if (c := claims(docs(s, d), SAMPLE_MODALS)) is not None else None, "evidence_score": lambda s, d: evidence_scores(sample_evidence(conv(s, d))),
-    "capture_scores": lambda s, d: capture_scores(sample_facts(conv(s, d))), "mmr_selection": lambda s, d: select_mmr(sample_facts(conv(s, d))), "seeded_sample": lambda s, d: seeded_sample(sample_facts(conv(s, d))),
+    "capture_scores": lambda s, d: capture_scores(sample_facts(conv(s, d))), "seeded_sample": lambda s, d: seeded_sample(sample_facts(conv(s, d))),
 }
 
 INTENT_SQL = "WITH p AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents), s AS (SELECT doc_id, unnest([" + ", ".join(f"{{'i': {i}, 'n': '{n}', 's': CASE WHEN regexp_matches(t, '(^|[^A-Za-z0-9_])({p})([^A-Za-z0-9_]|$)') THEN {x} ELSE 0 END}}" for i, (n, x, p) in enumerate(SAMPLE_INTENTS)) + "]) AS v FROM p), r AS (SELECT doc_id, v.n AS n, v.s AS s, row_number() OVER (PARTITION BY doc_id ORDER BY v.s DESC, v.i) AS k FROM s)"

@@ -65,11 +65,21 @@ def test_evidence_scores(spark):
 
 
 def test_mmr_is_greedy_and_deterministic(spark):
+    from lorewell.operators import choices
+
+    words = lambda t: (t or "").split()
     rows = [(1, "a", "cause", "alpha beta gamma delta", 90, 50), (1, "b", "cause", "alpha beta gamma delta", 80, 50), (1, "c", "decision", "other words here", 70, 50), (2, "z", "cause", None, 10, 1)]
-    f = spark.createDataFrame(rows, "session long, fact_id string, kind string, statement string, salience long, evidence long")
-    got = [(r["session"], r["fact_id"], r["selection"]) for r in sessions.select_mmr(f).orderBy("session", "rank").collect()]
-    assert got == [(1, "a", 0.715), (1, "c", 0.565), (2, "z", 0.115)]
-    assert got == [(r["session"], r["fact_id"], r["selection"]) for r in sessions.select_mmr(f.repartition(3)).orderBy("session", "rank").collect()]
+    f = spark.createDataFrame([(s, i, k, t, words(t), 0, False, False, v, e) for s, i, k, t, v, e in rows], "session long, id string, kind string, statement string, tokens array<string>, polarity int, conflict boolean, interpreted boolean, salience long, evidence long")
+    got = lambda d: [(r["session"], r["id"], r["selection"]) for r in choices.selected(d, 12, 0).orderBy("session", "rank").collect()]
+    assert got(f) == [(1, "a", 0.715), (1, "c", 0.565), (2, "z", 0.115)] and got(f.repartition(3)) == got(f)
+    choices.register(spark)
+    f.createOrReplaceTempView("some_facts")
+    told = spark.sql("SELECT session, id, selection FROM choose_facts(TABLE(some_facts) PARTITION BY (session), 12, least => 0) ORDER BY session, rank").collect()
+    assert [(int(r["session"]), r["id"], r["selection"]) for r in told] == got(f)
+    only = spark.sql("SELECT id FROM choose_facts(TABLE(some_facts) PARTITION BY (session), required => 'decision')").collect()
+    assert [r["id"] for r in only] == ["c"]
+    points = spark.sql("SELECT k, evidence_points(s) AS p FROM VALUES ('a', 'phase'), ('a', 'error_fix'), ('b', 'bash_pair'), ('c', NULL) AS t(k, s) GROUP BY k").collect()
+    assert {r["k"]: r["p"] for r in points} == {"a": 58, "b": 88, "c": 0}
 
 
 def test_logistic_line_recovers_slope(spark):

@@ -2,7 +2,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from lorewell.operators import calibration, facts, integrity, reports, search, sessions, surfaces
+from lorewell.operators import calibration, choices, facts, integrity, reports, search, sessions, surfaces
 from lorewell.sources import files
 from lorewell.sources.tables import parsed
 
@@ -23,11 +23,28 @@ def test_segments_and_kinds(spark):
     assert one(spark, "word " * 100, facts.truncated(F.col("t"), 20).alias("x"))["x"] == "word word word word…" and one(spark, "x" * 50, facts.truncated(F.col("t"), 20).alias("x"))["x"] == "x" * 20 + "…"
 
 
-def test_statements_and_tokens():
-    assert facts.meaningful("Postgres-Verbindungen wurden über 10.0.0.1:5432 gewählt") == ["postgresql", "uber", "10.0.0.1:5432", "use"]
-    assert facts.compact("The router was configured with a new static route for the branch office at 10.1.2.3") == "router configured new static route 10.1.2.3"
-    assert facts.stated("Ursache: DNS timeout because resolver missing", "cause") == "Resolver missing; caused: DNS timeout." and facts.stated("Todo: klären", "open_question") == "Klären?" and facts.stated("", "result") == ""
-    assert facts.redundancy({"a1", "b2", "x"}, {"a1", "b2", "y", "z"}) == 0.9 and facts.redundancy({"x"}, {"y"}) == 0 and facts.similarity(set(), set()) == 0
+def test_statements_and_tokens(spark):
+    c = F.col("t")
+    assert one(spark, "Postgres-Verbindungen wurden über 10.0.0.1:5432 gewählt", facts.tokens_of(c).alias("x"))["x"] == ["postgresql", "uber", "10.0.0.1:5432", "use"]
+    assert one(spark, "persistiert speichern Änderungen obsidian-brain/x.conf über", facts.tokens_of(c).alias("x"))["x"] == ["persist", "persist", "ander", "obsidian-brain/x.conf", "obsidian", "brain", "conf", "uber"]
+    assert one(spark, None, facts.tokens_of(c).alias("x"))["x"] == []
+    assert one(spark, "The router was configured with a new static route for the branch office at 10.1.2.3", facts.compact(c).alias("x"))["x"] == "router configured new static route 10.1.2.3"
+    rows = [
+        ("Ursache: DNS timeout because resolver missing", "cause", "Resolver missing; caused: DNS timeout."), ("Todo: klären", "open_question", "Klären?"), ("", "result", ""), ("Ergebnis: alles läuft wieder!!", "result", "Alles läuft wieder."),
+        ("Die Default-Route über vmbr1.20 ist linkdown", "problem", "Default-Route über vmbr1.20: linkdown."), ("Port 443 zeigt auf OPNsense statt auf 10.0.0.8", "result", "Port 443: OPNsense statt 10.0.0.8."),
+        ("Rollback wenn die Fehlerrate über 5 Prozent in 10 Minuten steigt", "constraint", "Rollback bei 5 Prozent Fehlerrate innerhalb 10 Minuten."), ("Rollback bei hoher Fehlerrate", "constraint", "Rollback bei definierter Fehlerrate."),
+    ]
+    df = spark.createDataFrame(rows, "t string, kind string, want string")
+    assert [(r["x"], r["want"]) for r in df.select(facts.stated(c, F.col("kind")).alias("x"), "want").collect() if r["x"] != r["want"]] == []
+    long = one(spark, "/" + "a" * 400 + " b", facts.stated(c, F.lit("result")).alias("x"))["x"]
+    assert len(long) <= 242 and long.endswith("….")
+    assert choices.redundancy({"a1", "b2", "x"}, {"a1", "b2", "y", "z"}) == 0.9 and choices.redundancy({"x"}, {"y"}) == 0 and choices.similarity(set(), set()) == 0
+
+
+def test_noise_is_dropped(spark):
+    noise = ["Kein verwertbarer Befund zu dem Host", "Das ist noch nicht der Endbefund zu allem", "Die dauerhafte Notiz soll kurz sein", "Gleichzeitig war das Netz konfiguriert worden", "Zusammenfassung: fruehe Planung dokumentiert", "Nicht mehr reproduzierbar seit heute", "die einzigen dauerhaften Informationen dieser Session"]
+    df = spark.createDataFrame([(t,) for t in noise + ["Der Endbefund liegt vor", "Kein neuer Host im Netz"]], "t string")
+    assert [r[0] for r in df.select(facts.unsafe(F.col("t"))).collect()] == [True] * len(noise) + [False, False]
 
 
 def test_fact_pipeline_merges_marks_conflicts_and_selects(spark):
@@ -39,10 +56,10 @@ def test_fact_pipeline_merges_marks_conflicts_and_selects(spark):
     assert len([k for k in got if k[0] == "t"]) == 1 and all(0 <= r["salience"] <= 100 and r["confidence"] in ("low", "medium", "high") for r in got.values())
     torn = [r for r in got.values() if r["session"] == "s" and r["conflict"]]
     assert {r["polarity"] for r in torn} == {1, -1} and all(r["evidence"] <= sessions.CONFLICT_CEILING for r in torn)
-    chosen = facts.selected(d, least=0).orderBy("session", "rank").collect()
-    assert chosen == facts.selected(d.repartition(5), least=0).orderBy("session", "rank").collect() and any("Restic" in r["statement"] for r in chosen)
-    only = facts.selected(d, least=0, most=1, required=("decision",)).filter("session = 's'").collect()
-    assert [r["kind"] for r in only] == ["decision"] and facts.selected(d.limit(0)).count() == 0
+    chosen = choices.selected(d, least=0).orderBy("session", "rank").collect()
+    assert chosen == choices.selected(d.repartition(5), least=0).orderBy("session", "rank").collect() and any("Restic" in r["statement"] for r in chosen)
+    only = choices.selected(d, least=0, most=1, required=("decision",)).filter("session = 's'").collect()
+    assert [r["kind"] for r in only] == ["decision"] and choices.selected(d.limit(0)).count() == 0
 
 
 def test_copy_metrics_equal_plain_loops(spark):
