@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lorewell.operators import calibration, comparison, duplicates, events, evidence, facts, integrity, link_updates, links, notes_overview, pairing, patterns, reports, search, sessions, star, surfaces
+from lorewell.operators import calibration, commands, comparison, duplicates, events, evidence, facts, integrity, link_updates, links, notes_overview, pairing, patterns, reports, search, sessions, star, surfaces
 from lorewell.plans import mutations
 
-MODULES = (search, links, link_updates, notes_overview, duplicates, sessions, facts, evidence, pairing, patterns, calibration, comparison, events, star, surfaces, reports, integrity, mutations)
+MODULES = (search, links, link_updates, notes_overview, duplicates, sessions, facts, commands, evidence, pairing, patterns, calibration, comparison, events, star, surfaces, reports, integrity, mutations)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
