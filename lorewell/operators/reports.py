@@ -181,15 +181,6 @@ def processing_queue(n: DataFrame, done: DataFrame, most: int = 25) -> DataFrame
     return waiting.orderBy("last_modified", "rel_path").limit(clamped(most, 1, 500)).select("rel_path", "last_modified")
 
 
-def metadata_backfill(n: DataFrame, today: str = AS_OF[:10]) -> DataFrame:
-    """rel_path, field, after: fields that claims and captures lack, with their defaults."""
-    fm = F.col("frontmatter")
-    claim, capture = F.array_contains("tags", "claim"), is_capture(n)
-    wanted = [("claim_status", claim, F.lit("provisional")), ("source_stage", claim | capture, F.when(capture, "stop_capture").otherwise("manual")), ("confidence", claim, F.lit("low")), ("recheck_at", claim, F.date_format(F.date_add(F.lit(today).cast("date"), 90), "yyyy-MM-dd"))]
-    fills = F.array(*[F.when(on & (F.coalesce(F.element_at(fm, F.lit(k)), F.lit("")) == ""), F.struct(F.lit(k).alias("field"), v.alias("after"))) for k, on, v in wanted])
-    return n.filter(is_active_path(F.col("rel_path"))).select("rel_path", F.explode(F.filter(fills, lambda x: x.isNotNull())).alias("f")).select("rel_path", "f.*")
-
-
 #: Roles of the intents in a capture's readiness.
 HANDS_ON, UNDECIDED = ("implementation", "troubleshooting"), ("research", "planning")
 
@@ -231,7 +222,7 @@ QUERIES = {
     "folder_prefix_counts": lambda s, d: prefix_counts(notes(s, d)), "open_questions": lambda s, d: open_questions(_asking(notes(s, d))).drop("last_modified"), "hot_cache": lambda s, d: hot_cache(notes(s, d)), "knowledge_inbox": lambda s, d: inbox_items(notes(s, d)),
     "knowledge_inbox_open": lambda s, d: open_items(i := inbox_items(notes(s, d)), sample_state(i)), "capture_review": lambda s, d: capture_review(notes(s, d)), "vault_health": lambda s, d: health(notes(s, d), links.resolved_of(s, d)), "content_maps": lambda s, d: content_maps(notes(s, d)),
     "safe_snippets": lambda s, d: safe_snippets(notes(s, d)), "runbook_sources": lambda s, d: runbook_sources(notes(s, d), "src1"), "review_page": lambda s, d: review_page(_queue(s, d)), "severity_cube": lambda s, d: severity_cube(_queue(s, d)),
-    "processing_queue": lambda s, d: processing_queue(notes(s, d), notes(s, d).filter("doc_id % 3 = 0").select("rel_path")), "metadata_backfill": lambda s, d: metadata_backfill(notes(s, d)), "capture_scores_by_text": lambda s, d: capture_scores_by_text(sample_captures(notes(s, d))),
+    "processing_queue": lambda s, d: processing_queue(notes(s, d), notes(s, d).filter("doc_id % 3 = 0").select("rel_path")), "capture_scores_by_text": lambda s, d: capture_scores_by_text(sample_captures(notes(s, d))),
     "file_names": lambda s, d: notes(s, d).select("rel_path", file_name(F.col("title")).alias("file_name"), slug(F.col("title")).alias("slug")),
 }
 
@@ -269,7 +260,6 @@ SQL = {
     "review_page": _surfaces.QUEUE_SQL + ", r AS (SELECT *, CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END AS rank FROM queue) SELECT * FROM (SELECT row_number() OVER (ORDER BY rank, category, id) AS place, id, severity, category FROM r) WHERE place <= 50",
     "severity_cube": _surfaces.QUEUE_SQL + "SELECT category, severity, count(*) AS n, CAST(grouping(category, severity) AS BIGINT) AS level FROM queue GROUP BY CUBE (category, severity)",
     "processing_queue": NOTES_SQL + f"SELECT rel_path, last_modified FROM notes WHERE {ACTIVE} AND ({CAPTURE} OR starts_with(rel_path, 'Daily/')) AND k % 3 <> 0 ORDER BY last_modified, rel_path LIMIT 25",
-    "metadata_backfill": NOTES_SQL + f"SELECT rel_path, field, after FROM (SELECT rel_path, unnest(list_filter([CASE WHEN list_contains(tags, 'claim') THEN {{'field': 'claim_status', 'after': 'provisional'}} END, CASE WHEN list_contains(tags, 'claim') OR {CAPTURE} THEN {{'field': 'source_stage', 'after': CASE WHEN {CAPTURE} THEN 'stop_capture' ELSE 'manual' END}} END, CASE WHEN list_contains(tags, 'claim') AND confidence IS NULL THEN {{'field': 'confidence', 'after': 'low'}} END, CASE WHEN list_contains(tags, 'claim') AND recheck_at IS NULL THEN {{'field': 'recheck_at', 'after': '2024-08-30'}} END], lambda x: x IS NOT NULL), recursive := true) FROM notes WHERE {ACTIVE})",
     "capture_scores_by_text": NOTES_SQL + ", c AS (SELECT rel_path, k, k % 2 = 0 AS s, k % 3 = 0 AS f, k % 5 = 0 AS x, k % 7 = 0 AS v, k % 4 = 1 AS cmd, ['implementation', 'research', 'unknown'][k % 3 + 1] AS intent, ['fuzzy_cwd', 'none', 'exact_cwd', ''][k % 4 + 1] AS method, list_contains(tags, 'auto-capture') AS auto FROM notes), r AS (SELECT *, CASE WHEN intent = 'implementation' THEN 25 ELSE 0 END + CASE WHEN cmd THEN 26 + 15 ELSE 0 END + CASE WHEN f THEN 15 ELSE 0 END + CASE WHEN v THEN 10 ELSE 0 END + CASE WHEN x THEN 5 ELSE 0 END AS ready FROM c) SELECT rel_path, CAST(25 + CASE WHEN s THEN 15 ELSE 0 END + CASE WHEN f THEN 15 ELSE 0 END + CASE WHEN cmd THEN 15 ELSE 0 END + CASE WHEN x THEN 15 ELSE 0 END + CASE WHEN auto THEN 5 ELSE 0 END AS BIGINT) AS value, CAST(ready AS BIGINT) AS readiness, CAST(10 + CASE WHEN method = 'fuzzy_cwd' THEN 30 WHEN method = 'none' THEN 20 ELSE 0 END + CASE WHEN k % 6 = 0 THEN 35 ELSE 0 END + CASE WHEN intent = 'research' THEN 15 ELSE 0 END + CASE WHEN NOT v AND ready >= 55 THEN 10 ELSE 0 END AS BIGINT) AS need FROM r",
     "file_names": NOTES_SQL + "SELECT rel_path, rtrim(substr(trim(regexp_replace(trim(regexp_replace(regexp_replace(title, '[\\\\/:*?\"<>|#^\\[\\]\\x00-\\x1f]', ' ', 'g'), '\\s+', ' ', 'g')), '^\\.+|\\.+$', '', 'g')), 1, 60)) AS file_name, regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM notes",
 }

@@ -28,15 +28,6 @@ def severity_counts(queue: DataFrame) -> DataFrame:
     return queue.groupBy("category").pivot("severity", ["high", "medium", "low"]).agg(F.count(F.lit(1))).fillna(0)
 
 
-def schedule(n: DataFrame, today: str = AS_OF[:10], horizon: int = 14) -> DataFrame:
-    """Notes to check again: due and upcoming, by date, then by priority as text (high, low, medium)."""
-    at = F.col("frontmatter")["recheck_at"]
-    last = F.date_format(F.date_add(F.lit(today).cast("date"), horizon), "yyyy-MM-dd")
-    s = n.select("rel_path", at.alias("due"), F.when(at < today, "high").when(at <= last, "medium").otherwise("low").alias("priority")).filter("due IS NOT NULL").filter(F.col("due") <= last)
-    first = s.orderBy("due", "priority", "rel_path").limit(20)
-    return first.withColumn("place", F.row_number().over(Window.orderBy("due", "priority", "rel_path")).cast("long"))  # a report of twenty rows
-
-
 def customer_dashboard(n: DataFrame) -> DataFrame:
     """Counts by customer folder."""
     client = F.split_part("rel_path", F.lit("/"), F.lit(2))
@@ -117,7 +108,7 @@ def queue(s, d):
 
 
 QUERIES = {
-    "review_queue": queue, "review_severity": lambda s, d: severity_counts(queue(s, d)), "schedule_proposal": lambda s, d: schedule(notes(s, d)), "customer_dashboard": lambda s, d: customer_dashboard(notes(s, d)), "customer_timeline": lambda s, d: timeline(notes(s, d)),
+    "review_queue": queue, "review_severity": lambda s, d: severity_counts(queue(s, d)), "customer_dashboard": lambda s, d: customer_dashboard(notes(s, d)), "customer_timeline": lambda s, d: timeline(notes(s, d)),
     "knowledge_index": lambda s, d: knowledge_index(notes(s, d)), "knowledge_metrics": lambda s, d: knowledge_metrics(notes(s, d), links.edges_of(s, d)), "client_fuzzy": sample_names, "secret_redaction": lambda s, d: redaction(table(s, d, "documents")), "page_profile": lambda s, d: page_profile(table(s, d, "pages")), "rule_quality": junk_quality,
 }
 LIFE = notes_overview.SQL["lifecycle_suggestions"]
@@ -137,7 +128,6 @@ for _name, _pattern in tx.SECRETS:
 SQL = {
     "secret_redaction": f"SELECT doc_id, secrets, length FROM (SELECT doc_id, CAST({' + '.join(COUNTS)} AS BIGINT) AS secrets, CAST(length({MASKED}) AS BIGINT) AS length FROM documents) WHERE secrets > 0",
     "review_queue": QUEUE_SQL + "SELECT * FROM queue", "review_severity": QUEUE_SQL + "SELECT category, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low FROM queue GROUP BY 1",
-    "schedule_proposal": NOTES_SQL + "SELECT rel_path, due, priority, place FROM (SELECT *, row_number() OVER (ORDER BY due, priority, rel_path) AS place FROM (SELECT rel_path, recheck_at AS due, CASE WHEN recheck_at < '2024-06-01' THEN 'high' ELSE 'medium' END AS priority FROM notes WHERE recheck_at <= '2024-06-15')) WHERE place <= 20",
     "customer_dashboard": NOTES_SQL + "SELECT source AS client, count(*) AS notes, CAST(sum(open_todos) AS BIGINT) AS open_todos, count(*) FILTER (list_contains(tags, 'decision')) AS decisions, strftime(max(last_modified), '%Y-%m-%d') AS latest FROM notes WHERE starts_with(rel_path, 'Kunden/') GROUP BY 1",
     "customer_timeline": NOTES_SQL + "SELECT rel_path, coalesce(datum, strftime(last_modified, '%Y-%m-%d')) AS day, CASE WHEN list_contains(tags, 'decision') THEN 'decision' WHEN open_todos + done_todos > 0 THEN 'task' ELSE 'note' END AS kind FROM notes WHERE starts_with(rel_path, 'Kunden/')",
     "knowledge_index": NOTES_SQL + "SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM notes) GROUP BY 1 ORDER BY n DESC, tag LIMIT 20",
