@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from lorewell.operators import calibration, commands, comparison, duplicates, events, evidence, facts, integrity, link_updates, links, notes_overview, pairing, patterns, reports, schedule, search, sessions, star, surfaces, taxonomy
-from lorewell.plans import metadata, mutations
+from lorewell.plans import admission, metadata, mutations
 
-MODULES = (search, links, link_updates, notes_overview, duplicates, sessions, facts, commands, evidence, pairing, patterns, calibration, comparison, events, star, surfaces, reports, integrity, mutations, metadata, schedule, taxonomy)
+MODULES = (search, links, link_updates, notes_overview, duplicates, sessions, facts, commands, evidence, pairing, patterns, calibration, comparison, events, star, surfaces, reports, integrity, mutations, metadata, schedule, taxonomy, admission)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
