@@ -9,7 +9,7 @@ from lorewell.functions import text as tx
 from lorewell.operators.fact_rules import SECRET
 from lorewell.operators.facts import kept, let, one_line, plain, truncated
 from lorewell.operators.sessions import matches
-from lorewell.sources.tables import table
+from lorewell.sources.tables import dealt
 
 # Fixed values, as patterns of any case. What is never told: long, nested or secret commands, and looking around.
 MOST_COMMAND, MOST_JOINTS, MOST_RESULT = 260, 3, 140
@@ -114,7 +114,7 @@ def sample_pairs(turns: DataFrame) -> DataFrame:
     return turns.select(F.col("conv_id").alias("session"), F.col("turn").cast("string").alias("ref"), filled(pick(0, "string")).alias("command"), F.concat(filled(pick(1, "string")), F.lit("\n"), said).alias("output"), F.lit(None).cast("boolean").alias("is_error"), pick(2, "int").alias("exit_code"), F.lit("").alias("context"))
 
 
-QUERIES = {"command_facts": lambda s, d: told(sample_pairs(table(s, d, "conversations"))).select("session", "ref", "kind", "segment")}
+QUERIES = {"command_facts": lambda s, d: told(sample_pairs(dealt(s, d, "conversations"))).select("session", "ref", "kind", "segment")}
 _Q = lambda p: p.replace("'", "''")
 _HAS = lambda c, p: f"regexp_matches({c}, '(?i){_Q(p)}')"
 _FORM = lambda c, rules: "coalesce(" + ", ".join(f"CASE WHEN {_HAS(c, p)} THEN regexp_replace({c}, '(?is)^.*?(?:{_Q(p)}).*$', '{_Q(by).replace('$', chr(92))}') END" for p, by in rules) + ")"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorewell.sources.tables import NOTES_SQL, notes, table
+from lorewell.sources.tables import NOTES_SQL, dealt, notes, table
 
 
 def phases(turns: DataFrame) -> DataFrame:
@@ -216,7 +216,7 @@ def seeded_sample(facts: DataFrame, k: int = 6, seed: str = "s1") -> DataFrame:
 
 
 conv = lambda s, d: table(s, d, "conversations")
-docs = lambda s, d: table(s, d, "documents")
+docs = lambda s, d: dealt(s, d, "documents")
 QUERIES = {
     "phase_segmentation": lambda s, d: phases(conv(s, d)), "transcript_digest": lambda s, d: digest(conv(s, d)), "intent_classify": lambda s, d: intents(docs(s, d), SAMPLE_INTENTS), "category_classify": lambda s, d: categories(notes(s, d)),
     "claim_candidates": lambda s, d: claims(docs(s, d), SAMPLE_MODALS), "claim_contradictions": lambda s, d: contradictions(claims(docs(s, d), SAMPLE_MODALS), SAMPLE_NEGATIONS), "new_claims": lambda s, d: new_claims(c, c.filter(F.col("doc_id") % 10 == 3).select(normal_claim(F.col("claim")).alias("key"))) if (c := claims(docs(s, d), SAMPLE_MODALS)) is not None else None, "evidence_score": lambda s, d: evidence_scores(sample_evidence(conv(s, d))),

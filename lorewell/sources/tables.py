@@ -21,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table, dealt over all cores if it is one small file, for expressions that are worth more than reading it."""
+    return scratch.spread(spark, table(spark, sf_dir, name), f"{sf_dir}/{name}.parquet")
+
+
 #: Frontmatter and tail of a note as SQL texts that Spark and DuckDB both read; k is doc_id.
 SHARED = {
     "head": """concat('---', chr(10),
