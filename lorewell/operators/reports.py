@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from lorewell.functions import markdown as md
 from lorewell.functions import text as tx
-from lorewell.operators import links
 from lorewell.operators.notes_overview import is_active_path
 from lorewell.operators.sessions import matches
 from lorewell.sources.tables import AS_OF, NOTES_SQL, notes
@@ -89,18 +88,6 @@ def capture_review(n: DataFrame) -> DataFrame:
     return c.agg(F.count("*").alias("captures"), F.count_if(promising).alias("promising"), F.count_if(F.coalesce(F.col("frontmatter")["client_match_method"], F.lit("")).isin("fuzzy_cwd", "exact_content")).alias("doubtful"))
 
 
-def health(n: DataFrame, r: DataFrame) -> DataFrame:
-    """check, status, message of the vault, and the worst of all as the check `overall`."""
-    counts = n.agg(F.count("*").alias("notes"), F.count_if(F.col("frontmatter")["status"].isNull()).alias("no_status"), F.count_if(F.size("tags") == 0).alias("untagged"))
-    counts = counts.crossJoin(r.agg(F.count_if(F.col("dst").isNull()).alias("broken")))  # one row each
-    grade = lambda c, warn, fail: F.when(F.col(c) >= fail, "error").when(F.col(c) >= warn, "warning").otherwise("ok")
-    rows = [("notes", F.when(F.col("notes") == 0, "error").otherwise("ok"), "notes"), ("status", grade("no_status", 1, 1_000_000), "no_status"), ("tags", grade("untagged", 1, 1_000_000), "untagged"), ("links", grade("broken", 1, 100), "broken")]
-    each = counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("check"), s.alias("status"), F.col(v).cast("string").alias("message")) for c, s, v in rows])).alias("x")).select("x.*")
-    rank = F.when(F.col("status") == "error", 2).when(F.col("status") == "warning", 1).otherwise(0)
-    worst = each.agg(F.lit("overall").alias("check"), F.max_by("status", rank).alias("status"), F.count("*").cast("string").alias("message"))
-    return each.union(worst)
-
-
 def content_maps(n: DataFrame, least: int = 2, depth: int = 3, roots: tuple[str, ...] = ("Kunden/", "Technik/")) -> DataFrame:
     """folder, notes, subfolders, action of the maps of content: each note counts in all its folders under the roots, three
     levels deep; folders with fewer notes than `least` are skipped, existing maps are updated."""
@@ -220,7 +207,7 @@ def _queue(s, d):
 
 QUERIES = {
     "folder_prefix_counts": lambda s, d: prefix_counts(notes(s, d)), "open_questions": lambda s, d: open_questions(_asking(notes(s, d))).drop("last_modified"), "hot_cache": lambda s, d: hot_cache(notes(s, d)), "knowledge_inbox": lambda s, d: inbox_items(notes(s, d)),
-    "knowledge_inbox_open": lambda s, d: open_items(i := inbox_items(notes(s, d)), sample_state(i)), "capture_review": lambda s, d: capture_review(notes(s, d)), "vault_health": lambda s, d: health(notes(s, d), links.resolved_of(s, d)), "content_maps": lambda s, d: content_maps(notes(s, d)),
+    "knowledge_inbox_open": lambda s, d: open_items(i := inbox_items(notes(s, d)), sample_state(i)), "capture_review": lambda s, d: capture_review(notes(s, d)), "content_maps": lambda s, d: content_maps(notes(s, d)),
     "safe_snippets": lambda s, d: safe_snippets(notes(s, d)), "runbook_sources": lambda s, d: runbook_sources(notes(s, d), "src1"), "review_page": lambda s, d: review_page(_queue(s, d)), "severity_cube": lambda s, d: severity_cube(_queue(s, d)),
     "processing_queue": lambda s, d: processing_queue(notes(s, d), notes(s, d).filter("doc_id % 3 = 0").select("rel_path")), "capture_scores_by_text": lambda s, d: capture_scores_by_text(sample_captures(notes(s, d))),
     "file_names": lambda s, d: notes(s, d).select("rel_path", file_name(F.col("title")).alias("file_name"), slug(F.col("title")).alias("slug")),
@@ -253,7 +240,6 @@ SQL = {
     "knowledge_inbox": INBOX_SQL + " SELECT * FROM items",
     "knowledge_inbox_open": INBOX_SQL + " SELECT * FROM items WHERE (length(target) + length(kind)) % 5 NOT IN (0, 1)",
     "capture_review": NOTES_SQL + f"SELECT count(*) AS captures, count(*) FILTER (list_contains(tags, 'prozedur') OR regexp_matches(content, '(?i)## Durchgef.hrte (Befehle|Schritte)|## Fehler und Workarounds') OR len(regexp_extract_all(content, '(?m)^\\d+\\.\\s+')) >= 3) AS promising, CAST(0 AS BIGINT) AS doubtful FROM notes WHERE {CAPTURE}",
-    "vault_health": NOTES_SQL + ", c AS (SELECT (SELECT count(*) FROM notes) AS n, (SELECT count(*) FROM notes WHERE status IS NULL) AS s, (SELECT count(*) FROM notes WHERE len(tags) = 0) AS t, (SELECT count(*) FROM (SELECT rel_path, unnest(out_links) AS target FROM notes) o JOIN resolved r ON r.src = o.rel_path AND r.target = o.target WHERE r.dst IS NULL) AS b), e AS (SELECT 'notes' AS \"check\", CASE WHEN n = 0 THEN 2 ELSE 0 END AS r, n AS m FROM c UNION ALL SELECT 'status', CASE WHEN s >= 1000000 THEN 2 WHEN s >= 1 THEN 1 ELSE 0 END, s FROM c UNION ALL SELECT 'tags', CASE WHEN t >= 1000000 THEN 2 WHEN t >= 1 THEN 1 ELSE 0 END, t FROM c UNION ALL SELECT 'links', CASE WHEN b >= 100 THEN 2 WHEN b >= 1 THEN 1 ELSE 0 END, b FROM c), a AS (SELECT * FROM e UNION ALL SELECT 'overall', (SELECT max(r) FROM e), (SELECT count(*) FROM e)) SELECT \"check\", ['ok', 'warning', 'error'][r + 1] AS status, CAST(m AS VARCHAR) AS message FROM a",
     "content_maps": NOTES_SQL + ", p AS (SELECT rel_path, string_split(rel_path, '/') AS p FROM notes), f AS (SELECT array_to_string(p[1:i], '/') AS folder, CASE WHEN i + 1 < len(p) THEN array_to_string(p[1:i + 1], '/') END AS sub FROM (SELECT p, unnest(range(1, least(len(p), 4))) AS i FROM p)) SELECT folder, count(*) AS notes, coalesce(array_to_string(list_sort(list(DISTINCT sub) FILTER (sub IS NOT NULL)), ','), '') AS subfolders, CASE WHEN count(*) < 2 THEN 'skipped' ELSE 'created' END AS action FROM f WHERE starts_with(folder, 'Kunden/') OR starts_with(folder, 'Technik/') GROUP BY 1",
     "safe_snippets": NOTES_SQL + ", f AS (SELECT rel_path, title, tags, coalesce(substr(list_filter(list_transform(string_split_regex(regexp_replace(content, '(?m)^#\\s+.+$', ''), '\\n\\s*\\n'), lambda p: trim(regexp_replace(p, '\\s+', ' ', 'g'))), lambda p: length(p) > 20)[1], 1, 420), '') AS t FROM notes) SELECT rel_path, CASE WHEN " + " OR ".join(f"regexp_matches({c}, '(?i){SENSITIVE}')" for c in ("rel_path", "title", "array_to_string(tags, ' ')")) + f" THEN '[REDACTED_SENSITIVE_NOTE_SNIPPET]' WHEN trim(t) <> '' AND (regexp_matches(t, '(?i)<task-notification|toolu_') OR regexp_matches(t, '(?i){PROBED}') AND regexp_matches(t, '(?i){READS}') OR length(trim(t)) > 140 AND regexp_matches(t, '(?i){SHELL}')) THEN '[REDACTED_COMMAND_SNIPPET]' ELSE " + masked_sql("t") + " END AS snippet FROM f",
     "runbook_sources": NOTES_SQL + f", h AS (SELECT *, {CAPTURE} OR list_contains(tags, 'prozedur') AS first FROM notes WHERE {ACTIVE} AND (contains(lower(rel_path), 'src1') OR contains(lower(title), 'src1') OR len(list_filter(tags, lambda t: contains(t, 'src1'))) > 0)) SELECT rel_path, CAST(CASE WHEN first THEN 1 ELSE 2 END AS BIGINT) AS pass FROM h ORDER BY 2, 1 LIMIT 12",
