@@ -26,7 +26,7 @@ def test_segments_and_kinds(spark):
 def test_statements_and_tokens(spark):
     c = F.col("t")
     assert one(spark, "Postgres-Verbindungen wurden über 10.0.0.1:5432 gewählt", facts.tokens_of(c).alias("x"))["x"] == ["postgresql", "uber", "10.0.0.1:5432", "use"]
-    assert one(spark, "persistiert speichern Änderungen obsidian-brain/x.conf über", facts.tokens_of(c).alias("x"))["x"] == ["persist", "persist", "ander", "obsidian-brain/x.conf", "obsidian", "brain", "conf", "uber"]
+    assert one(spark, "persistiert speichern Änderungen copper-brass/x.conf über", facts.tokens_of(c).alias("x"))["x"] == ["persist", "persist", "ander", "copper-brass/x.conf", "copper", "brass", "conf", "uber"]
     assert one(spark, None, facts.tokens_of(c).alias("x"))["x"] == []
     assert one(spark, "The router was configured with a new static route for the branch office at 10.1.2.3", facts.compact(c).alias("x"))["x"] == "router configured new static route 10.1.2.3"
     rows = [
