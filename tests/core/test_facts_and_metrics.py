@@ -1,5 +1,7 @@
 import math
+import tracemalloc
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lorewell.operators import calibration, choices, facts, integrity, reports, search, sessions, surfaces
@@ -137,3 +139,15 @@ def test_leakage_components_and_generated_vault(spark):
     got = {r["id"]: r["component"] for r in calibration.leakage_groups(p).collect()}
     assert got == {0: 0, 49: 0, 60: 60, 1060: 60, 2500: 2500}
     assert parsed(files.generated_vault(spark, 7)).count() == 7
+
+
+def test_term_vectors_hold_few_rows_as_python_values():
+    row = {"title": [f"title {i}" for i in range(20)], "body": [f"word {i % 150}" for i in range(300)]}
+    column = pa.array([row] * 4000, pa.struct([("title", pa.list_(pa.string())), ("body", pa.list_(pa.string()))]))
+    weigh = search._weighed((5.0, 1.0)).func
+    tracemalloc.start()
+    out = weigh(column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) == 4000 and {x["term"]: x["weight"] for x in out[3999].as_py()}["word 7"] == 2.0 and out[0].as_py() == out[3999].as_py()
+    assert peak < 30e6  # 4000 rows as Python values take over 100 MB
