@@ -141,7 +141,7 @@ def test_leakage_components_and_generated_vault(spark):
     assert parsed(files.generated_vault(spark, 7)).count() == 7
 
 
-def test_term_vectors_hold_few_rows_as_python_values():
+def test_term_vectors_hold_few_rows_as_python_values(spark):
     row = {"title": [f"title {i}" for i in range(20)], "body": [f"word {i % 150}" for i in range(300)]}
     column = pa.array([row] * 4000, pa.struct([("title", pa.list_(pa.string())), ("body", pa.list_(pa.string()))]))
     weigh = search._weighed((5.0, 1.0)).func
