@@ -161,3 +161,20 @@ def test_contradictions_behind_common_terms(spark):
         expected |= {(*a, *b) for b in near[:5]}
     got = [tuple(r) for r in sessions.contradictions(spark.createDataFrame(rows, "doc_id long, claim string")).collect()]
     assert len(expected) > 500 and len(got) == len(expected) and set(got) == expected
+
+
+def test_pairs_by_titles_equal_all_pairs_and_are_not_exchanged(spark, monkeypatch):
+    titles = ["Backup Server restore plan", "Backup Server restore plan today", "Firewall rules", "restore plan", "x"]
+    rows = [(f"{'Kunden' if i % 3 else 'Technik'}/note-{i:03d}.md", titles[i % 11 % 5], [f"w{j}" for j in range(i % 4, 12)], [f"t{j}" for j in range(i % 13)]) for i in range(60)]
+    n = spark.createDataFrame(rows, "rel_path string, title string, words array<string>, tags array<string>")
+    n = n.select("rel_path", "title", "tags", F.array_join(F.transform("words", lambda w: F.concat(F.lit("word"), w)), " ").alias("content"), F.create_map(F.lit("status"), F.lit("aktiv")).alias("frontmatter"))
+    f = duplicates.features(n)
+    every = f.select(F.col("id").alias("left")).join(f.select(F.col("id").alias("right")), F.col("left") < F.col("right"))
+    want = sorted((r["left"], r["right"], r["score"], r["suggestion"]) for r in duplicates.scored(every, f, 46).collect())
+    monkeypatch.setattr(duplicates, "TITLE_BLOCK", 4)
+    got = duplicates.named(duplicates.scored_by_titles(f, 46))
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 100
+    by_title = duplicates.named(duplicates.scored_by_titles(f, 46, every=False))
+    assert set(map(tuple, by_title.collect())) < set(want)
+    plan = by_title._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan.split("Join")[0] and "Repartition" not in plan.split("Join")[0]  # nothing is exchanged after pairs meet
