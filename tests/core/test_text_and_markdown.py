@@ -178,3 +178,22 @@ def test_pairs_by_titles_equal_all_pairs_and_are_not_exchanged(spark, monkeypatc
     assert set(map(tuple, by_title.collect())) < set(want)
     plan = by_title._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan.split("Join")[0] and "Repartition" not in plan.split("Join")[0]  # nothing is exchanged after pairs meet
+
+
+def test_mentions_of_a_name_of_many_notes_are_ranked_once_for_sources_alike(spark, monkeypatch):
+    paths = [f"src/n{i:02d}.md" for i in range(40)]
+    rows = [(p, "Restore Plan", ["ops", "de"] if i % 2 else ["de"], "restore plan here", [], {"status": "aktiv"}) for i, p in enumerate(paths)]
+    n = spark.createDataFrame(rows, "rel_path string, title string, tags array<string>, content string, out_links array<string>, frontmatter map<string,string>")
+    links = {(paths[0], paths[k]) for k in range(1, 12)} | {(paths[3], paths[1])}
+    groups = []
+    written = search.scratch.written
+    monkeypatch.setattr(search.scratch, "written", lambda df, name: (groups.append(df.count()) if name == "mention-groups" else None) or written(df, name))
+    monkeypatch.setattr(search, "TARGET_BLOCK", 7)
+    got = sorted(tuple(r) for r in search.mentions(n, spark.createDataFrame(sorted(links), "src string, dst string"), k=None).collect())
+    want = []
+    for i, source in enumerate(paths):
+        worth = lambda j: min(0.98, round(0.78 + 0.04 * (2 if i % 2 and j % 2 else 1) + 0.08 + 0.05, 2))  # noqa: E731, B023
+        left = sorted((-worth(j), t) for j, t in enumerate(paths) if t != source and (source, t) not in links)
+        want += [(source, t, "restore plan", -w) for w, t in left[:5]]
+    assert got == sorted(want)
+    assert groups == [3]  # two sets of tags, and the note of eleven links: not a row a pair
