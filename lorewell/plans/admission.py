@@ -31,18 +31,24 @@ def words(text: Column) -> Column:
 
 def alike(left: DataFrame, right: DataFrame, least: float = ALIKE) -> DataFrame:
     """Keys of left (key, scope, words) for which some row of right (scope, words) of the same scope shares that part of the larger
-    set. Sets that do share it have sizes that near and meet in the prefix of their rarest words."""
-    sides = [d.filter(F.size("words") > 0).withColumn("n", F.size("words")) for d in (left.select("key", "scope", "words"), right.select("scope", "words").distinct().withColumn("key", F.xxhash64("scope", "words")))]
-    df = sides[1].select("scope", F.explode("words").alias("w")).groupBy("scope", "w").agg(F.count("*").alias("df"))
+    set. Sets that do share it have sizes that near and meet in the prefix of their rarest words. Equal sets are one, and words
+    follow to pairs that can be alike only."""
+    keyed = lambda d: d.filter(F.size("words") > 0).select("*", F.array_sort("words").alias("sorted")).withColumn("id", F.xxhash64("scope", "sorted"))
+    own = scratch.written(keyed(left.select("key", "scope", "words")).select("key", "id", "scope", "sorted"), "alike")
+    sides = [scratch.written(d.select("id", "scope", "sorted", F.size("sorted").alias("n")).dropDuplicates(["id"]), "sets") for d in (own, keyed(right.select("scope", "words")))]
+    df = sides[1].select("scope", F.explode("sorted").alias("w")).groupBy("scope", "w").agg(F.count("*").alias("df"))
     prefixes = []
     for d in sides:
-        place = F.row_number().over(Window.partitionBy("key").orderBy(F.coalesce("df", F.lit(0)), "w"))
-        p = d.select("key", "scope", "words", "n", F.explode("words").alias("w")).join(df, ["scope", "w"], "left").withColumn("place", place)
-        prefixes.append(p.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least) + 1))
-    x, y = prefixes
-    y = y.select("scope", "w", F.col("words").alias("other"), F.col("n").alias("m"))
-    met = x.join(y, ["scope", "w"]).filter((F.col("n") >= least * F.col("m")) & (F.col("m") >= least * F.col("n")))
-    return met.filter(F.size(F.array_intersect("words", "other")) / F.greatest("n", "m") >= least).select("key").distinct()
+        place = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(0)), "w"))
+        p = d.select("id", "scope", "n", F.explode("sorted").alias("w")).join(df, ["scope", "w"], "left").withColumn("place", place)
+        prefixes.append(p.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("id", "scope", "w", "n", "place"))
+    x, y = prefixes[0], prefixes[1].toDF("other", "scope", "w", "m", "at")
+    larger = F.greatest("n", "m")
+    # where sets first meet, what is left of the shorter rest bounds what they share
+    met = x.join(y, ["scope", "w"]).filter((F.col("n") >= least * F.col("m")) & (F.col("m") >= least * F.col("n")) & ((1 + F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at"))) / larger >= least))
+    met = met.select("id", "other").distinct().join(sides[0].select("id", "n", F.col("sorted").alias("a")), "id").join(sides[1].select(F.col("id").alias("other"), F.col("n").alias("m"), F.col("sorted").alias("b")), "other")
+    near = met.filter(F.size(F.array_intersect("a", "b")) / larger >= least).select("id").distinct()
+    return own.join(near, "id", "left_semi").select("key").distinct()
 
 
 def gap_title(title: Column) -> Column:

@@ -50,3 +50,13 @@ def test_plan_tells_every_reason(spark):
     }
     strict = {r["action"]: (r["strict"], r["shut"], r["usefulness"]) for r in ad.gates(feedback).collect()}
     assert strict == {"extract_claims": (True, True, 0.0), "save_insight": (False, False, 1.0)}
+
+
+def test_likeness_of_repeated_sets_is_judged_once(spark, monkeypatch):
+    sizes, written = [], ad.scratch.written
+    monkeypatch.setattr(ad.scratch, "written", lambda df, name: (sizes.append(df.count()) if name == "sets" else None) or written(df, name))
+    line, other = [f"w{i}" for i in range(40)], [f"v{i}" for i in range(40)]
+    left = spark.createDataFrame([(i, "s", line[::-1] if i % 2 else line) for i in range(50)] + [(99, "s", other)], "key long, scope string, words array<string>")
+    right = spark.createDataFrame([("s", line[:35]), ("s", line[:35][::-1]), ("t", other)], "scope string, words array<string>")
+    assert sorted(r[0] for r in ad.alike(left, right).collect()) == list(range(50))
+    assert sizes == [2, 2]
