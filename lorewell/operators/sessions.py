@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lorewell.sources import scratch
 from lorewell.sources.tables import NOTES_SQL, dealt, notes, table
 
 
@@ -121,26 +122,35 @@ def new_claims(found: DataFrame, known: DataFrame, key: str = "doc_id", most: in
 def contradictions(c: DataFrame, negations: str = "nicht|kein|keine|never|not|no", key: str = "doc_id", most: int = 5) -> DataFrame:
     """Pairs of claims of different documents that share two important terms and differ in negation; of each claim the
     first `most` partners. A claim's terms are its first ten; those of a partner count as often as it has them.
-    Claims meet by pairs of terms (and a term that a partner repeats by itself); of each such group only the partners that
-    can be among the first are joined: `most` claims of each of the first most + 1 documents."""
+    Claims meet by pairs of terms (and a term that a partner repeats by itself), as places without texts: a claim is its
+    document and its number there. Pairs of one side only go first; of each other one the partners that can be among the
+    first are kept: 2 * `most` claims, of one document `most`. Texts come back to the partners that are left."""
     low = F.split(F.regexp_replace(F.lower("claim"), r"[^\p{L}\p{N}\s-]", " "), r"\s+")
     listed = F.slice(F.filter(low, lambda w: (F.length(w) >= 5) & ~w.isin(*GENERAL_TERMS)), 1, 10)
     negated = matches("claim", rf"\b({negations})\b")
-    t = c.select(key, "claim", negated.alias("neg"), listed.alias("listed"), F.array_distinct(listed).alias("terms"))
-    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
-    pairs = F.flatten(F.transform("terms", lambda a: F.transform(F.filter("terms", lambda b: a < b), lambda b: pair(a, b))))
-    repeated = F.filter("terms", lambda a: F.size(F.filter("listed", lambda b: a == b)) > 1)
-    own = F.concat(pairs, F.transform("terms", lambda a: pair(a, a)))
-    met = t.select("*", F.explode(own).alias("pair"))
-    as_partner = t.select("*", F.explode(F.concat(pairs, F.transform(repeated, lambda a: pair(a, a)))).alias("pair"))
-    in_doc = F.row_number().over(Window.partitionBy("pair", "neg", key).orderBy("claim"))
-    docs_before = F.dense_rank().over(Window.partitionBy("pair", "neg").orderBy(key))
-    first = as_partner.filter(F.col(key).isNotNull()).withColumn("r", in_doc).filter(F.col("r") <= most).withColumn("r", docs_before).filter(F.col("r") <= most + 1)
-    other = first.select("pair", F.col(key).alias("other_id"), F.col("claim").alias("other"), F.col("neg").alias("other_neg"), F.col("listed").alias("other_listed"))
-    found = met.join(other, "pair").filter((F.col(key) != F.col("other_id")) & (F.col("neg") != F.col("other_neg")))
-    found = found.select(key, "claim", "other_id", "other", F.size(F.filter("other_listed", lambda b: F.array_contains("terms", b))).cast("long").alias("shared")).distinct()
-    rank = F.row_number().over(Window.partitionBy(key, "claim").orderBy("other_id", "other"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= most).select(key, "claim", "other_id", "other", "shared")
+    number = F.row_number().over(Window.partitionBy(key).orderBy("claim"))
+    t = c.select(key, "claim").filter(F.col(key).isNotNull() & F.col("claim").isNotNull()).distinct().select(F.col(key).alias("id"), "claim", number.alias("r"))
+    t = scratch.written(t.select("*", negated.alias("neg"), listed.alias("listed"), F.array_distinct(listed).alias("terms")), "claims")
+    pair = lambda a, b, partner: F.struct(F.xxhash64(a, b).alias("h"), F.hash(a, b).alias("g"), partner.alias("partner"))  # 96 bits
+    repeats = lambda a: F.size(F.filter("listed", lambda b: a == b)) > 1
+    own = F.flatten(F.transform("terms", lambda a: F.transform(F.filter("terms", lambda b: a <= b), lambda b: pair(a, b, (a != b) | repeats(a)))))
+    x = t.select("id", "r", "neg", F.inline(own))
+    met = [F.max(on) for on in (F.col("neg"), ~F.col("neg"), F.col("partner") & ~F.col("neg"), F.col("partner") & F.col("neg"))]
+    sides = x.groupBy("h", "g").agg(*[m.alias(f"m{i}") for i, m in enumerate(met)]).filter("m0 AND m2 OR m1 AND m3").select("h", "g")
+    x = scratch.written(x.join(scratch.written(sides, "pairs"), ["h", "g"], "left_semi"), "places")
+    # a partner of the claims that are not as it is
+    p = x.filter("partner").select("h", "g", (~F.col("neg")).alias("neg"), "id", "r")
+    by = Window.partitionBy("h", "g", "neg")
+    p = p.withColumn("n", F.dense_rank().over(by.orderBy("id"))).filter(F.col("n") <= most + 1)
+    p = p.withColumn("n", F.row_number().over(Window.partitionBy("h", "g", "neg", "id").orderBy("r"))).filter(F.col("n") <= most)
+    p = p.withColumn("n", F.row_number().over(by.orderBy("id", "r"))).filter(F.col("n") <= 2 * most)
+    p = scratch.written(p.groupBy("h", "g", "neg").agg(F.array_sort(F.collect_list(F.struct("id", "r"))).alias("first")), "partners")
+    found = x.join(p, ["h", "g", "neg"]).select("id", "r", F.slice(F.filter("first", lambda o: o["id"] != F.col("id")), 1, most).alias("first"))
+    found = found.groupBy("id", "r").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("first")))), 1, most).alias("first"))
+    found = t.select("id", "r", "claim", "terms").join(found, ["id", "r"]).select("id", "claim", "terms", F.inline(F.transform("first", lambda o: F.struct(o["id"].alias("other_id"), o["r"].alias("other_r")))))
+    other = t.select(F.col("id").alias("other_id"), F.col("r").alias("other_r"), F.col("claim").alias("other"), F.col("listed").alias("other_listed"))
+    shared = F.size(F.filter("other_listed", lambda b: F.array_contains("terms", b))).cast("long")
+    return found.join(other, ["other_id", "other_r"]).select(F.col("id").alias(key), "claim", "other_id", "other", shared.alias("shared"))
 
 
 #: Fixed values of the evidence score: strength of a source, and what independent units and further sources add.

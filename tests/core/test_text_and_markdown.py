@@ -163,6 +163,23 @@ def test_contradictions_behind_common_terms(spark):
     assert len(expected) > 500 and len(got) == len(expected) and set(got) == expected
 
 
+def test_contradictions_meet_without_texts(spark, monkeypatch):
+    from lorewell.operators import sessions
+    from lorewell.sources import scratch
+
+    made, written = {}, scratch.written
+    monkeypatch.setattr(scratch, "written", lambda df, name: made.setdefault(name, written(df, name)))
+    rows = [(i, f"server backup of house n{i}" + " not" * (i == 3)) for i in range(40)] + [(100 + i, f"alone{i} other{i} words{i}") for i in range(40)]
+    rows += [(7, f"server backup house m{i}") for i in range(20)]
+    got = sessions.contradictions(spark.createDataFrame(rows, "doc_id long, claim string"))
+    near = sorted(r for r in rows if "server" in r[1] and r[0] != 3)
+    expected = {(*rows[3], *r, 3) for r in near[:5]} | {(*r, *rows[3], 3) for r in near}
+    assert set(map(tuple, got.collect())) == expected and got.count() == len(expected)
+    assert "string" not in dict(made["places"].dtypes).values()
+    assert made["pairs"].count() == 3 and made["places"].count() == 3 * 60  # pairs of one side only are gone
+    assert max(len(r["first"]) for r in made["partners"].collect()) <= 10
+
+
 def test_pairs_by_titles_equal_all_pairs_and_are_not_exchanged(spark, monkeypatch):
     titles = ["Backup Server restore plan", "Backup Server restore plan today", "Firewall rules", "restore plan", "x"]
     rows = [(f"{'Kunden' if i % 3 else 'Technik'}/note-{i:03d}.md", titles[i % 11 % 5], [f"w{j}" for j in range(i % 4, 12)], [f"t{j}" for j in range(i % 13)]) for i in range(60)]
