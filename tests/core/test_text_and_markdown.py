@@ -197,6 +197,24 @@ def test_pairs_by_titles_equal_all_pairs_and_are_not_exchanged(spark, monkeypatc
     assert "Aggregate" not in plan.split("Join")[0] and "Repartition" not in plan.split("Join")[0]  # nothing is exchanged after pairs meet
 
 
+def test_best_pairs_equal_ranked_ones_and_few_contents_are_compared(spark, monkeypatch):
+    titles = ["Backup Server restore plan", "Backup Server restore plan today", "Backup Server restore", "Firewall rules of house", "Firewall rules"]
+    rows = [(f"{'Kunden' if i % 3 else 'Technik'}/note-{i:03d}.md", titles[i * 7 % 11 % 5], [f"w{j}" for j in range(6 + i // 3 % 2)], [f"t{j}" for j in range(i % 5)]) for i in range(60)]
+    n = spark.createDataFrame(rows, "rel_path string, title string, words array<string>, tags array<string>")
+    n = n.select("rel_path", "title", "tags", F.array_join(F.transform("words", lambda w: F.concat(F.lit("word"), w)), " ").alias("content"), F.create_map(F.lit("status"), F.lit("aktiv")).alias("frontmatter"))
+    f = duplicates.features(n)
+    every = f.select(F.col("id").alias("left")).join(f.select(F.col("id").alias("right")), F.col("left") < F.col("right"))
+    seen, compared = [], duplicates.with_contents
+    monkeypatch.setattr(duplicates, "with_contents", lambda j, f, least: seen.append(j.count()) or compared(j, f, least))
+    for least, most, first in ((60, 20, 1), (60, 20, 100), (46, 300, 1), (46, 5000, 10), (200, 20, 1)):
+        monkeypatch.setattr(duplicates, "FIRST_PAIRS", first)
+        want = list(map(tuple, duplicates.ranked(compared(duplicates.rests(every, f, least), f, least), most).collect()))
+        seen.clear()
+        assert list(map(tuple, duplicates.best(every, f, least, most).collect())) == want
+        if (most, first) == (20, 1):
+            assert len(want) == (20 if least == 60 else 0) and sum(seen) <= duplicates.rests(every, f, least).count() // 4
+
+
 def test_mentions_of_a_name_of_many_notes_are_ranked_once_for_sources_alike(spark, monkeypatch):
     paths = [f"src/n{i:02d}.md" for i in range(40)]
     rows = [(p, "Restore Plan", ["ops", "de"] if i % 2 else ["de"], "restore plan here", [], {"status": "aktiv"}) for i, p in enumerate(paths)]
