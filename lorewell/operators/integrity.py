@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 from hashlib import sha256
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lorewell.functions.rows import by_row
 from lorewell.operators import facts
 from lorewell.operators.sessions import CONFLICT_CEILING, MOST_SOURCES, MOST_UNITS, PER_SOURCE, PER_UNIT, STRENGTHS, confidence_of
 from lorewell.operators.surfaces import f_beta
@@ -133,13 +134,9 @@ def _words(text: str) -> list[str]:
     return regex.findall(r"[\p{L}\p{N}]+(?:[._:/-][\p{L}\p{N}]+)*", unicodedata.normalize("NFKC", text).lower())
 
 
-def _word_lists(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: _words(t or ""))
-
-
 def word_tokens(text: Column) -> Column:
     """Words as the metrics against copying count them: compounds are one word."""
-    return F.pandas_udf(_word_lists, "array<string>")(text)
+    return by_row(lambda t: _words(t or ""), "array<string>", pa.list_(pa.string()))(text)
 
 
 def atom_recall(atoms: DataFrame, sections: DataFrame) -> DataFrame:
@@ -154,18 +151,16 @@ def atom_recall(atoms: DataFrame, sections: DataFrame) -> DataFrame:
     return g.select("id", F.round(F.coalesce(F.try_divide("got", "all"), F.lit(1.0)), 6).alias("recall"), F.round(F.coalesce(F.try_divide("placed", "hits"), F.lit(1.0)), 6).alias("section_accuracy"))
 
 
-def _longest(a: pd.Series, b: pd.Series) -> pd.Series:
-    def run(x, y) -> int:
-        best, last = 0, {}
-        at: dict[str, list[int]] = {}
-        for j, w in enumerate(y):
-            at.setdefault(w, []).append(j)
-        for w in x:
-            now = {j: last.get(j - 1, 0) + 1 for j in at.get(w, ())}
-            best, last = max([best, *now.values()]), now
-        return best
-
-    return pd.Series([run(x, y) for x, y in zip(a, b, strict=True)], dtype="int64")
+def _longest(pair: dict) -> int:
+    """The longest run of words that a and b have in common."""
+    best, last = 0, {}
+    at: dict[str, list[int]] = {}
+    for j, w in enumerate(pair["b"] or ()):
+        at.setdefault(w, []).append(j)
+    for w in pair["a"] or ():
+        now = {j: last.get(j - 1, 0) + 1 for j in at.get(w, ())}
+        best, last = max([best, *now.values()]), now
+    return best
 
 
 def copying(pairs: DataFrame) -> DataFrame:
@@ -178,7 +173,7 @@ def copying(pairs: DataFrame) -> DataFrame:
     shared = F.size(F.array_intersect(F.array_distinct("gg"), "sg"))
     folded = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
     return p.select(
-        "id", F.pandas_udf(_longest, "long")("g", "s").alias("longest"), F.round(F.coalesce(F.try_divide(shared, F.size(F.array_distinct("gg"))), F.lit(0.0)), 6).alias("coverage"),
+        "id", by_row(_longest, "long", pa.int64())(F.struct(F.col("g").alias("a"), F.col("s").alias("b"))).alias("longest"), F.round(F.coalesce(F.try_divide(shared, F.size(F.array_distinct("gg"))), F.lit(0.0)), 6).alias("coverage"),
         F.round(F.size("g") / F.greatest(F.size("s"), F.lit(1)), 6).alias("compression"), ((F.size("s") >= 20) & F.contains(folded(F.col("generated")), folded(F.col("source")))).alias("copied"),
     )
 

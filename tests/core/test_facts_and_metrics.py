@@ -80,6 +80,18 @@ def test_copy_metrics_equal_plain_loops(spark):
     assert got[1]["copied"] and not got[2]["copied"] and not got[4]["copied"]
 
 
+def test_copy_metrics_take_a_row_at_a_time(spark, monkeypatch):
+    from lorewell.functions import rows
+
+    assert integrity._longest({"a": ["x", "b", "c", "y"], "b": ["b", "c", "b"]}) == 2 and integrity._longest({"a": None, "b": []}) == 0
+    monkeypatch.setattr(rows, "CHUNK", 2)
+    pairs = spark.createDataFrame([(i, "one two three " * (i % 3) + "end", "two three one") for i in range(7)], "id long, generated string, source string")
+    got = integrity.copying(pairs.coalesce(1))
+    assert [r["longest"] for r in got.orderBy("id").collect()] == [0, 2, 3, 0, 2, 3, 0]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "_word_lists" not in plan and plan.count("ArrowEvalPython") >= 2
+
+
 def test_atom_recall_and_hashes(spark):
     atoms = spark.createDataFrame([("d", "Befunde", "dns", "critical"), ("d", "Befunde", "route", "high"), ("d", "Rest", "nope", "medium"), ("e", "x", "y", "high")], "id string, section string, pattern string, importance string")
     sections = spark.createDataFrame([("d", "befunde", "DNS is down"), ("d", "Anderes", "new route")], "id string, heading string, content string")
