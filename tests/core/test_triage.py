@@ -40,6 +40,24 @@ def test_lookup_in_order(spark):
     assert got == {"a/One.md": ("a/One.md", "path"), "a/One": ("a/One.md", "file"), "FIRST": ("a/One.md", "name"), "one": ("a/One.md", "name"), "c.md": ("c.md", "path"), "zzz": (None, None)}
 
 
+def test_plain_mentions_probe_texts_and_scan_for_few_names_only(spark, monkeypatch):
+    scanned, matching = [], triage.patterns.matching
+    monkeypatch.setattr(triage.patterns, "matching", lambda p, t: scanned.extend(r["pattern_id"] for r in p.collect()) or matching(p, t))
+    n = vault(
+        spark, ("k/1234.md", "# ab c\nx51234y -- -.- 99 Ünder_way"), ("k/5678.md", "# 12 of-the 34\nab cd, 12  of the 34, 612 of-the 345"), ("k/ünder.md", "# one two three four\nzone two three fourth 123 4"), ("k/9012.md", "# -.- --\nab c1234 -.- -- one two  three four"),
+        ("k/nichts.md", "# wort teil\nhauptwort teile, wort, teil and HAUPTWORT TEIL"),
+    )
+    rows = n.select("rel_path", "title", "content").collect()
+    names = {}
+    for r in sorted(rows, key=lambda r: r["rel_path"]):
+        for name in {r["rel_path"].split("/")[-1][:-3].lower(), r["title"].lower()}:
+            names[name] = r["rel_path"]
+    want = {(r["rel_path"], t) for r in rows for name, t in names.items() if len(name) > 3 and name in r["content"].lower() and t != r["rel_path"]}
+    got = triage.plain_mentions(n, links.edges(n)).collect()
+    assert {(r["source"], r["target"]) for r in got} == want and len(got) == len(want) >= 3
+    assert set(scanned) == {"ab c", "-.- --"}
+
+
 def test_plain_mentions_equal_a_loop(spark):
     n = vault(
         spark, ("a.md", "# Gateway plan\nsee the other router and todos"), ("Other Router.md", "# Router two\n[[a]] gateway plan"), ("x/todos.md", "# todos\nGATEWAY PLAN, other router"), ("abc.md", "# abc\nrouter two"), ("Zwei.md", "# Gateway plan\nzwei"),
