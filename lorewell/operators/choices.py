@@ -41,23 +41,27 @@ class Choice:
     one of the two is in conflict or they differ in polarity."""
 
     def __init__(self, facts: list[dict], trade: float = TRADE, redundant: float = REDUNDANT):
-        self.left = sorted(({**f, "own": set(() if f["tokens"] is None else f["tokens"])} for f in facts), key=lambda f: f["id"])
+        self.left = sorted(({**f, "own": set(() if f["tokens"] is None else f["tokens"]), "near": 0.0, "repeats": False} for f in facts), key=lambda f: f["id"])
         self.taken: list[dict] = []
+        self.kinds: set[str] = set()
         self.trade, self.redundant = trade, redundant
 
     def worth(self, f: dict) -> float:
         return self.trade * f["salience"] / 100 + (BONUS if f["interpreted"] else 0.0)
 
-    def repeats(self, f: dict) -> bool:
-        return any(f["kind"] == c["kind"] and not (f["conflict"] or c["conflict"]) and f["polarity"] * c["polarity"] >= 0 and redundancy(f["own"], c["own"]) >= self.redundant for c in self.taken)
-
     def value(self, f: dict) -> float:
-        near = max((similarity(f["own"], c["own"]) * (1 if c["kind"] == f["kind"] else 0.2) for c in self.taken), default=0.0)
-        return self.worth(f) - (1 - self.trade) * near + (0.0 if any(c["kind"] == f["kind"] for c in self.taken) else BONUS)
+        return self.worth(f) - (1 - self.trade) * f["near"] + (0.0 if f["kind"] in self.kinds else BONUS)
 
     def take(self, f: dict, value: float) -> None:
+        """f goes to the taken ones, and each of the others is compared with it once: its largest likeness, whether it repeats one."""
         self.taken.append({**f, "selection": round(value, 4)})
+        self.kinds.add(f["kind"])
         self.left = [x for x in self.left if x["id"] != f["id"]]
+        for x in self.left:
+            alike = x["kind"] == f["kind"]
+            x["near"] = max(x["near"], similarity(x["own"], f["own"]) * (1 if alike else 0.2))
+            if alike and not x["repeats"] and not (x["conflict"] or f["conflict"]) and x["polarity"] * f["polarity"] >= 0:
+                x["repeats"] = redundancy(x["own"], f["own"]) >= self.redundant
 
     def run(self, most: int, required: tuple[str, ...] = ()) -> list[tuple]:
         """(rank, id, kind, statement, selection); first the strongest fact of each required kind, and no other kinds then."""
@@ -69,7 +73,7 @@ class Choice:
                 best = min(own, key=lambda f: (-self.worth(f), -f["evidence"], f["id"]))
                 self.take(best, self.worth(best))
         while len(self.taken) < most:
-            self.left = [f for f in self.left if not self.repeats(f)]
+            self.left = [f for f in self.left if not f["repeats"]]
             ranked = [(-v, -f["salience"], -f["evidence"], f["id"], v, f) for f in self.left for v in (self.value(f),)]
             if not ranked:
                 break

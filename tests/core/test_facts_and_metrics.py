@@ -163,3 +163,12 @@ def test_term_vectors_hold_few_rows_as_python_values(spark):
     tracemalloc.stop()
     assert len(out) == 4000 and {x["term"]: x["weight"] for x in out[3999].as_py()}["word 7"] == 2.0 and out[0].as_py() == out[3999].as_py()
     assert peak < 30e6  # 4000 rows as Python values take over 100 MB
+
+
+def test_choice_compares_each_two_facts_once(monkeypatch):
+    compared, similarity = [], choices.similarity
+    monkeypatch.setattr(choices, "similarity", lambda a, b: compared.append(1) or similarity(a, b))
+    monkeypatch.setattr(choices, "redundancy", lambda a, b: 0.0)
+    facts = [{"id": f"f{i:02d}", "kind": ("cause", "change", "result")[i % 3], "statement": f"s{i}", "tokens": [f"t{i}", f"t{i + 1}", f"u{i % 4}"], "polarity": 0, "conflict": False, "interpreted": i % 2 == 0, "salience": 40 + i, "evidence": 50} for i in range(30)]
+    assert len(choices.Choice(facts).run(8)) == 8
+    assert len(compared) == sum(range(22, 30))
