@@ -232,3 +232,29 @@ def test_mentions_of_a_name_of_many_notes_are_ranked_once_for_sources_alike(spar
         want += [(source, t, "restore plan", -w) for w, t in left[:5]]
     assert got == sorted(want)
     assert groups == [3]  # two sets of tags, and the note of eleven links: not a row a pair
+
+
+def test_words_of_a_note_are_counted_once(spark, monkeypatch):
+    calls = spark.sparkContext.accumulator(0)
+    run = duplicates.by_row
+    monkeypatch.setattr(duplicates, "by_row", lambda f, *kind: run(lambda v: (calls.add(1), f(v))[1], *kind))
+    n = parsed(files.generated_vault(spark, 300))
+    f = duplicates.features(n)
+    ids = [r["rel_path"] for r in f.orderBy("id").collect()]
+    assert ids == sorted(ids) and len(set(ids)) == len(ids) == calls.value
+
+
+def test_pairs_that_cannot_reach_the_points_are_left_out_early(spark):
+    import random
+
+    rng, pool = random.Random(3), [f"word{i}" for i in range(30)]
+    rows = [(f"f{i % 4}/n{i:03d}.md", f"# {' '.join(rng.choices(pool, k=rng.randrange(1, 9)))}\n{' '.join(rng.choices(pool, k=20))}") for i in range(120)]
+    rows += [(f"g/n{i:03d}.md", "---\ntags: [a, b, c, d]\n---\n" + rows[i][1].replace("\n", " more\n", i % 2)) for i in range(30)]
+    f = duplicates.features(vault(spark, *rows))
+    keys = duplicates.block_keys(f)
+    every, some = duplicates.blocked_pairs(keys), duplicates.blocked_pairs(keys, 60)
+    rests = lambda p: sorted(map(tuple, duplicates.rests(p, f, 60).collect()))
+    assert rests(every) == rests(some) and some.count() * 2 < every.count()
+    a, b = f.select(F.col("id").alias("left"), F.col("brief").alias("a")), f.select(F.col("id").alias("right"), F.col("brief").alias("b"))
+    bound = every.join(a, "left").join(b, "right").select("left", "right", duplicates.nearest(F.col("a"), F.col("b")).alias("most"))
+    assert duplicates.rests(every, f, 0).join(bound, ["left", "right"]).filter("rest > most").count() == 0
