@@ -234,6 +234,40 @@ def test_mentions_of_a_name_of_many_notes_are_ranked_once_for_sources_alike(spar
     assert groups == [3]  # two sets of tags, and the note of eleven links: not a row a pair
 
 
+def test_mentions_are_those_of_a_plain_search(spark, monkeypatch):
+    import random
+
+    import regex
+
+    names = ["Restore Plan", "Plan B", "Backup Server restore plan of today", "server-room", "Über Größe", "a_b c_d", "-- --", "of the old house plan", "Firewall", "x-ray lab two", "(Blue) sky"]
+    rng, made, written = random.Random(4), {}, search.scratch.written
+    fill = ["plan", "of", "the", "server", "restore", "x", "house", "today", "--", "Größe", "b"]
+    glue = [" ", " ", " ", ", ", "-", "\n", "_"]
+    texts = ["".join(x for _ in range(12) for x in (rng.choice([*fill, *names, *(m.upper() for m in names[:5])]), rng.choice(glue))) for _ in range(60)]
+    rows = [(f"s{i % 3}/n{i:02d}.md", names[i % 40] if i % 40 < len(names) else f"note number {i}", ["ops"] if i % 2 else [], t, [], {"status": "aktiv"}) for i, t in enumerate(texts)]
+    n = spark.createDataFrame(rows, "rel_path string, title string, tags array<string>, content string, out_links array<string>, frontmatter map<string,string>")
+    monkeypatch.setattr(search.scratch, "written", lambda df, name: made.setdefault(name, written(df, name)))
+    got = {(r["source"], r["target"]) for r in search.mentions(n, spark.createDataFrame([], "src string, dst string"), per_source=100, k=None, least=0.0).collect()}
+    tokens = lambda t: {w for w in regex.findall(r"[\p{L}\p{N}_-]+", t.lower()) if len(w) >= 2}
+    rare = {r["term"]: r["token"] for r in made["names"].collect()}
+    stands = lambda name, t: regex.search(r"(?:^|[^\p{L}\p{N}_])" + regex.escape(name.lower()) + r"(?=$|[^\p{L}\p{N}_])", t.lower()) and rare[name] in tokens(t)
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] != b[0] and stands(b[1], a[3])}
+    assert got == want and len(want) > 100
+    # a run of words is looked up, so that texts with some words of a name are not asked for it
+    assert len(made["held"].select("source", "term").distinct().collect()) == made["held"].count() > 50
+    assert {r["only"] for r in made["names"].filter("term LIKE 'note number%'").collect()} == {True}
+
+
+def test_targets_alike_meet_groups_of_sources_as_one(spark, monkeypatch):
+    rows = [(f"src/n{i:03d}.md", "Restore Plan", ["ops", "de"] if i % 2 else ["de"], "restore plan here", [], {"status": "aktiv"}) for i in range(90)]
+    n = spark.createDataFrame(rows, "rel_path string, title string, tags array<string>, content string, out_links array<string>, frontmatter map<string,string>")
+    made, written = {}, search.scratch.written
+    monkeypatch.setattr(search.scratch, "written", lambda df, name: made.setdefault(name, written(df, name)))
+    found = search.mentions(n, spark.createDataFrame([("src/n000.md", "src/n001.md")], "src string, dst string"), k=None)
+    assert found.count() == 5 * 90
+    assert made["targets"].filter("nth = 1").count() == 2 and made["targets"].count() == 2 * 8  # not 90: the first ones by path of each two kinds
+
+
 def test_words_of_a_note_are_counted_once(spark, monkeypatch):
     calls = spark.sparkContext.accumulator(0)
     run = duplicates.by_row
