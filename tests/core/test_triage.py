@@ -74,3 +74,15 @@ def test_plain_mentions_equal_a_loop(spark):
     got = triage.plain_mentions(n, links.edges(n)).collect()
     assert {(r["source"], r["target"]) for r in got} == want and len(got) == len(want) > 3
 
+
+def test_plain_mentions_are_asked_by_runs_of_words(spark, monkeypatch):
+    made, written = {}, triage.scratch.written
+    monkeypatch.setattr(triage.scratch, "written", lambda df, name: made.setdefault(name, written(df, name)))
+    title = "the old house of the restore plan today"
+    rows = [("a/one.md", title, "x"), ("a/two.md", "Two", "see the OLD house of the restore plan todays"), ("a/three.md", "Three", "old house here, the restore here, plan of the"), ("a/four.md", "four words in it all", "four words in it all")]
+    n = spark.createDataFrame([(p, t, c, [], {}) for p, t, c in rows], "rel_path string, title string, content string, out_links array<string>, frontmatter map<string,string>")
+    got = {(r["source"], r["target"], r["mention"]) for r in triage.plain_mentions(n, spark.createDataFrame([], "src string, dst string")).collect()}
+    assert got == {("a/two.md", "a/one.md", title)}
+    names = [r["probe"] for r in made["probes"].filter(F.col("name") == title).collect()]
+    asked = triage._probed(n.select(F.col("rel_path").alias("key"), F.lower("content").alias("low"))).filter(F.col("probe").isin(names))
+    assert {r["key"] for r in asked.collect()} == {"a/two.md"}  # not the text that has some of the words
